@@ -52,3 +52,16 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, sizes: DataFrame, total:
         .select(*rows.columns, F.coalesce("_hot", "_cold").alias("_got"))
         .select(*rows.columns, *[F.col(f"_got.{c}").alias(c) for c in extra])
     )
+
+
+def materialise_table(df: DataFrame) -> DataFrame:
+    """Like ``materialise`` for wide rows: a compressed table in the shared folder, removed when the session ends."""
+    import uuid
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(path.toString())
+    return spark.read.schema(df.schema).parquet(path.toString())
