@@ -5,11 +5,13 @@ darts, by hash, into the plane of weight and rank, which is divided into cells w
 below the shingle's weight and a rank limit count, and of those that fall on a coordinate the one of least rank
 is kept. Two texts agree in a coordinate with a probability of their weighted Jaccard similarity.
 
-Equal texts are one node from the start. Nodes that share a band are candidates. In each bucket some members are
-pivots and all others are compared with them, exactly, on the shingles. Members that have come to lie in one
-component need no further comparison; in buckets where components remain apart, more pivots follow until each
-pair has been compared or is in one component. So no bucket is expanded into its pairs, none is cut, and no
-link between candidates is lost. Components are found by contraction, on the cluster.
+Equal texts are one node from the start. Nodes that share a band are candidates and are compared exactly, on
+the shingles; buckets of the same members count once. A bucket of bounded size is gone through in one task:
+members that already lie in one component are not compared again. In a larger bucket some members are pivots
+and all others are compared with them, spread over tasks; the first pivot joins most of a group of copies, and
+later ones are members outside the bucket's largest component, until each pair has been compared or lies in one
+component. So no bucket is expanded into its pairs, none is cut, and no link between candidates is lost.
+Components are found by contraction, on the cluster.
 """
 
 from __future__ import annotations
@@ -27,10 +29,14 @@ from .tokens import slices
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of rows: at a similarity of 0.8, a pair shares a band with a probability of 0.999.
 BANDS, ROWS = 30, 7
-#: Pivots of a bucket in the first round and in later ones; parts that a pivot's comparisons are spread over.
-FIRST_PIVOTS, MORE_PIVOTS, PARTS = 1, 16, 256
+#: Members and bytes of a bucket that one task goes through.
+BUCKET_NODES, BUCKET_BYTES = 4096, 8_000_000
+#: Pivots of a larger bucket in each round after the first; parts that a pivot's comparisons are spread over.
+PIVOTS, PARTS = 64, 256
 #: Characters, and shingles of one text, that are worked on at a time.
 SLICE, ELEMENTS = 1 << 18, 1 << 18
+#: Rows and columns of the blocks in which a bucket is compared.
+ROW_BLOCK, COLUMN_BLOCK = 256, 1024
 
 U = np.uint64
 
@@ -175,8 +181,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of (sorted shingles, weights); 0 if either is empty."""
-    total = int(a[1].sum() + b[1].sum())
-    if not len(a[0]) or not len(b[0]):
+    sums = int(a[1].sum()), int(b[1].sum())
+    total = sum(sums)
+    if not min(sums):
         return 0.0
     at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
     same = b[0][at] == a[0]
@@ -211,7 +218,7 @@ def compare(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     members = parts.join(texts, "node").select("pivot", "part", F.lit(1).alias("kind"), "node", "text")
     heads = parts.select("pivot", "part").distinct().join(texts.withColumnRenamed("node", "pivot"), "pivot").select("pivot", "part", F.lit(0).alias("kind"), F.col("pivot").alias("node"), "text")
     rows = members.unionByName(heads).repartition("pivot", "part").sortWithinPartitions("pivot", "part", "kind")
-    return rows.mapInArrow(_compare(least), "a long, b long, similarity double")
+    return rows.mapInArrow(_compare(least), EDGE)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -241,41 +248,109 @@ def components(edges: DataFrame) -> DataFrame:
     return roots if roots is not None else now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _pivots(members: DataFrame, number: int) -> DataFrame:
-    """(band, pivot): the ``number`` least members of each bucket that were not pivots yet."""
-    free = members.filter("not used")
-    if number == 1:
-        return free.groupBy("band").agg(F.min("node").alias("pivot"))
-    nth = F.row_number().over(Window.partitionBy("band").orderBy("node"))
-    return free.withColumn("nth", nth).filter(F.col("nth") <= number).select("band", F.col("node").alias("pivot"))
+def forest(owner: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int, least: float) -> list[tuple[int, int, float]]:
+    """Links (i, j, similarity) of ``least`` or more that join the same of n texts as all such links do.
+
+    A shingle of weight w stands for w features, so texts have as many features in common as their shared weight.
+    Features of one text only add nothing; the others make the columns of a 0/1 matrix, multiplied block by block.
+    """
+    total = np.bincount(owner, weights, n)
+    nth = np.arange(int(weights.sum())) - np.repeat(np.cumsum(weights) - weights, weights)
+    owner = np.repeat(owner, weights)
+    with np.errstate(over="ignore"):
+        _, feature, times = np.unique(mix(np.repeat(hashes, weights) + mix(nth.astype(np.uint64))), return_inverse=True, return_counts=True)
+    shared = times > 1
+    column = np.cumsum(shared) - 1
+    use = shared[feature]
+    owner, column = owner[use], column[feature[use]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width = int(shared.sum())
+    out: list[tuple[int, int, float]] = []
+    label = np.arange(n)
+    for low in range(0, n, ROW_BLOCK):
+        high = min(n, low + ROW_BLOCK)
+        both = np.zeros((high - low, n), np.float32)
+        for a in range(0, width, COLUMN_BLOCK):
+            part = slice(*np.searchsorted(column, (a, a + COLUMN_BLOCK)))
+            matrix = np.zeros((n, min(COLUMN_BLOCK, width - a)), np.float32)
+            matrix[owner[part], column[part] - a] = 1
+            both += matrix[low:high] @ matrix.T
+        sim = both / np.maximum(total[low:high, None] + total[None, :] - both, 1)
+        for i in range(low, high):
+            near = np.flatnonzero(sim[i - low] >= least - 1e-6)
+            near = near[(near != i) & (label[near] != label[i])]
+            _, first = np.unique(label[near], return_index=True)
+            for j in near[first].tolist():
+                exact = int(both[i - low, j]) / (total[i] + total[j] - int(both[i - low, j]))
+                if exact >= least and label[i] != label[j]:
+                    out.append((i, j, exact))
+                    label[label == label[j]] = label[i]
+    return out
+
+
+def _compare_bucket(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, band, nodes, texts = Shingler(), None, [], []
+
+        def done():
+            found = forest(*shingler(texts), len(texts), least) if len(texts) > 1 else []
+            a, b, sim = zip(*found, strict=True) if found else ((), (), ())
+            return [[nodes[i] for i in a], [nodes[i] for i in b], list(sim)]
+
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for key, node, text in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("band", "node", "text")), strict=True):
+                if key != band:
+                    for column, more in zip(out, done(), strict=True):
+                        column += more
+                    band, nodes, texts = key, [], []
+                nodes.append(node), texts.append(text)
+            yield _edge_batch(out)
+        yield _edge_batch(done())
+
+    return run
+
+
+def _edge_batch(columns: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "similarity"])
+
+
+EDGE = "a long, b long, similarity double"
 
 
 def linked(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(node, root) of all nodes that have a link. ``members``: (band, node) of all buckets of two or more."""
-    members = members.select("band", "node", F.col("node").alias("root"), F.lit(False).alias("used"))
-    checked = edges = roots = None
-    number = FIRST_PIVOTS
-    while True:
-        pivots = _pivots(members, number)
-        chosen = members.join(pivots, "band").join(
-            members.select("band", F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), ["band", "pivot"]
-        ) if roots is not None else members.join(pivots, "band").withColumn("pivot_root", F.col("pivot"))
-        pairs = chosen.filter("root != pivot_root").select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["node", "pivot"], "left_anti")
-        pairs = materialise(pairs)
-        found = materialise(compare(pairs, texts, least))
-        edges = found if edges is None else materialise(edges.unionByName(found))
+    sized = members.join(texts.select("node", F.octet_length("text").cast("long").alias("bytes")), "node")
+    sets = sized.groupBy("band").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    small = (F.col("n") <= BUCKET_NODES) & (F.col("bytes") <= BUCKET_BYTES)
+    buckets = materialise(sets.groupBy("n", "bytes", "x", "y").agg(F.min("band").alias("band")).select("band", small.alias("small")))
+    rows = members.join(buckets.filter("small"), "band").join(texts, "node").select("band", "node", "text")
+    edges = materialise(rows.repartition("band").sortWithinPartitions("band", "node").mapInArrow(_compare_bucket(least), EDGE))
+    roots = components(edges)
+    members = materialise(members.join(buckets.filter("not small"), "band").select("band", "node", F.lit(False).alias("used")))
+    checked = None
+    while not members.isEmpty():
+        placed = members.join(roots, "node", "left").select("band", "node", "used", F.coalesce("root", "node").alias("root"))
+        if checked is None:
+            pivots = members.groupBy("band").agg(F.min("node").alias("pivot"))
+        else:
+            nth = F.row_number().over(Window.partitionBy("band").orderBy("node"))
+            largest = placed.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
+            outside = placed.join(largest, "band").filter("not used and root != largest")
+            pivots = outside.withColumn("nth", nth).filter(F.col("nth") <= PIVOTS).select("band", F.col("node").alias("pivot"))
+        pivots = materialise(pivots)
+        if pivots.isEmpty():
+            break
+        ends = placed.select("band", F.col("node").alias("pivot"), F.col("root").alias("_root")).join(pivots, ["band", "pivot"])
+        pairs = placed.join(ends, "band").filter("root != _root").select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct()
+        pairs = materialise(pairs if checked is None else pairs.join(checked, ["node", "pivot"], "left_anti"))
+        edges = materialise(edges.unionByName(compare(pairs, texts, least)))
         checked = pairs if checked is None else materialise(checked.unionByName(pairs))
-        roots = materialise(components(edges))
-        # Buckets that are one component, or have one member left that was no pivot, are done.
+        roots = components(edges)
         marks = pivots.select("band", F.col("pivot").alias("node"), F.lit(True).alias("now"))
-        state = members.drop("root").join(roots, "node", "left").join(marks, ["band", "node"], "left").select("band", "node", F.coalesce("root", "node").alias("root"), (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"))
-        open_ = state.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count_if(~F.col("used")).alias("free")).filter("low != high and free > 1").select("band")
-        members = materialise(state.join(open_, "band", "left_semi"))
-        if members.isEmpty():
-            return roots
-        number = MORE_PIVOTS
+        members = materialise(members.join(marks, ["band", "node"], "left").select("band", "node", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used")))
+    return roots
 
 
 def nodes_and_roots(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
