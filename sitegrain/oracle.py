@@ -7,21 +7,25 @@ from .registry import ROBOTS
 
 assert ROBOTS  # the rules of f10 below are those
 
+def fill(template: str, value: str) -> str:
+    return template.replace("{}", value)
+
+
 Q = "'\"' || replace(replace({}, '\\', '\\\\'), '\"', '\\\"') || '\"'"
 ORIGIN = "lower(regexp_extract(url, '^(https?://[^/?#]+)', 1))"
 PATH = "regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)"
 NORMAL_PATH = f"case when regexp_replace({PATH}, '/+$', '') = '' then '/' else regexp_replace({PATH}, '/+$', '') end"
 BLANKS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 DECODE = "regexp_replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')"
-CLEAN = f"trim(regexp_replace({{}}, '{BLANKS}', ' ', 'g'))"
-VISIBLE = CLEAN.format(DECODE.format(r"regexp_replace(regexp_replace({}, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"))
+CLEAN = "trim(regexp_replace({}, " + f"'{BLANKS}', ' ', 'g'))"
+VISIBLE = fill(CLEAN, fill(DECODE, r"regexp_replace(regexp_replace({}, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"))
 ENCODE = "array_to_string(list_transform(string_split({}, ''), lambda c: case when unicode(c) > 127 then regexp_replace(hex(encode(c)), '(..)', '%\\1', 'g') else c end), '')"
-LINK_PATH = "case when regexp_replace(regexp_replace({0}, '[?#].*$', ''), '/+$', '') = '' then '/' else regexp_replace(regexp_replace({0}, '[?#].*$', ''), '/+$', '') end"
+LINK_PATH = "case when regexp_replace(regexp_replace({}, '[?#].*$', ''), '/+$', '') = '' then '/' else regexp_replace(regexp_replace({}, '[?#].*$', ''), '/+$', '') end"
 
 
 def base(n: int) -> str:
     """Tables p{n} (pages), s{n} (sites) and m{n} (sitemap URLs) of the state with shift n."""
-    links = "list_sort(list_distinct(list_transform(regexp_extract_all(h2, '<a href=\"([^\"]*)\"', 1), lambda x: site || " + ENCODE.format(LINK_PATH.format(DECODE.format("x"))) + ")))"
+    links = "list_sort(list_distinct(list_transform(regexp_extract_all(h2, '<a href=\"([^\"]*)\"', 1), lambda x: site || " + fill(ENCODE, fill(LINK_PATH, fill(DECODE, "x"))) + ")))"
     return f"""
 n{n} as (select page_id, html, {ORIGIN} as site, {ORIGIN} || {NORMAL_PATH} as url from pages),
 u{n} as (select site, url, min(page_id) as page_id, arg_min(html, page_id) as html, min(page_id) + {n} as k from n{n} group by site, url{"" if n else " having min(page_id) % 43 <> 0"}),
@@ -29,7 +33,7 @@ w{n} as (select *, substr(lead(url) over (partition by site order by page_id), l
 i{n} as (select *, replace(html, '<meta charset="utf-8">', '<meta charset="utf-8">'
   || case when k % 9 = 0 then '<h1>Extra</h1>' else '' end
   || case when path is not null and k % 5 <> 1 then '<a href="' || path || '">next</a>' else '' end) as h2 from w{n}),
-t{n} as (select *, {VISIBLE.format("h2")} as visible, nullif({CLEAN.format(DECODE.format("regexp_extract(h2, '(?s)<title>(.*?)</title>', 1)"))}, '') as title, {links} as links,
+t{n} as (select *, {fill(VISIBLE, "h2")} as visible, nullif({fill(CLEAN, fill(DECODE, "regexp_extract(h2, '(?s)<title>(.*?)</title>', 1)"))}, '') as title, {links} as links,
   nullif(regexp_extract(h2, '<html lang="([^"]*)"', 1), '') as lang from i{n}),
 e{n} as (select *, k % 29 = 0 as blocked, case when k % 29 = 0 then null when k % 31 = 0 then 'redirect loop detected' when k % 37 = 0 then 'timeout' end as error, case when k % 10 = 0 then k % 6 else 0 end as hops from t{n}),
 p{n} as (select site, url, k, title, lang, links, blocked, error, hops, not blocked and error is null as ok,
@@ -67,27 +71,27 @@ def rules(n: int) -> dict[str, str]:
         ("missing-open-graph", "ok and k % 3 <> 0", "''"), ("missing-twitter-metadata", "ok and k % 8 <> 0", "''"), ("image-missing-alt", "ok and k % 4 = 0", "''"), ("low-word-count", "ok and words < 200", "cast(words as varchar)"),
     ]:
         simple[rule] = f"select site, url, 'null' as identity, {evidence} as evidence from {p} where {when}"
-    simple["canonical-target-error"] = f"select p.site, p.url, {Q.format('p.canonical')} as identity, b.actual as evidence from {p} p join b{n} b on b.site = p.site and b.url = p.canonical where ok"
-    simple["broken-internal-link"] = f"select p.site, p.url, {Q.format('b.url')} as identity, b.actual as evidence from (select site, url, unnest(links) as t from {p} where ok) p join b{n} b on b.site = p.site and b.url = p.t"
+    simple["canonical-target-error"] = f"select p.site, p.url, {fill(Q, 'p.canonical')} as identity, b.actual as evidence from {p} p join b{n} b on b.site = p.site and b.url = p.canonical where ok"
+    simple["broken-internal-link"] = f"select p.site, p.url, {fill(Q, 'b.url')} as identity, b.actual as evidence from (select site, url, unnest(links) as t from {p} where ok) p join b{n} b on b.site = p.site and b.url = p.t"
     simple["orphan-sitemap-page"] = f"select p.site, p.url, 'null' as identity, '' as evidence from {p} p join o{n} using (site, url) where ok and p.url <> p.site || '/'"
     simple["invalid-hreflang"] = "select site, url, '{lang:\"en_bad\",url:\"' || site || '/alternate\"}' as identity, '' as evidence from " + p + " where ok and k % 13 = 0"
     simple["malformed-json-ld"] = f"select site, url, '0' as identity, '' as evidence from {p} where ok and k % 17 = 0"
     simple["sitemap-unavailable"] = f"select site, site || '/sitemap.xml' as url, 'null' as identity, '' as evidence from s{n} where least % 7 = 0"
     for rule, key, actual in [("duplicate-title", "lower(trim(title))", "title"), ("duplicate-description", "lower(trim(description))", "description"), ("duplicate-content", "hash", "''")]:
-        simple[rule] = f"select site, url, {Q.format('key')} as identity, {actual} || urls as evidence from (select *, {key} as key from {p}) join (select site, {key} as key, cast(list_sort(list(url)) as varchar) as urls from {p} where {key} is not null group by all having count(*) > 1) using (site, key) where ok"
+        simple[rule] = f"select site, url, {fill(Q, 'key')} as identity, {actual} || urls as evidence from (select *, {key} as key from {p}) join (select site, {key} as key, cast(list_sort(list(url)) as varchar) as urls from {p} where {key} is not null group by all having count(*) > 1) using (site, key) where ok"
     return simple
 
 
 def changes() -> dict[str, str]:
     """For each regression rule (p1 before, p0 after), a query of (site, url, severity or null)."""
     pairs = "(select b.*, a as a from p1 b left join p0 a using (site, url)) join s0 using (site)"
-    blocked = "a is not null and a.blocked and not blocked"
-    fails = f"a is not null and not ({blocked}) and a.error is not null and error is null"
-    go = f"a is not null and not ({blocked}) and not ({fails})"
+    blocked = "a.url is not null and a.blocked and not blocked"
+    fails = f"a.url is not null and not ({blocked}) and a.error is not null and error is null"
+    go = f"a.url is not null and not ({blocked}) and not ({fails})"
     flags = "(robots is not null or x_robots is not null)"
     out = {}
     for rule, when, severity in [
-        ("page-missing", "a is null and complete", "null"), ("robots-blocked", blocked, "null"), ("redirect-loop", f"{fails} and a.error like '%redirect loop%'", "null"), ("page-unreachable", f"{fails} and a.error not like '%redirect loop%'", "null"),
+        ("page-missing", "a.url is null and complete", "null"), ("robots-blocked", blocked, "null"), ("redirect-loop", f"{fails} and a.error like '%redirect loop%'", "null"), ("page-unreachable", f"{fails} and a.error not like '%redirect loop%'", "null"),
         ("status-regression", f"{go} and status < 400 and coalesce(a.status, 500) >= 400", "null"), ("new-noindex", f"{go} and not {flags} and (a.robots is not null or a.x_robots is not null)", "null"),
         ("title-removed", f"{go} and title is not null and a.title is null", "null"), ("title-changed", f"{go} and title <> a.title", "null"), ("description-removed", f"{go} and description is not null and a.description is null", "null"),
         ("canonical-removed", f"{go} and canonical is not null and a.canonical is null", "null"),
@@ -95,7 +99,7 @@ def changes() -> dict[str, str]:
         ("h1-removed", f"{go} and h1 > 0 and a.h1 = 0", "null"), ("redirect-changed", f"{go} and final_url <> a.final_url", "null"),
     ]:
         out[rule] = f"select site, url, cast({severity} as varchar) as own from (select * from {pairs}) where {when}"
-    out["robots-changed"] = "select site, site || '/robots.txt' as url, cast(null as varchar) as own from s1 join s0 using (site) where s1.least % 2 = 0 or (s1.least % 2 <> 0 and s0.least % 2 = 0 and false)"
+    out["robots-changed"] = "select site, site || '/robots.txt' as url, cast(null as varchar) as own from s1 join s0 using (site) where s1.least % 2 = 0"
     out["sitemap-url-count-drop"] = "select site, site || '/sitemap.xml' as url, cast(null as varchar) as own from (select b.site, b.sitemap_count as b, a.sitemap_count as a, a.complete from s1 b join s0 a using (site)) where complete and b > 0 and b - a >= greatest(5, ceil(b * 0.2::double))"
     return out
 
@@ -130,7 +134,7 @@ def sql() -> dict:
     one = f"with {VALUES}, {base(0)}"
     two = f"{one}, {base(1)}"
     whole = f"{two}, {_issues(0)}, {_issues(1)}, {_changed()}, {DIFF}"
-    words = f"nullif({CLEAN.format('text')}, '')"
+    words = f"nullif({fill(CLEAN, 'text')}, '')"
     out = {f"r{i:02d}_{r.replace('-', '_')}": f"{one}, {_issues(0, r)} select {COLUMNS} from a0" for i, r in enumerate(catalog.CURRENT, 1)}
     out |= {f"r{i:02d}_{r.replace('-', '_')}": f"{two}, {_changed(r)} select {COLUMNS} from c" for i, r in enumerate(catalog.REGRESSION, 35)}
     out |= {
@@ -153,7 +157,7 @@ def sql() -> dict:
         "f6_clean_text": f"select doc_id, {words} as cleaned from documents",
         "f7_has_directive": "select page_id, page_id % 5 in (0, 2, 3) as noindex from pages",
         "f8_valid_language": "select page_id, page_id % 8 not in (3, 5) as valid from pages",
-        "f10_robots_allowed": f"select page_id, case when starts_with({PATH}, '/en/1') then true when starts_with({PATH}, '/en/') then false when {PATH} like '%.html' and strpos(url, '?') = 0 then false else true end as allowed from pages",
+        "f10_robots_allowed": f"select page_id, case when {PATH} like '%.html' and strpos(url, '?') = 0 then false when starts_with({PATH}, '/en/1') then true when starts_with({PATH}, '/en/') then false else true end as allowed from pages",
         "f12_content_hash": f"select doc_id, sha256(lower({words})) as content_hash from documents",
         "f13_word_count": f"select doc_id, cast(coalesce(len(string_split({words}, ' ')), 0) as bigint) as n_words from documents",
         "f15_fingerprint": "select page_id, substr(sha256('missing-title' || chr(10) || 'page' || chr(10) || url || chr(10) || 'null'), 1, 24) as fingerprint from pages",
