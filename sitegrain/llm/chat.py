@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import small
+
 #: Fixed control strings of the template.
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[OUT]", "[ROLE]", "[BODY]", "[/ROLE]", "<image>", "<audio>", "<document>"]
 #: Fixed marks by role: before and after the text.
@@ -95,7 +97,7 @@ def read_turn(formatted: str) -> tuple[str, str]:
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("formatted", pa.string()), ("attachments", pa.list_(pa.struct([("type", pa.string()), ("ref", pa.string()), ("tokens", pa.int32())]))), ("n_tokens", pa.int64()), ("loss", pa.bool_())])
-    for batch in batches:
+    for batch in small(batches):
         rows = []
         for row in batch.to_pylist():
             role = row["role"] or ""
@@ -125,7 +127,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done(s):
         return {"conv_id": s[0], "n_turns": s[1], "turns_sha256": s[2].hexdigest(), "loss_chars": s[3], "loss_sha256": s[4].hexdigest(), "formatted_chars": s[5]}
 
-    for batch in batches:
+    for batch in small(batches):
         rows = []
         for conv, formatted in zip(batch.column("conv_id").to_pylist(), batch.column("formatted").to_pylist(), strict=True):
             if state is None or state[0] != conv:

@@ -65,3 +65,10 @@ def materialise_table(df: DataFrame) -> DataFrame:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     df.write.parquet(path.toString())
     return spark.read.schema(df.schema).parquet(path.toString())
+
+
+def small(batches, rows: int = 256):
+    """The batches in slices, so that a worker holds few texts as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, text_or_empty
+from .common import materialise, small, text_or_empty
 
 WINDOW = 10
 #: Words of the items in one automaton: its size bound (about 200 bytes a word).
@@ -168,7 +168,7 @@ class Automaton:
 def _matcher(automaton, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton.value
-        for batch in batches:
+        for batch in small(batches):
             n_words, spans, items = [], [], []
             before_s = None if first else batch.column(batch.schema.get_field_index("spans")).to_pylist()
             before_i = None if first else batch.column(batch.schema.get_field_index("items")).to_pylist()
@@ -245,7 +245,7 @@ def _remover(max_coverage: float):
         import re
 
         word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-        for batch in batches:
+        for batch in small(batches):
             texts = []
             for text, n, spans in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_text", "n_words", "spans")), strict=True):
                 hit = sum(s["end"] - s["start"] for s in spans)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import fingerprint, lookup, materialise, materialise_table, text_or_empty
+from .common import fingerprint, lookup, materialise, materialise_table, small, text_or_empty
 from .decontaminate import split_words
 from .tokens import slices
 
@@ -33,8 +33,8 @@ BANDS, ROWS = 30, 7
 BUCKET_NODES, BUCKET_BYTES = 4096, 8_000_000
 #: Pivots of a larger bucket in each round after the first; parts that a pivot's comparisons are spread over.
 PIVOTS, PARTS = 64, 256
-#: Characters, and shingles of one text, that are worked on at a time.
-SLICE, ELEMENTS = 1 << 18, 1 << 18
+#: Characters, and cells of darts, that are worked on at a time.
+SLICE, CELLS = 1 << 18, 1 << 18
 #: Rows and columns of the blocks in which a bucket is compared.
 ROW_BLOCK, COLUMN_BLOCK = 256, 1024
 
@@ -61,7 +61,7 @@ class Shingler:
     def _hashes(self, words: list[bytes]) -> np.ndarray:
         import xxhash
 
-        if len(self.known) > 300_000:
+        if len(self.known) > 150_000:
             self.known.clear()
         for w in set(words).difference(self.known):
             self.known[w] = xxhash.xxh3_64_intdigest(w)
@@ -136,8 +136,9 @@ def signatures(owner: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: in
         while open_.any():
             least = np.full(n * k, np.inf)
             mine = np.flatnonzero(open_[owner])
-            for a in range(0, len(mine), ELEMENTS):
-                part = mine[a : a + ELEMENTS]
+            # Short texts have many cells for each element: parts are cut by cells.
+            cells = np.cumsum(np.ceil(aim / total[owner[mine]]) * 2 * weights[mine])
+            for part in np.split(mine, np.flatnonzero(np.diff(cells // CELLS)) + 1):
                 element, at, rank, dart = _darts(hashes[part], weights[part], aim / total[owner[part]], k)
                 slot = owner[part][element] * k + at
                 np.minimum.at(least, slot, rank)
@@ -158,7 +159,7 @@ def band_keys(signs: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
-    for batch in batches:
+    for batch in small(batches):
         # Equal texts of a batch are signed once.
         seen: dict[str, int] = {}
         texts, count, prints, firsts = [], [], [], []
@@ -194,7 +195,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def _compare(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, pivot, of = Shingler(), None, None
-        for batch in batches:
+        for batch in small(batches):
             a, b, sim = [], [], []
             for key, kind, node, text in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("pivot", "kind", "node", "text")), strict=True):
                 own = shingler([text])[1:]
@@ -298,7 +299,7 @@ def _compare_bucket(least: float):
             a, b, sim = zip(*found, strict=True) if found else ((), (), ())
             return [[nodes[i] for i in a], [nodes[i] for i in b], list(sim)]
 
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[], [], []]
             for key, node, text in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("band", "node", "text")), strict=True):
                 if key != band:

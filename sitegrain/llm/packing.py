@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_or_empty
+from .common import small, text_or_empty
 from .tokens import WordTokenizer, slices
 
 #: Tokens of the longest sequence; a power of two.
@@ -26,7 +26,7 @@ def binary_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
 def _packer(path: str, longest: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer(path)
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
                 owner, start, length, tokens, flat = [], [], [], [], []

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fingerprint, lookup, materialise, materialise_table, text_or_empty
+from .common import fingerprint, lookup, materialise, materialise_table, small, text_or_empty
 from .near_dedup import mix
 
 LENGTH, PIECE = 400, 32
@@ -73,7 +73,7 @@ def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["fp", "anchor", "context", "start", "end", "at", "copies", "local"]
         kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-        for batch in batches:
+        for batch in small(batches):
             # Equal texts of a batch are gone through once.
             texts: dict[bytes, list] = {}
             for fp, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -159,7 +159,7 @@ def _index(length: int):
             found = [(n, m) for n, m in zip(names, RunIndex(contexts).matches(length), strict=True) if m] if len(names) > 1 else []
             return [(family, n, [{"left": a, "right": b} for a, b in m]) for n, m in found]
 
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for anchor, context, place, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if anchor != family:
@@ -180,7 +180,7 @@ def _match_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _strings(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for anchor, context, place, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 n = len(data) - length + 1
                 digests = [hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in range(n)]
@@ -191,7 +191,7 @@ def _strings(length: int):
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for batch in batches:
+    for batch in small(batches):
         fps, spans, removed, digests = [], [], [], []
         for fp, text, marks in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             data, own = text.encode(), merge_spans((m["start"], m["end"]) for m in marks)
@@ -278,7 +278,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         get = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
         texts = [t if t is None or not s else cut(t.encode(), [(x["start"], x["end"]) for x in s]).decode(errors="ignore") for t, s in zip(get("text"), get("_spans"), strict=True)]
         at = batch.schema.get_field_index("text")

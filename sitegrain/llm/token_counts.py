@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_or_empty
+from .common import small, text_or_empty
 from .tokens import PIECE, WordTokenizer, slices
 
 SPLIT = 4096
@@ -107,7 +107,7 @@ class CountTree:
 def _counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer(path)
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for text, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 tree = CountTree(text, tokenizer)

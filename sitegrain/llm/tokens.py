@@ -10,7 +10,7 @@ import numpy as np
 #: Characters of one piece of text that is split into words at a time.
 PIECE = 1 << 20
 #: Words and characters that the cache holds at most before it starts anew.
-CACHE_WORDS, CACHE_CHARS = 300_000, 20_000_000
+CACHE_WORDS, CACHE_CHARS = 150_000, 10_000_000
 
 
 def pieces(text: str, limit: int = PIECE) -> Iterator[str]:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_or_empty
+from .common import small, text_or_empty
 
 #: Labelled documents of either class that a model is fitted on at most, and features that it holds at most.
 MAX_PER_CLASS, MAX_FEATURES = 20_000, 50_000
@@ -121,7 +121,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts.clear()
         return out
 
-    for batch in batches:
+    for batch in small(batches):
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for f in {f for w in set(_WORD.findall(text.lower())) for f in features_of(w)}:
                 counts.setdefault(f, [0, 0])[toxic] += 1
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _stats(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = Counter(round(model.word_score(w), 1) for w in _WORD.findall(text.lower()))
@@ -218,7 +218,7 @@ def _scorer(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, cache = broadcast.value, {}
         passage = pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("evidence", pa.float64())])
-        for batch in batches:
+        for batch in small(batches):
             scores, passages = [], []
             for text in batch.column(1).to_pylist():
                 evidence, found, *_ = model.evidence(text, cache)
