@@ -26,18 +26,21 @@ _LEAF = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 class CountTree:
     """Segment tree over the pre-tokens of one text. ``tokens`` is the text's count; ``encoded`` counts the leaves encoded so far."""
 
-    def __init__(self, text: str, tokenizer: WordTokenizer) -> None:
+    def __init__(self, text: str, tokenizer: WordTokenizer, leaves: list[str] | None = None, counts: np.ndarray | None = None) -> None:
+        """``leaves`` and ``counts``: the text's pre-tokens and their tokens, where the caller has them already."""
         self.tokenizer = tokenizer
         self.encoded = 0
-        self._build(text)
+        self._build(leaves or _LEAF.findall(text) or [""], counts)
 
-    def _build(self, text: str) -> None:
-        self.leaves = _LEAF.findall(text) or [""]
+    def _build(self, leaves: list[str], counts: np.ndarray | None = None) -> None:
+        self.leaves = leaves
         self.size = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.counts = np.zeros(2 * self.size, np.int64), np.zeros(2 * self.size, np.int64)
         n = len(self.leaves)
         self.chars[self.size : self.size + n] = list(map(len, self.leaves))
-        for a, b in slices(self.leaves, PIECE):
+        if counts is not None:
+            self.counts[self.size : self.size + n] = counts
+        for a, b in slices(self.leaves, PIECE) if counts is None else ():
             self.counts[self.size + a : self.size + b] = self._count(self.leaves[a:b])
         for tree in (self.chars, self.counts):
             level = self.size
@@ -100,18 +103,34 @@ class CountTree:
                 self._put(leaf, "", 0)
         self._put(low, stretch, count)
         if len(stretch) > SPLIT:
-            self._build(self.text())
+            self._build(_LEAF.findall(self.text()) or [""])
         return self.tokens
 
 
+def _trees(texts: list[str], tokenizer: WordTokenizer) -> Iterator[CountTree]:
+    """The trees of texts; short ones have their pre-tokens counted together."""
+    for a, b in slices(texts, PIECE // 4):
+        if b - a == 1:
+            yield CountTree(texts[a], tokenizer)
+            continue
+        leaves = [_LEAF.findall(t) or [""] for t in texts[a:b]]
+        flat = [x.strip(" \n") for one in leaves for x in one]
+        codes = tokenizer.codes(flat)  # before lengths: it may learn words
+        counts = tokenizer.lengths[codes]
+        at = 0
+        for text, one in zip(texts[a:b], leaves, strict=True):
+            yield CountTree(text, tokenizer, one, counts[at : at + len(one)])
+            at += len(one)
+
+
 def _counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer(path)
         for batch in small(batches):
             rows = []
-            for text, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                tree = CountTree(text, tokenizer)
-                n, leaves = tree.tokens, len(_LEAF.findall(text))
+            texts = batch.column(1).to_pylist()
+            for text, tree, edits in zip(texts, _trees(texts, tokenizer), batch.column(2).to_pylist(), strict=True):
+                n, leaves = tree.tokens, len(tree.leaves) if text else 0
                 tree.encoded = 0
                 after = [tree.edit(e["start"] or 0, e["end"] or 0, e["text"] or "") for e in edits or [] if e]
                 rows.append((n, leaves, after, tree.tokens, tree.length, tree.encoded))

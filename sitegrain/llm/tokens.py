@@ -47,7 +47,7 @@ class WordTokenizer:
         self.lengths, self.starts, self.flat, self.used, self.chars = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0, 0
 
     def _learn(self, words: list[str]) -> None:
-        for encoded, word in zip(self.tokenizer.encode_batch(words, add_special_tokens=False), words, strict=True):
+        for encoded, word in zip(self.tokenizer.encode_batch_fast(words, add_special_tokens=False), words, strict=True):
             ids, at = encoded.ids, len(self.index)
             if at >= len(self.starts):
                 self.starts, self.lengths = np.resize(self.starts, 2 * at), np.resize(self.lengths, 2 * at)
@@ -64,8 +64,10 @@ class WordTokenizer:
         if len(self.index) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self._reset()
         get = self.index.get
-        if missing := [w for w in dict.fromkeys(words) if w not in self.index]:
-            self._learn(missing)
+        try:
+            return np.fromiter(map(get, words), np.int64, len(words))
+        except TypeError:  # a word that is not known yet
+            self._learn([w for w in dict.fromkeys(words) if w not in self.index])
         return np.fromiter(map(get, words), np.int64, len(words))
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
