@@ -166,4 +166,10 @@ def sql() -> dict:
         "s15_checkpoint_last": f"with l as (select {ORIGIN} || {NORMAL_PATH} as url, page_id, row_number() over (partition by {ORIGIN} || {NORMAL_PATH} order by page_id desc) as nth from pages) select url, cast(case when page_id % 13 = 1 then 404 else 200 end as bigint) as status, page_id as seq from l where nth = 1 and page_id % 17 <> 1 and page_id % 37 <> 0",
         "st_replay": "select event_id, user_id, event_type, round(value, 2) as value from events where event_type is not null",
     }
+    audit = out["c1_audit"]
+    out["f17_html_escape"] = """select doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') as escaped from documents"""
+    out["f22_report_filter"] = f"select * from ({audit}) where severity = 'error' and owner = 'developer' and contains(lower(concat_ws(' ', url, rule, '', owner)), 'example.org/en')"
+    out["s21_summary"] = f"""select snapshot_id, count(*) filter (severity = 'error') as errors, count(*) filter (severity = 'warning') as warnings, count(*) filter (severity = 'info') as infos,
+        count(distinct url) as affected, bool_or(severity = 'error') as blocked from ({audit}) group by snapshot_id"""
+    out["s20_csv_lines"] = f"""select concat('"', severity, '","current","', rule, '","', owner, '","', replace(url, '"', '""'), '","","","","Review the finding and confirm the intended behavior.","', fingerprint, '"') as value from ({audit})"""
     return out

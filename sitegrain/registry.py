@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import text, urls
-from .operators import catalog, current, diff, graph, policy, regression
+from .operators import catalog, current, diff, graph, policy, regression, report
 from .plans import crawl
 from .sources import checkpoint, html, robots, site_tables, sitemap
 from .streaming import replay
@@ -164,6 +164,22 @@ def c14_gate(spark, sf_dir):
     return issues.groupBy("snapshot_id").agg(F.max(policy.blocks(F.col("severity"), "error")).alias("blocked"))
 
 
+def f17_html_escape(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", report.escape_html(F.col("text")).alias("escaped"))
+
+
+def f22_report_filter(spark, sf_dir):
+    return report.matching(_audit(spark, sf_dir), severity="error", owner="developer", query=" EXAMPLE.org/En ")
+
+
+def s21_summary(spark, sf_dir):
+    return report.summary(_audit(spark, sf_dir), "error")
+
+
+def s20_csv_lines(spark, sf_dir):
+    return report.csv_lines(report.with_defaults(_audit(spark, sf_dir)))
+
+
 def l2_crawl(spark, sf_dir):
     return crawl.query(spark, sf_dir)
 
@@ -180,7 +196,7 @@ def queries() -> dict:
     out = {f.__name__: f for f in (
         c1_audit, c2_regressions, c3_diff_lifecycle, c4_policy, c14_gate, f1_normalize_url, f2_origin, f3_crawlable, f4_map_origin, f5_map_prefix, f6_clean_text, f7_has_directive, f8_valid_language,
         f10_robots_allowed, f12_content_hash, f13_word_count, f15_fingerprint, h_extract, s12_sitemap_parse, a1_duplicate_content, a2_statistics, a3_link_graph, a4_health, a5_severity_summary, a7_budgets,
-        j5_orphans, l2_crawl, s15_checkpoint_last, st_replay,
+        f17_html_escape, f22_report_filter, s20_csv_lines, s21_summary, j5_orphans, l2_crawl, s15_checkpoint_last, st_replay,
     )}
     out |= {f"r{i:02d}_{r.replace('-', '_')}": _rule(r) for i, r in enumerate(catalog.CURRENT, 1)}
     out |= {f"r{i:02d}_{r.replace('-', '_')}": _regression(r) for i, r in enumerate(catalog.REGRESSION, 35)}
