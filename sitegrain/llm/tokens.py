@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
 #: Characters of one piece of text that is split into words at a time.
 PIECE = 1 << 20
 #: Words and characters that the cache holds at most before it starts anew.
-CACHE_WORDS, CACHE_CHARS = 150_000, 10_000_000
+CACHE_WORDS, CACHE_CHARS = 400_000, 20_000_000
 
 
 def pieces(text: str, limit: int = PIECE) -> Iterator[str]:
@@ -47,17 +48,19 @@ class WordTokenizer:
         self.lengths, self.starts, self.flat, self.used, self.chars = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0, 0
 
     def _learn(self, words: list[str]) -> None:
-        for encoded, word in zip(self.tokenizer.encode_batch_fast(words, add_special_tokens=False), words, strict=True):
-            ids, at = encoded.ids, len(self.index)
-            if at >= len(self.starts):
-                self.starts, self.lengths = np.resize(self.starts, 2 * at), np.resize(self.lengths, 2 * at)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[at], self.lengths[at] = self.used, len(ids)
-            self.used += len(ids)
-            self.chars += len(word)
-            self.index[word] = at
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        at, n = len(self.index), len(found)
+        lengths = np.fromiter(map(len, found), np.int64, n)
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        while at + n > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.starts[at : at + n], self.lengths[at : at + n] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.used += len(flat)
+        self.chars += sum(map(len, words))
+        self.index.update(zip(words, range(at, at + n), strict=True))
 
     def codes(self, words: list[str]) -> np.ndarray:
         """A number for each word; ``lengths[number]`` is its count of ids. Valid until the next call."""
