@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import small, text_or_empty
-from .tokens import WordTokenizer, slices
+from .tokens import slices, word_tokenizer
 
 #: Tokens of the longest sequence; a power of two.
 MAX_LENGTH = 4096
@@ -25,7 +25,7 @@ def binary_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
 
 def _packer(path: str, longest: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = word_tokenizer(path)
         for batch in small(batches):
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import small, text_or_empty
-from .tokens import PIECE, WordTokenizer, slices
+from .tokens import PIECE, WordTokenizer, slices, word_tokenizer
 
 SPLIT = 4096
 _LEAF = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -125,7 +125,7 @@ def _trees(texts: list[str], tokenizer: WordTokenizer) -> Iterator[CountTree]:
 
 def _counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = word_tokenizer(path)
         for batch in small(batches):
             rows = []
             texts = batch.column(1).to_pylist()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -12,6 +15,22 @@ import numpy as np
 PIECE = 1 << 20
 #: Words and characters that the cache holds at most before it starts anew.
 CACHE_WORDS, CACHE_CHARS = 400_000, 20_000_000
+#: The normaliser and the split of tokenizers whose words ``PLAIN`` may cut.
+CUTTABLE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: A word of Latin letters and then symbols other than the apostrophe: two pre-tokens, alike under NFC.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+#: The character that stands for each byte: its own where it is printable, else the next one from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = dict(zip(_PRINTABLE, _PRINTABLE)) | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 def pieces(text: str, limit: int = PIECE) -> Iterator[str]:
@@ -33,7 +52,8 @@ class WordTokenizer:
     """Ids as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them, for tokenizers whose tokens never reach over blanks.
 
     Texts are split at blanks and newlines, which such a tokenizer drops; each different word is encoded once
-    by the tokenizer itself.
+    by the tokenizer itself. Where the tokenizer is of the kind that ``CUTTABLE`` states, a plain word's letters
+    and symbols are encoded apart by its model, so that they are shared with other words.
     """
 
     def __init__(self, path: str) -> None:
@@ -41,17 +61,18 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.cuts = spec["model"]["type"] == "BPE" and all(spec[k] == v for k, v in CUTTABLE.items())
         self._reset()
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {"": 0}
         self.lengths, self.starts, self.flat, self.used, self.chars = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0, 0
 
-    def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        at, n = len(self.index), len(found)
-        lengths = np.fromiter(map(len, found), np.int64, n)
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+    def _store(self, words: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
+        """Keep words that are not in the index, with their numbers of ids and all their ids in a row."""
+        at, n = len(self.index), len(words)
         while at + n > len(self.starts):
             self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
         while self.used + len(flat) > len(self.flat):
@@ -62,25 +83,58 @@ class WordTokenizer:
         self.chars += sum(map(len, words))
         self.index.update(zip(words, range(at, at + n), strict=True))
 
+    def _store_lists(self, words: list[str], found: list[list[int]]) -> None:
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self._store(words, lengths, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())))
+
+    def _pre_token(self, text: str) -> list[int]:
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(BYTE_CHARS)
+        return [t.id for t in self.tokenizer.model.tokenize(text)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Put words that are all different and not in the index into it."""
+        others, cut = words, []
+        if self.cuts:
+            others = []
+            for word in words:
+                match = PLAIN.fullmatch(word)
+                if match:
+                    cut.append((word, match[1].lower(), match[2]))
+                else:
+                    others.append(word)
+            parts = [x for x in dict.fromkeys(chain.from_iterable(c[1:] for c in cut)) if x not in self.index]
+            tokenize = self._pre_token
+            self._store_lists(parts, [tokenize(x) for x in parts])
+            cut = [c for c in cut if c[0] not in self.index]
+            both = np.fromiter(map(self.index.__getitem__, chain.from_iterable(c[1:] for c in cut)), np.int64, 2 * len(cut))
+            flat, lengths = self._gather(both)
+            self._store([c[0] for c in cut], lengths[::2] + lengths[1::2], flat)
+        self._store_lists(others, [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)])
+
     def codes(self, words: list[str]) -> np.ndarray:
         """A number for each word; ``lengths[number]`` is its count of ids. Valid until the next call."""
         if len(self.index) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self._reset()
         get = self.index.get
-        try:
-            return np.fromiter(map(get, words), np.int64, len(words))
-        except TypeError:  # a word that is not known yet
-            self._learn([w for w in dict.fromkeys(words) if w not in self.index])
-        return np.fromiter(map(get, words), np.int64, len(words))
-
-    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        codes = self.codes(words)
+        out = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(out < 0)
+        if len(unknown):
+            new = [words[i] for i in unknown.tolist()]
+            self._learn(list(dict.fromkeys(new)))
+            out[unknown] = np.fromiter(map(get, new), np.int64, len(new))
+        return out
+
+    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = self.lengths[codes]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         at = np.repeat(self.starts[codes] - (ends - lengths), lengths) + np.arange(total)
         return self.flat[at], lengths
 
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self._gather(self.codes(words))
+
     def encode(self, text: str) -> np.ndarray:
         parts = [self._ids(p.replace("\n", " ").split(" "))[0] for p in pieces(text)]
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
@@ -95,6 +149,12 @@ class WordTokenizer:
         return np.split(ids, ends[:-1])
 
 
+@lru_cache(1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this worker, which keeps its words from one task to the next."""
+    return WordTokenizer(path)
+
+
 def slices(texts: list[str], limit: int = PIECE) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about ``limit`` characters together."""
     start = chars = 0
