@@ -6,7 +6,6 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -149,12 +148,6 @@ class WordTokenizer:
         return np.split(ids, ends[:-1])
 
 
-@lru_cache(1)
-def word_tokenizer(path: str) -> WordTokenizer:
-    """The tokenizer of this worker, which keeps its words from one task to the next."""
-    return WordTokenizer(path)
-
-
 def slices(texts: list[str], limit: int = PIECE) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about ``limit`` characters together."""
     start = chars = 0
