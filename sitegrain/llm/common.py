@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A key that holds more than 1/HEAVY of all rows is handled apart, so at most HEAVY keys are ever broadcast.
 HEAVY = 1000
+#: Rows of one partition of a kept table whose row count is known, and its least number of partitions.
+PART_ROWS, LEAST_PARTS = 50_000, 16
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -18,9 +20,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation and rows are the same for each reader."""
+def materialise(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation and rows are the same for each reader.
+
+    ``rows``: as many as ``df`` has at most, where that is known and they are narrow. A small table is then kept in
+    few files, not in one for each shuffle partition.
+    """
     ensure_checkpoint_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(LEAST_PARTS, rows // PART_ROWS + 1))
     return df.checkpoint(eager=True)
 
 

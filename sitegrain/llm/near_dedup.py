@@ -226,16 +226,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of ``edges`` (a, b): root is the least node of the component.
 
     Each node points to its least neighbour, pointers are followed to their roots, and edges between roots are
-    kept for the next contraction. All tables stay on the cluster.
+    kept for the next contraction. All tables stay on the cluster. ``edges`` is a kept table: it is read twice.
     """
-    now = materialise(edges.select("a", "b").filter("a != b").distinct())
+    n = edges.count()
+    now = materialise(edges.select("a", "b").filter("a != b").distinct(), n)
     roots = None
     while not now.isEmpty():
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = materialise(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
+        up = materialise(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), 2 * n)
         while True:
             above = up.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-            jumped = materialise(up.join(above, F.col("root") == F.col("_n")).select("node", F.col("_r").alias("root"), (F.col("root") != F.col("_r")).alias("moved")))
+            jumped = materialise(up.join(above, F.col("root") == F.col("_n")).select("node", F.col("_r").alias("root"), (F.col("root") != F.col("_r")).alias("moved")), 2 * n)
             up, moved = jumped.select("node", "root"), not jumped.filter("moved").isEmpty()
             if not moved:
                 break
@@ -245,7 +246,7 @@ def components(edges: DataFrame) -> DataFrame:
             above = up.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
             roots = roots.join(above, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"))
         left, right = (up.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in ("a", "b"))
-        now = materialise(now.join(left, "a").join(right, "b").filter("_a != _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
+        now = materialise(now.join(left, "a").join(right, "b").filter("_a != _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), n)
     return roots if roots is not None else now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -322,14 +323,15 @@ EDGE = "a long, b long, similarity double"
 
 def linked(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(node, root) of all nodes that have a link. ``members``: (band, node) of all buckets of two or more."""
+    n = members.count()
     sized = members.join(texts.select("node", F.octet_length("text").cast("long").alias("bytes")), "node")
     sets = sized.groupBy("band").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     small = (F.col("n") <= BUCKET_NODES) & (F.col("bytes") <= BUCKET_BYTES)
-    buckets = materialise(sets.groupBy("n", "bytes", "x", "y").agg(F.min("band").alias("band")).select("band", small.alias("small")))
+    buckets = materialise(sets.groupBy("n", "bytes", "x", "y").agg(F.min("band").alias("band")).select("band", small.alias("small")), n)
     rows = members.join(buckets.filter("small"), "band").join(texts, "node").select("band", "node", "text")
     edges = materialise(rows.repartition("band").sortWithinPartitions("band", "node").mapInArrow(_compare_bucket(least), EDGE))
     roots = components(edges)
-    members = materialise(members.join(buckets.filter("not small"), "band").select("band", "node", F.lit(False).alias("used")))
+    members = materialise(members.join(buckets.filter("not small"), "band").select("band", "node", F.lit(False).alias("used")), n)
     checked = None
     while not members.isEmpty():
         placed = members.join(roots, "node", "left").select("band", "node", "used", F.coalesce("root", "node").alias("root"))
@@ -340,17 +342,18 @@ def linked(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             largest = placed.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
             outside = placed.join(largest, "band").filter("not used and root != largest")
             pivots = outside.withColumn("nth", nth).filter(F.col("nth") <= PIVOTS).select("band", F.col("node").alias("pivot"))
-        pivots = materialise(pivots)
+        pivots = materialise(pivots, n)
         if pivots.isEmpty():
             break
         ends = placed.select("band", F.col("node").alias("pivot"), F.col("root").alias("_root")).join(pivots, ["band", "pivot"])
         pairs = placed.join(ends, "band").filter("root != _root").select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct()
         pairs = materialise(pairs if checked is None else pairs.join(checked, ["node", "pivot"], "left_anti"))
-        edges = materialise(edges.unionByName(compare(pairs, texts, least)))
-        checked = pairs if checked is None else materialise(checked.unionByName(pairs))
+        found = materialise(compare(pairs, texts, least))
+        edges = materialise(edges.unionByName(found), edges.count() + found.count())
+        checked = pairs if checked is None else materialise(checked.unionByName(pairs), checked.count() + pairs.count())
         roots = components(edges)
         marks = pivots.select("band", F.col("pivot").alias("node"), F.lit(True).alias("now"))
-        members = materialise(members.join(marks, ["band", "node"], "left").select("band", "node", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used")))
+        members = materialise(members.join(marks, ["band", "node"], "left").select("band", "node", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used")), n)
     return roots
 
 
