@@ -3,8 +3,10 @@
 Two histograms per document: character classes, and common words of several languages with all other words as
 one bin. A language's reference is the mean over all its documents that are long enough. A document is
 rejected if the Jensen-Shannon distance (base 2, so 0 to 1) of either histogram from the reference exceeds its
-limit; a histogram counts only in documents of a minimum length. The base rules reject texts of under 20 words
-or with over 30 % of words in repeated windows of 8.
+limit; a histogram counts only in documents of a minimum length. The limit of words is a share of the distance
+that a text with none of the common words has from the reference, so such texts are rejected wherever the list
+covers the language. The base rules reject texts of under 20 words or with over 30 % of words in repeated windows
+of 8.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ COMMON = (
     "der die das und ist den von zu mit auf im nicht ein eine dem sich auch "
     "el los las y del se una con su para como más lo al"
 ).split()
-#: Limits of the distances, and the words that a document must have for each to count.
-CHAR_LIMIT, WORD_LIMIT, CHAR_MIN_WORDS, WORD_MIN_WORDS = 0.3, 0.5, 30, 100
+#: Limit of the distance of characters, and the words that a document must have for each histogram to count.
+CHAR_LIMIT, CHAR_MIN_WORDS, WORD_MIN_WORDS = 0.3, 30, 100
+#: Limit of the distance of words: a share of that of a text without common words, and the least limit, for languages that the list hardly covers.
+WORD_SHARE, WORD_LEAST = 0.75, 0.25
 #: Documents that a language must have for a reference, and languages that have one at most (the most common).
 MIN_DOCS, MAX_LANGS = 20, 64
 SYMBOLS, BLANKS, WINDOW = b"#*$%&|<>", b" \t\n\x0b\x0c\r", 8
@@ -117,6 +121,13 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((part(p) + part(q)) / 2, 0, 1)) * total[..., 0]
 
 
+def word_limit(words: np.ndarray) -> np.ndarray:
+    """Limits of the distance of words from references (rows of word histograms)."""
+    no_common = np.zeros(words.shape[-1])
+    no_common[-1] = 1
+    return np.maximum(WORD_LEAST, WORD_SHARE * distance(no_common, words))
+
+
 def _verdicts(refs: dict[str, np.ndarray], features: pa.RecordBatch) -> pa.RecordBatch:
     get = lambda c: features.column(features.schema.get_field_index(c))
     n, repeat = get("n_words").to_numpy(), get("n_repeat_words").to_numpy()
@@ -127,7 +138,7 @@ def _verdicts(refs: dict[str, np.ndarray], features: pa.RecordBatch) -> pa.Recor
     char_d = np.where(n >= CHAR_MIN_WORDS, distance(chars, ref[:, :N_CLASSES]), 0.0)
     word_d = np.where(n >= WORD_MIN_WORDS, distance(words, ref[:, N_CLASSES:]), 0.0)
     failed = (n < 20) | (100 * repeat > 30 * n)
-    kept = ~failed & (char_d <= CHAR_LIMIT) & (word_d <= WORD_LIMIT)
+    kept = ~failed & (char_d <= CHAR_LIMIT) & (word_d <= word_limit(ref[:, N_CLASSES:]))
     return pa.RecordBatch.from_arrays([*map(get, ["key", *BASE]), pa.array(failed), pa.array(char_d), pa.array(word_d), pa.array(kept)], names=["key", *BASE, "base_failed", "char_distance", "word_distance", "kept"])
 
 

@@ -220,6 +220,20 @@ def test_quality(docs, none):
     assert quality.judge(none).count() == 0 and quality.keep(none).count() == 0
 
 
+def test_quality_words(spark):
+    rng = random.Random(5)
+    rare = ["".join(rng.choice("bcdfgklmnprstvaeiou") for _ in range(7)) for _ in range(400)]
+    parts = {"en": "the of and to in a is that it for on with".split(), "fr": "le la les de des du et un une que qui dans".split()}
+    clean = lambda lang: " ".join(rng.choice(parts[lang]) if rng.random() < 0.27 else rng.choice(rare) for _ in range(200))
+    junk = lambda: " ".join(rng.sample(rare, 120))
+    rows = [(f"clean {lang} {i}", lang, clean(lang)) for lang in parts for i in range(60)]
+    rows += [(f"junk {lang} {i}", lang, junk()) for lang in parts for i in range(5)]
+    rows += [(f"wrong {lang} {i}", lang, clean("fr" if lang == "en" else "en")) for lang in parts for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id string, lang string, text string")
+    assert sorted(r.doc_id for r in quality.judge(docs).collect() if r.kept) == sorted(i for i, *_ in rows if i.startswith("clean"))
+    assert sorted(r.doc_id for r in quality.keep(docs).collect()) == sorted(i for i, *_ in rows if i.startswith("clean"))
+
+
 def test_maximal_segments():
     rng = random.Random(11)
     for _ in range(200):
