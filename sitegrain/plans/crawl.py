@@ -7,6 +7,7 @@ are paced), and their links become the next level unless they were scheduled bef
 
 from __future__ import annotations
 
+import itertools
 import time
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -24,16 +25,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def crawl(seeds: DataFrame, pages: DataFrame, max_pages: int | None = None, max_depth: int = 100) -> DataFrame:
+def crawl(seeds: DataFrame, pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """(site, url, depth) of pages reached from ``seeds`` (site, url) by ``pages`` (site, url, internal_links).
 
     With ``max_pages``, each site's pages are cut to that number, by depth and then by URL. Links are followed
-    within the site, and only crawlable ones; each URL is scheduled once.
+    within the site, and only crawlable ones; each URL is scheduled once. It ends when no URL is left, at whatever
+    depth.
     """
     level = checkpointed(seeds.select("site", "url").distinct().withColumn("depth", F.lit(0)))
     scheduled = level.select("site", "url")
     done = None
-    for depth in range(max_depth + 1):
+    for depth in itertools.count():
         if level.isEmpty():
             break
         if max_pages is not None:
@@ -70,7 +72,9 @@ def retry_delay(attempt: int, retry_after: float | None = None, jitter: float =
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.site_tables import snapshot
 
-    pages = checkpointed(snapshot(spark, sf_dir).pages.select(F.col("snapshot_id").alias("site"), "url", "page_id", "internal_links"))
-    seeds = pages.groupBy("site").agg(F.min_by("url", "page_id").alias("url"))
-    reached = crawl(seeds, pages.select("site", "url", "internal_links"), max_pages=40, max_depth=3)
+    s = snapshot(spark, sf_dir)
+    pages = checkpointed(s.pages.select(F.col("snapshot_id").alias("site"), "url", "page_id", "internal_links"))
+    listed = s.sitemap_urls.select(F.col("snapshot_id").alias("site"), "url").filter(is_crawlable(F.col("url")))
+    seeds = pages.groupBy("site").agg(F.min_by("url", "page_id").alias("url")).unionByName(listed)
+    reached = crawl(seeds, pages.select("site", "url", "internal_links"))
     return reached.select("site", "url", F.col("depth").cast("long").alias("depth"))

@@ -3,8 +3,8 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from sitegrain.plans.crawl import RequestGate, crawl, retry_delay
-from sitegrain.sources import checkpoint, html, robots, sitemap
+from sitegrain.plans.crawl import RequestGate, crawl, query as crawl_query, retry_delay
+from sitegrain.sources import checkpoint, html, robots, site_tables, sitemap
 
 
 def test_extract():
@@ -55,6 +55,31 @@ def test_crawl(spark):
     assert crawl(seeds.limit(0), pages).count() == 0
 
 
+def test_crawl_whole(spark, tmp_path):
+    def brute(pages, seeds):
+        depth, level = dict.fromkeys(seeds, 0), list(seeds)
+        while level:
+            level = [u for v in level for u in pages.get(v, [])]
+            level = [u for u in dict.fromkeys(level) if u not in depth and not u[1].endswith(".pdf")]
+            depth |= {u: 1 + max(depth.values()) for u in level}
+        return depth
+
+    # two sites: a chain whose unlisted pages (number % 3 = 0) lie deep below the seeds, and one of over 40 pages
+    page = lambda *links: '<html lang="en"><head><meta charset="utf-8"></head><body>' + "".join(f'<a href="{x}">x</a>' for x in links) + "</body></html>"
+    rows = [(1, "https://a.com/", page("/c3", "/f.pdf"))] + [(k, f"https://a.com/c{k}", page(f"/c{k + 3}", "/")) for k in range(3, 24, 3)]
+    rows += [(100 + k + (k > 28), f"https://b.com/p{k}", page(f"/p{(k * 7) % 60}", "/nowhere")) for k in range(60)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    s = site_tables.snapshot(spark, str(tmp_path))
+    pages = {(r.snapshot_id, r.url): [(r.snapshot_id, x) for x in r.internal_links] for r in s.pages.collect()}
+    first = {}
+    for _, url, _ in sorted(rows):
+        first.setdefault(url[:13], url)
+    want = brute(pages, {*first.items(), *((r.snapshot_id, r.url) for r in s.sitemap_urls.collect())})
+    got = crawl_query(spark, str(tmp_path)).collect()
+    assert {(r.site, r.url): r.depth for r in got} == want and len(got) == len(want)
+    assert max(want.values()) > 3 and sum(site == "https://b.com" for site, _ in want) > 40
+
+
 def test_gate():
     now, slept = [0.0], []
     gate = RequestGate(0.1, lambda: now[0], slept.append)
