@@ -5,7 +5,9 @@ one bin. A language's reference is the mean over all its documents that are long
 rejected if the Jensen-Shannon distance (base 2, so 0 to 1) of either histogram from the reference exceeds its
 limit; a histogram counts only in documents of a minimum length. The limit of words is a share of the distance
 that a text with none of the common words has from the reference, so such texts are rejected wherever the list
-covers the language. The base rules reject texts of under 20 words or with over 30 % of words in repeated windows
+covers the language. A language of few documents, or none given, has its characters held against the mean over all
+documents, with letters of any script as one class, and its words, common or not, against the mean over its own.
+The base rules reject texts of under 20 words or with over 30 % of words in repeated windows
 of 8.
 """
 
@@ -15,9 +17,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialise, small, text_or_empty
+from .common import lookup, materialise, small, text_or_empty
 
 #: Common words of English, French, German and Spanish.
 COMMON = (
@@ -30,8 +32,8 @@ COMMON = (
 CHAR_LIMIT, CHAR_MIN_WORDS, WORD_MIN_WORDS = 0.3, 30, 100
 #: Limit of the distance of words: a share of that of a text without common words, and the least limit, for languages that the list hardly covers.
 WORD_SHARE, WORD_LEAST = 0.75, 0.25
-#: Documents that a language must have for a reference, and languages that have one at most (the most common).
-MIN_DOCS, MAX_LANGS = 20, 64
+#: Documents that a language must have for a reference of its own, and references that are broadcast at most; more are joined by shuffles.
+MIN_DOCS, BROADCAST_LANGS = 20, 10_000
 SYMBOLS, BLANKS, WINDOW = b"#*$%&|<>", b" \t\n\x0b\x0c\r", 8
 
 
@@ -45,7 +47,7 @@ def _class_table() -> np.ndarray:
 
 
 CLASSES = _class_table()
-N_CLASSES = 9
+N_CLASSES, LETTERS = 9, [0, 1, 7, 8]
 COMMON_AT = {w.encode(): k for k, w in enumerate(COMMON)}
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -101,15 +103,36 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _feature_batch(batch.column(0), batch.column(1), batch.column(2).to_pylist())
 
 
-def references(features: DataFrame) -> dict[str, np.ndarray]:
-    """Mean histograms by language (characters, then words) over all its documents that are long enough; at most MAX_LANGS languages."""
-    long = features.filter((F.col("n_words") >= WORD_MIN_WORDS) & F.col("lang").isNotNull())
+def _lang_key(lang: str = "lang") -> Column:
+    """Bytes that stand for a language; none given has its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(lang).cast("string")), F.lit("")).cast("binary")
+
+
+def references(features: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(_lang_key, _n, _reference) of every language, and the reference of all documents.
+
+    A reference holds the mean histograms (characters, then words; in 1e-9) over the documents that are long
+    enough, of which there are _n.
+    """
+    long = features.filter(F.col("n_words") >= WORD_MIN_WORDS).withColumn("_lang_key", _lang_key())
     shares = lambda col: F.transform(col, lambda x: F.round(x * F.lit(1e9) / F.greatest(F.lit(1), F.aggregate(col, F.lit(0), lambda a, b: a + b))).cast("long"))  # noqa: E731  whole numbers: sums don't depend on their order
-    bins = long.select("lang", F.posexplode(F.concat(shares(F.col("chars")), shares(F.col("words")))).alias("bin", "share"))
-    sums = bins.groupBy("lang", "bin").agg(F.sum("share").alias("share"), F.count("*").alias("n"))
-    by_lang = sums.groupBy("lang").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("bin", "share"))).alias("bins"))
-    top = by_lang.filter(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    return {r["lang"]: np.array([b["share"] for b in r["bins"]], float) for r in top}
+    bins = long.select("_lang_key", F.posexplode(F.concat(shares(F.col("chars")), shares(F.col("words")))).alias("bin", "share"))
+    sums = bins.groupBy("_lang_key", "bin").agg(F.sum("share").alias("share"), F.count("*").alias("_n"))
+    means = F.sort_array(F.collect_list(F.struct("bin", F.round(F.col("share") / F.col("_n")).cast("int").alias("mean"))))
+    table = materialise(sums.groupBy("_lang_key").agg(F.max("_n").alias("_n"), means.getField("mean").alias("_reference"), F.sort_array(F.collect_list(F.struct("bin", "share"))).getField("share").alias("sums")))
+    pooled = np.zeros(N_CLASSES + len(COMMON) + 1)
+    for r in table.select(F.posexplode("sums").alias("bin", "share")).groupBy("bin").agg(F.sum(F.col("share").cast("decimal(38,0)")).alias("share")).collect():
+        pooled[r["bin"]] = float(r["share"])
+    return table.drop("sums"), pooled
+
+
+def with_references(rows: DataFrame, table: DataFrame, lang_col: str = "lang") -> DataFrame:
+    """``rows`` with the _n and _reference of their language, null where it has no document that is long enough."""
+    keyed = rows.withColumn("_lang_key", _lang_key(lang_col))
+    if table.count() <= BROADCAST_LANGS:
+        return keyed.join(F.broadcast(table), "_lang_key", "left").drop("_lang_key")
+    sizes = materialise(keyed.groupBy("_lang_key").agg(F.count("*").alias("n")))
+    return lookup(keyed, table, "_lang_key", sizes, sizes.agg(F.sum("n")).first()[0]).drop("_lang_key")
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -128,35 +151,50 @@ def word_limit(words: np.ndarray) -> np.ndarray:
     return np.maximum(WORD_LEAST, WORD_SHARE * distance(no_common, words))
 
 
-def _verdicts(refs: dict[str, np.ndarray], features: pa.RecordBatch) -> pa.RecordBatch:
+def _merged(chars: np.ndarray) -> np.ndarray:
+    """Histograms of characters with letters of any script as one class."""
+    return np.concatenate([chars[..., LETTERS].sum(-1, keepdims=True), np.delete(chars, LETTERS, -1)], -1)
+
+
+def _two(words: np.ndarray) -> np.ndarray:
+    """Histograms of words as common ones and others."""
+    return np.stack([words[..., :-1].sum(-1), words[..., -1]], -1)
+
+
+def _verdicts(pooled: np.ndarray, features: pa.RecordBatch, n_docs: pa.Array, refs: pa.Array) -> pa.RecordBatch:
     get = lambda c: features.column(features.schema.get_field_index(c))
     n, repeat = get("n_words").to_numpy(), get("n_repeat_words").to_numpy()
-    none = np.zeros(N_CLASSES + len(COMMON) + 1)
-    ref = np.array([refs.get(x, none) for x in get("lang").to_pylist()]).reshape(-1, len(none))
+    ref = np.zeros((len(n), len(pooled)))
+    ref[refs.is_valid().to_numpy(zero_copy_only=False)] = refs.drop_null().flatten().to_numpy().reshape(-1, len(pooled))
+    own = n_docs.fill_null(0).to_numpy(zero_copy_only=False) >= MIN_DOCS
+    own &= get("lang").is_valid().to_numpy(zero_copy_only=False)
     chars = get("chars").flatten().to_numpy().reshape(-1, N_CLASSES).astype(float)
     words = get("words").flatten().to_numpy().reshape(-1, len(COMMON) + 1).astype(float)
-    char_d = np.where(n >= CHAR_MIN_WORDS, distance(chars, ref[:, :N_CLASSES]), 0.0)
-    word_d = np.where(n >= WORD_MIN_WORDS, distance(words, ref[:, N_CLASSES:]), 0.0)
+    ref_words = ref[:, N_CLASSES:]
+    char_d = np.where(own, distance(chars, ref[:, :N_CLASSES]), distance(_merged(chars), _merged(pooled[:N_CLASSES])))
+    word_d = np.where(own, distance(words, ref_words), distance(_two(words), _two(ref_words)))
+    limit = np.where(own, word_limit(ref_words), word_limit(_two(ref_words)))
+    char_d, word_d = np.where(n >= CHAR_MIN_WORDS, char_d, 0.0), np.where(n >= WORD_MIN_WORDS, word_d, 0.0)
     failed = (n < 20) | (100 * repeat > 30 * n)
-    kept = ~failed & (char_d <= CHAR_LIMIT) & (word_d <= word_limit(ref[:, N_CLASSES:]))
+    kept = ~failed & (char_d <= CHAR_LIMIT) & (word_d <= limit)
     return pa.RecordBatch.from_arrays([*map(get, ["key", *BASE]), pa.array(failed), pa.array(char_d), pa.array(word_d), pa.array(kept)], names=["key", *BASE, "base_failed", "char_distance", "word_distance", "kept"])
 
 
-def _judge(refs: dict[str, np.ndarray]):
+def _judge(pooled: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            yield _verdicts(refs, batch)
+            yield _verdicts(pooled, batch, batch["_n"], batch["_reference"])
 
     return run
 
 
-def _keep(refs: dict[str, np.ndarray]):
+def _keep(pooled: np.ndarray, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            lang = batch.column(batch.schema.get_field_index("lang")).cast(pa.string())
-            verdicts = _verdicts(refs, _feature_batch(pa.nulls(len(texts)), lang, texts))
-            yield batch.filter(verdicts.column(verdicts.schema.get_field_index("kept")))
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            features = _feature_batch(pa.nulls(len(texts)), batch["lang"].cast(pa.string()), texts)
+            verdicts = _verdicts(pooled, features, batch["_n"], batch["_reference"])
+            yield batch.select(columns).filter(verdicts["kept"])
 
     return run
 
@@ -165,13 +203,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """One row per input row: the id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept.
 
     A null or empty text has no words and fails the base rules. A document of a null or rare language (see
-    MIN_DOCS, MAX_LANGS) has no reference; only the base rules hold for it, and its distances are 0. Null and
-    repeated ids and rows stay; other columns are left out. An empty table gives no rows.
+    MIN_DOCS) is held against all documents and its language's. Null and repeated ids and rows stay; other columns are left out. An empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("key"), F.col(lang_col).cast("string").alias("lang"), text_or_empty(text_col).alias("text"))
     features = materialise(rows.mapInArrow(_features, f"key {kind}, lang string, {COUNTS}, chars array<int>, words array<int>"))
-    judged = features.mapInArrow(_judge(references(features)), f"key {kind}, {COUNTS}, base_failed boolean, char_distance double, word_distance double, kept boolean")
+    table, pooled = references(features)
+    judged = with_references(features, table).mapInArrow(_judge(pooled), f"key {kind}, {COUNTS}, base_failed boolean, char_distance double, word_distance double, kept boolean")
     return judged.withColumnRenamed("key", id_col)
 
 
@@ -179,7 +217,8 @@ def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (with text and lang) that ``judge`` keeps; columns and nulls stay as they are."""
     rows = docs.select(F.lit(None).cast("long").alias("key"), F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text"))
     features = rows.mapInArrow(_features, f"key long, lang string, {COUNTS}, chars array<int>, words array<int>")
-    return docs.mapInArrow(_keep(references(features)), docs.schema)
+    table, pooled = references(features)
+    return with_references(docs, table).mapInArrow(_keep(pooled, docs.columns), docs.schema)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

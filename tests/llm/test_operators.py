@@ -234,6 +234,22 @@ def test_quality_words(spark):
     assert sorted(r.doc_id for r in quality.keep(docs).collect()) == sorted(i for i, *_ in rows if i.startswith("clean"))
 
 
+@pytest.mark.parametrize("broadcast", [10_000, 0])
+def test_quality_languages(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(quality, "BROADCAST_LANGS", broadcast, raising=False)
+    rng = random.Random(6)
+    letters = {"latin": "bcdfgklmnprstvaeiou", "greek": "αβγδεζηθικλμνοπρστ"}
+    clean = lambda kind: " ".join("".join(rng.choice(letters[kind]) for _ in range(rng.randint(3, 8))) for _ in range(120))
+    soup = lambda: " ".join("".join(rng.choice("#$%&|<>*") for _ in range(5)) for _ in range(120))
+    langs = [(f"l{i}", "latin", 20) for i in range(65)] + [("rare", "latin", 18), ("el", "greek", 5), (None, "latin", 3), (None, "greek", 2)]
+    rows = [(f"clean {lang} {kind} {i}", lang, clean(kind)) for lang, kind, n in langs for i in range(n)]
+    rows += [(f"soup {lang}", lang, soup()) for lang in sorted({x for x, *_ in langs if x}) + [None, "single"]]
+    docs = spark.createDataFrame(rows, "doc_id string, lang string, text string")
+    want = sorted(i for i, *_ in rows if i.startswith("clean"))
+    assert sorted(r.doc_id for r in quality.judge(docs).collect() if r.kept) == want
+    assert sorted(r.doc_id for r in quality.keep(docs).collect()) == want
+
+
 def test_maximal_segments():
     rng = random.Random(11)
     for _ in range(200):
