@@ -72,7 +72,7 @@ def retry_delay(attempt: int, retry_after: float | None = None, jitter: float =
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.site_tables import snapshot
 
-    s = snapshot(spark, sf_dir)
+    s = snapshot(spark, sf_dir, whole=True)
     pages = checkpointed(s.pages.select(F.col("snapshot_id").alias("site"), "url", "page_id", "internal_links"))
     listed = s.sitemap_urls.select(F.col("snapshot_id").alias("site"), "url").filter(is_crawlable(F.col("url")))
     seeds = pages.groupBy("site").agg(F.min_by("url", "page_id").alias("url")).unionByName(listed)

@@ -49,12 +49,12 @@ def markup(k: Column, path: Column) -> Column:
 CHARSET = '<meta charset="utf-8">'
 
 
-def snapshot(spark: SparkSession, sf_dir: str, shift: int = 0) -> Snapshot:
-    """The sites of ``pages.parquet``. Shift 0 leaves out each 43rd page, so that other states have pages that are missing here."""
+def snapshot(spark: SparkSession, sf_dir: str, shift: int = 0, whole: bool = False) -> Snapshot:
+    """The sites of ``pages.parquet``. Shift 0 leaves out each 43rd page unless ``whole``, so that other states have pages that are missing here."""
     raw = spark.read.parquet(f"{sf_dir}/pages.parquet")
     keyed = raw.select("page_id", normalize_url(F.col("url")).alias("url"), origin(F.col("url")).alias("snapshot_id"), "html").filter("url is not null")
     keyed = keyed.groupBy("snapshot_id", "url").agg(F.min("page_id").alias("page_id"), F.min_by("html", "page_id").alias("html"))
-    if not shift:
+    if not shift and not whole:
         keyed = keyed.filter("page_id % 43 != 0")
     next_url = F.lead("url").over(Window.partitionBy("snapshot_id").orderBy("page_id"))
     k = F.col("page_id") + F.lit(shift)

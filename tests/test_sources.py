@@ -80,6 +80,12 @@ def test_crawl_whole(spark, tmp_path):
     assert max(want.values()) > 3 and sum(site == "https://b.com" for site, _ in want) > 40
 
 
+def test_crawl_each_43rd_page(spark, tmp_path):
+    page = '<html><head><meta charset="utf-8"></head><body><a href="/deep">x</a></body></html>'
+    spark.createDataFrame([(43, "https://a.com/", page)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {(r.url, r.depth) for r in crawl_query(spark, str(tmp_path)).collect()} == {("https://a.com/", 0), ("https://a.com/deep", 1)}
+
+
 def test_gate():
     now, slept = [0.0], []
     gate = RequestGate(0.1, lambda: now[0], slept.append)
