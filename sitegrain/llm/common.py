@@ -2,24 +2,55 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A key that holds more than 1/HEAVY of all rows is handled apart, so at most HEAVY keys are ever broadcast.
 HEAVY = 1000
+#: Rows and bytes of a batch that goes to a Python worker at most.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 #: Rows of one partition of a kept table whose row count is known, and its least number of partitions.
 PART_ROWS, LEAST_PARTS = 50_000, 16
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only where none is set (tests) make one."""
+    """Use the cluster's shared ``spark.checkpoint.dir``; only where none is set and all runs on one machine (tests) make one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def through(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``df.mapInArrow``, with batches of bounded size and with workers that hand freed memory back to the system at a task's end.
+
+    Lowers the session's limits on batches to ``BATCH`` where they are higher.
+    """
+    for key, most in BATCH.items():
+        now = df.sparkSession.conf.get(key).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            df.sparkSession.conf.set(key, most)
+
+    def run(batches):
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def materialise(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation and rows are the same for each reader.
 
@@ -80,3 +111,11 @@ def small(batches, rows: int = 256):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
