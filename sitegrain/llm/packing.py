@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small, text_or_empty
-from .tokens import WordTokenizer, slices
+from .common import small, text_or_empty, through
+from .tokens import slices, tokenizer
 
 #: Tokens of the longest sequence; a power of two.
 MAX_LENGTH = 4096
@@ -25,12 +25,12 @@ def binary_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
 
 def _packer(path: str, longest: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
-        for batch in small(batches):
+        words = tokenizer(path)
+        for batch in small(batches, 1024):
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
                 owner, start, length, tokens, flat = [], [], [], [], []
-                for i, ids in zip(range(a, b), tokenizer.encode_many(texts[a:b]), strict=True):
+                for i, ids in zip(range(a, b), words.encode_many(texts[a:b]), strict=True):
                     flat += [ids, np.array([end_id], np.uint32)]
                     at, n = 0, len(ids) + 1
                     for size in binary_lengths(n, longest):
@@ -57,7 +57,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_length: int = MAX_LENGTH, end
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    made = rows.mapInArrow(_packer(tokenizer_path, max_length, end_id), f"id {kind}, start long, length long, doc_tokens long, ids binary")
+    made = through(rows, _packer(tokenizer_path, max_length, end_id), f"id {kind}, start long, length long, doc_tokens long, ids binary")
     bucket = F.round(F.log2("length")).cast("int").alias("bucket")
     return made.select(F.col("id").alias(id_col), "start", "length", "doc_tokens", "ids", bucket, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 

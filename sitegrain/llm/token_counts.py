@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small, text_or_empty
-from .tokens import PIECE, WordTokenizer, slices
+from .common import small, text_or_empty, through
+from .tokens import PIECE, WordTokenizer, slices, tokenizer as tokenizer_of
 
 SPLIT = 4096
 _LEAF = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -28,6 +28,8 @@ class CountTree:
 
     def __init__(self, text: str, tokenizer: WordTokenizer, leaves: list[str] | None = None, counts: np.ndarray | None = None) -> None:
         """``leaves`` and ``counts``: the text's pre-tokens and their tokens, where the caller has them already."""
+        if not tokenizer.by_words:
+            raise ValueError("tokens that reach over blanks cannot be counted by pre-tokens")
         self.tokenizer = tokenizer
         self.encoded = 0
         self._build(leaves or _LEAF.findall(text) or [""], counts)
@@ -51,8 +53,7 @@ class CountTree:
     def _count(self, leaves: list[str]) -> np.ndarray:
         """Tokens of each leaf: its word's, as blanks have none."""
         self.encoded += len(leaves)
-        codes = self.tokenizer.codes([x.strip(" \n") for x in leaves])
-        return self.tokenizer.lengths[codes]
+        return self.tokenizer.counts([x.strip(" \n") for x in leaves])
 
     @property
     def tokens(self) -> int:
@@ -114,9 +115,7 @@ def _trees(texts: list[str], tokenizer: WordTokenizer) -> Iterator[CountTree]:
             yield CountTree(texts[a], tokenizer)
             continue
         leaves = [_LEAF.findall(t) or [""] for t in texts[a:b]]
-        flat = [x.strip(" \n") for one in leaves for x in one]
-        codes = tokenizer.codes(flat)  # before lengths: it may learn words
-        counts = tokenizer.lengths[codes]
+        counts = tokenizer.counts([x.strip(" \n") for one in leaves for x in one])
         at = 0
         for text, one in zip(texts[a:b], leaves, strict=True):
             yield CountTree(text, tokenizer, one, counts[at : at + len(one)])
@@ -125,7 +124,7 @@ def _trees(texts: list[str], tokenizer: WordTokenizer) -> Iterator[CountTree]:
 
 def _counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = tokenizer_of(path)
         for batch in small(batches):
             rows = []
             texts = batch.column(1).to_pylist()
@@ -155,7 +154,7 @@ def count_with_edits(docs: DataFrame, tokenizer_path: str, edits_col: str, id_co
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.col(edits_col).cast(EDITS).alias("edits"))
-    made = rows.mapInArrow(_counter(tokenizer_path), f"id {kind}, n_tokens long, n_pretokens long, tokens_after array<long>, n_tokens_edited long, n_chars_edited long, n_reencoded long")
+    made = through(rows, _counter(tokenizer_path), f"id {kind}, n_tokens long, n_pretokens long, tokens_after array<long>, n_tokens_edited long, n_chars_edited long, n_reencoded long")
     return made.withColumnRenamed("id", id_col)
 
 
