@@ -5,12 +5,14 @@ the length of the longest match that ends at each word; a match of the window's
 item) marks its words and names the items. Stretches that cannot hold a window, because too few adjacent word
 pairs in a row occur in items, are passed over first.
 
-The automaton is built on the driver from at most ``block_words`` words at a time. Items beyond that make
-further blocks, each matched against all documents in a pass of its own.
+The automaton is built on the driver from at most ``block_words`` words at a time and sent out as arrays. Items
+beyond that make further blocks, each matched against all documents in a pass of its own.
 """
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -18,11 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, small, text_or_empty
+from .common import materialise, small, text_or_empty, through
 
 WINDOW = 10
-#: Words of the items in one automaton: its size bound (about 200 bytes a word).
-BLOCK_WORDS = 500_000
+#: Words of the items in one automaton: its size bound (see ``Automaton.freeze``).
+BLOCK_WORDS = 250_000
 
 #: Bytes to words: A-Z to lower case, digits, letters and all non-ASCII bytes stay, others are blanks.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -36,7 +38,7 @@ class Automaton:
     """Generalised suffix automaton over word numbers, with the items of each window.
 
     ``items``: (item_id, words). A window is ``window`` consecutive words of an item, or the whole of a shorter
-    one; items without words have none.
+    one; items without words have none. Windows of an item whose id is null are hit like others.
     """
 
     def __init__(self, items: list[tuple], window: int = WINDOW) -> None:
@@ -55,17 +57,32 @@ class Automaton:
         for item, codes in coded:
             if len(codes) < window:
                 self.least = min(self.least, len(codes))
-                state = 0
-                for c in codes:
-                    state = self.next[state][c]
+                state = self._walk(codes)
                 self.whole.setdefault(state, set()).add((len(codes), item))
             else:
-                for state, length in self._stream(codes):
-                    if length >= window:
-                        self.holds.setdefault(self._cut(state), set()).add(item)
+                for end in range(window, len(codes) + 1):
+                    self.holds.setdefault(self._cut(self._walk(codes[end - window : end])), set()).add(item)
         pairs = {(a, b) for _, codes in coded for a, b in zip(codes, codes[1:], strict=False)}
         self.pairs = np.array(sorted((a << 32) | b for a, b in pairs), np.int64)
         self.above = self._marked_above()
+        self.freeze()
+
+    def freeze(self) -> None:
+        """From one dict for each state to arrays of its only transition, and dicts for the few states that branch.
+
+        Measured: about 200 bytes a word of the items (at most two states a word), and 830 while it is built.
+        """
+        self.symbol, self.target = (array("i", [-1]) * len(self.next) for _ in range(2))
+        self.branches: dict[int, dict[int, int]] = {}
+        for state, ways in enumerate(self.next):
+            if len(ways) == 1:
+                ((self.symbol[state], self.target[state]),) = ways.items()
+            elif ways:
+                self.branches[state] = ways
+        named: dict[frozenset, frozenset] = {}  # one object for windows of the same items
+        self.holds = {state: named.setdefault(own := frozenset(ids), own) for state, ids in self.holds.items()}
+        self.link, self.len, self.above = array("i", self.link), array("i", self.len), array("i", self.above)
+        del self.next
 
     def _extend(self, last: int, c: int) -> int:
         if c in self.next[last]:
@@ -97,15 +114,27 @@ class Automaton:
             p = self.link[p]
         return clone
 
+    def _walk(self, codes: list[int]) -> int:
+        state = 0
+        for c in codes:
+            state = self.next[state][c]
+        return state
+
     def _stream(self, codes) -> Iterator[tuple[int, int]]:
         state = length = 0
-        nexts, link, lens = self.next, self.link, self.len
+        symbol, target, branches, link, lens = self.symbol, self.target, self.branches, self.link, self.len
+        none: dict[int, int] = {}
         for c in codes:
-            while state and c not in nexts[state]:
+            while True:
+                to = target[state] if symbol[state] == c else branches.get(state, none).get(c, -1)
+                if to >= 0:
+                    state, length = to, length + 1
+                    break
+                if not state:
+                    length = 0
+                    break
                 state = link[state]
                 length = lens[state]
-            if c in nexts[state]:
-                state, length = nexts[state][c], length + 1
             yield state, length
 
     def _cut(self, state: int) -> int:
@@ -132,7 +161,7 @@ class Automaton:
                 mark = []
                 if length >= self.window:
                     mark.append(self.window)
-                    found |= self.holds.get(self._cut(state), set())
+                    found |= self.holds.get(self._cut(state), frozenset())
                 s = self.above[state]
                 while s > 0:
                     for size, item in self.whole.get(s, ()):
@@ -165,32 +194,54 @@ class Automaton:
             yield start, end + 1
 
 
-def _matcher(automaton, first: bool):
+def _matcher(automaton, first: bool, max_coverage: float | None):
+    """Adds the automaton's matches to those of earlier ones; with ``max_coverage``, the cleaned text as well."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton.value
         for batch in small(batches):
-            n_words, spans, items = [], [], []
-            before_s = None if first else batch.column(batch.schema.get_field_index("spans")).to_pylist()
-            before_i = None if first else batch.column(batch.schema.get_field_index("items")).to_pylist()
-            for k, text in enumerate(batch.column(batch.schema.get_field_index("text")).to_pylist()):
+            n_words, spans, items, cleaned = [], [], [], []
+            before_s, before_i = (None, None) if first else (batch[c].to_pylist() for c in ("spans", "items"))
+            for k, text in enumerate(batch["text"].to_pylist()):
                 words = split_words(text)
                 s, i = auto.hits(words)
-                i = {str(x) for x in i}
+                i = {str(x) for x in i if x is not None}
                 if not first:
                     s = merge([*((x["start"], x["end"]) for x in before_s[k]), *s])
                     i |= set(before_i[k])
                 n_words.append(len(words))
                 spans.append([{"start": a, "end": b} for a, b in s])
                 items.append(sorted(i))
-            keep = [batch.column(batch.schema.get_field_index(c)) for c in ("key", "text")]
-            yield pa.RecordBatch.from_arrays(
-                [*keep, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
-                names=["key", "text", "n_words", "spans", "items"],
-            )
+                if max_coverage is not None:
+                    cleaned.append(without(text, s, len(words), max_coverage))
+            columns = [batch["key"], batch["text"], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))]
+            names = ["key", "text", "n_words", "spans", "items"]
+            if max_coverage is not None:
+                columns.append(pa.array(cleaned, pa.string()))
+                names.append("cleaned")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def without(text: str, spans: list[tuple[int, int]], n_words: int, max_coverage: float) -> str | None:
+    """The text without the spans of words; None if they hold more than ``max_coverage`` of its words."""
+    if sum(b - a for a, b in spans) > max_coverage * n_words:
+        return None
+    if not spans:
+        return text
+    data = text.encode()
+    at = [m.span() for m in _WORD.finditer(data.translate(_TABLE))]
+    parts, last = [], 0
+    for a, b in spans:
+        parts.append(data[last : at[a][0]])
+        last = at[b - 1][1]
+    return b"".join([*parts, data[last:]]).decode()
+
+
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans that overlap or touch, joined; in order."""
     out: list[list[int]] = []
@@ -205,7 +256,7 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def item_blocks(items: DataFrame, item_id: str, item_text: str, block_words: int) -> Iterator[list[tuple]]:
     """The items' words in blocks of about ``block_words``, fetched from the cluster one partition at a time."""
     block, n = [], 0
-    for row in items.filter(F.col(item_id).isNotNull()).select(F.col(item_id), text_or_empty(item_text)).toLocalIterator():
+    for row in items.select(F.col(item_id), text_or_empty(item_text)).toLocalIterator():
         words = split_words(row[1])
         if block and n + len(words) > block_words:
             yield block
@@ -215,22 +266,27 @@ def item_blocks(items: DataFrame, item_id: str, item_text: str, block_words: int
     yield block
 
 
-def match(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def match(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_coverage: float | None = None) -> DataFrame:
     """One row per document: the id, text, n_words, spans (array of start, end: hit words, joined), items (array of item ids as strings, sorted).
 
-    Null texts have no words; items without words or with a null id have no windows; items with equal ids
-    count once. Null and repeated document ids and rows stay; other columns are left out. Empty
-    tables give no rows, or rows without hits.
+    With ``max_coverage`` also cleaned: the text without its hit spans, null where these hold a larger share of
+    the words. Null texts have no words; items without words have no windows. Words in windows of an item with a
+    null id are hit, but such an item is not named; items with equal ids count once. Null and repeated document
+    ids and rows stay; other columns are left out. Empty tables give no rows, or rows without hits.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"key {kind}, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
     out = docs.select(F.col(id_col).alias("key"), text_or_empty(text_col).alias("text"))
     blocks = item_blocks(items, item_id, item_text, block_words)
-    for k, block in enumerate(blocks):
+    block, k = next(blocks), 0
+    while block is not None:
+        after = next(blocks, None)
+        automaton = docs.sparkSession.sparkContext.broadcast(Automaton(block, window))  # bounded by block_words
         if k:
             out = materialise(out)
-        automaton = docs.sparkSession.sparkContext.broadcast(Automaton(block, window))
-        out = out.mapInArrow(_matcher(automaton, k == 0), schema)
+        last = max_coverage is not None and after is None
+        out = through(out, _matcher(automaton, k == 0, max_coverage if last else None), schema + ", cleaned string" * last)
+        block, k = after, k + 1
     return out.withColumnRenamed("key", id_col)
 
 
@@ -240,50 +296,20 @@ def report(matched: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return matched.select(id_col, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def _remover(max_coverage: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-        for batch in small(batches):
-            texts = []
-            for text, n, spans in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_text", "n_words", "spans")), strict=True):
-                hit = sum(s["end"] - s["start"] for s in spans)
-                if hit > max_coverage * n:
-                    texts.append(None)
-                elif not spans:
-                    texts.append(text)
-                else:
-                    data = text.encode()
-                    at = [m.span() for m in word.finditer(data.translate(_TABLE))]
-                    parts, last = [], 0
-                    for s in spans:
-                        parts.append(data[last : at[s["start"]][0]])
-                        last = at[s["end"] - 1][1]
-                    texts.append(b"".join([*parts, data[last:]]).decode())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "_clean"])
-
-    return run
-
-
-def clean(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5, **options) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5, text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
     """``docs`` with hit spans cut out of the texts; documents of which more than ``max_coverage`` of the words are hit go.
 
-    Takes and returns the columns of ``docs``, which must be those of documents (doc_id, text, lang, source, n_chars).
-    Texts without hits, null ones included, stay as they are.
+    Texts without hits, null ones included, stay as they are; ``chars_col``, where ``docs`` has it, follows the
+    text. Other columns and all names stay.
     """
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    packed = docs.select(F.struct("doc_id", *rest, F.col("text").isNull().alias("_null"), "n_chars").alias("_row"), "text")
-    matched = match(packed, items, id_col="_row", **options).withColumnRenamed("text", "_text")
-    kind = docs_kind(matched)
-    done = matched.mapInArrow(_remover(max_coverage), f"{kind}, _clean string").filter("_clean is not null")
-    text = F.when(F.col("_row._null"), F.lit(None)).otherwise(F.col("_clean"))
-    size = F.when(F.size("spans") > 0, F.length("_clean").cast("long")).otherwise(F.col("_row.n_chars"))
-    return done.select(*[(text if c == "text" else size if c == "n_chars" else F.col(f"_row.{c}")).alias(c) for c in docs.columns])
-
-
-def docs_kind(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    rest = [c for c in docs.columns if c != text_col]
+    row = F.struct(F.col(text_col).isNull().alias("no_text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])
+    matched = match(docs.select(row.alias("row"), F.col(text_col).alias("text")), items, id_col="row", max_coverage=max_coverage, **options).filter("cleaned is not null")
+    values = {c: F.col(f"row.c{i}") for i, c in enumerate(rest)}
+    values[text_col] = F.when(F.col("row.no_text"), F.lit(None)).otherwise(F.col("cleaned"))
+    if chars_col in values:
+        values[chars_col] = F.when(F.size("spans") > 0, F.length("cleaned").cast("long")).otherwise(values[chars_col])
+    return matched.select(*[values[c].alias(c) for c in docs.columns])
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
