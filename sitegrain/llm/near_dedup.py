@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import fingerprint, lookup, materialise, materialise_table, small, text_or_empty
+from .common import fingerprint, fresh, lookup, materialise, materialise_table, small, text_or_empty, through
 from .decontaminate import split_words
 from .tokens import slices
 
@@ -31,7 +31,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 7
 #: Members and bytes of a bucket that one task goes through.
 BUCKET_NODES, BUCKET_BYTES = 4096, 8_000_000
-#: Pivots of a larger bucket in each round after the first; parts that a pivot's comparisons are spread over.
+#: Pivots of a larger bucket in its second round (twice as many in each later one); parts that a pivot's comparisons are spread over.
 PIVOTS, PARTS = 64, 256
 #: Characters, and cells of darts, that are worked on at a time.
 SLICE, CELLS = 1 << 18, 1 << 18
@@ -219,7 +219,7 @@ def compare(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     members = parts.join(texts, "node").select("pivot", "part", F.lit(1).alias("kind"), "node", "text")
     heads = parts.select("pivot", "part").distinct().join(texts.withColumnRenamed("node", "pivot"), "pivot").select("pivot", "part", F.lit(0).alias("kind"), F.col("pivot").alias("node"), "text")
     rows = members.unionByName(heads).repartition("pivot", "part").sortWithinPartitions("pivot", "part", "kind")
-    return rows.mapInArrow(_compare(least), EDGE)
+    return through(rows, _compare(least), EDGE)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -329,10 +329,10 @@ def linked(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     small = (F.col("n") <= BUCKET_NODES) & (F.col("bytes") <= BUCKET_BYTES)
     buckets = materialise(sets.groupBy("n", "bytes", "x", "y").agg(F.min("band").alias("band")).select("band", small.alias("small")), n)
     rows = members.join(buckets.filter("small"), "band").join(texts, "node").select("band", "node", "text")
-    edges = materialise(rows.repartition("band").sortWithinPartitions("band", "node").mapInArrow(_compare_bucket(least), EDGE))
+    edges = materialise(through(rows.repartition("band").sortWithinPartitions("band", "node"), _compare_bucket(least), EDGE))
     roots = components(edges)
     members = materialise(members.join(buckets.filter("not small"), "band").select("band", "node", F.lit(False).alias("used")), n)
-    checked = None
+    checked, most = None, PIVOTS
     while not members.isEmpty():
         placed = members.join(roots, "node", "left").select("band", "node", "used", F.coalesce("root", "node").alias("root"))
         if checked is None:
@@ -341,7 +341,8 @@ def linked(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             nth = F.row_number().over(Window.partitionBy("band").orderBy("node"))
             largest = placed.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
             outside = placed.join(largest, "band").filter("not used and root != largest")
-            pivots = outside.withColumn("nth", nth).filter(F.col("nth") <= PIVOTS).select("band", F.col("node").alias("pivot"))
+            most *= 2
+            pivots = outside.withColumn("nth", nth).filter(F.col("nth") <= most).select("band", F.col("node").alias("pivot"))
         pivots = materialise(pivots, n)
         if pivots.isEmpty():
             break
@@ -359,7 +360,7 @@ def linked(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 def nodes_and_roots(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """``rows``: (fp, text, doc). Returns nodes (fp, node, first doc, n) and (node, root) of the linked ones."""
-    signed = rows.select("fp", "text", "doc").mapInArrow(_sign, "fp binary, first long, n long, bands array<long>")
+    signed = through(rows.select("fp", "text", "doc"), _sign, "fp binary, first long, n long, bands array<long>")
     nodes = materialise(signed.groupBy("fp").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
@@ -392,17 +393,18 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` (with doc_id and text) without near-duplicates: of each class one row stays, with the least doc_id (null ids last).
 
-    Defined as ``classes``; of equal rows with that id, one stays.
+    Defined as ``classes``; of equal rows with that id, one stays. Other columns and all names stay.
     """
     text = text_or_empty()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), text.alias("text"), fingerprint(text).alias("fp"))
     nodes, roots = nodes_and_roots(rows, similarity)
     placed = nodes.select("fp", "node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("first").isNull(), "first", "node")
-    kept = placed.groupBy("root").agg(F.min_by(F.struct("fp", "first"), order).alias("k")).select(F.col("k.fp").alias("_fp"), F.col("k.first").alias("_first"))
-    tagged = docs.withColumn("_fp", fingerprint(text))
-    candidates = tagged.join(kept, "_fp").filter(F.col("doc_id").eqNullSafe(F.col("_first")))
-    return candidates.dropDuplicates(["_fp"]).select(*docs.columns)
+    fp, kept_fp, first = (fresh(docs, c) for c in ("fp", "kept_fp", "first"))
+    kept = placed.groupBy("root").agg(F.min_by(F.struct("fp", "first"), order).alias("k")).select(F.col("k.fp").alias(kept_fp), F.col("k.first").alias(first))
+    # The id is part of the key: the rows of a large group of copies go to many tasks.
+    same = (F.col(fp) == F.col(kept_fp)) & F.col("doc_id").cast("long").eqNullSafe(F.col(first))
+    return docs.withColumn(fp, fingerprint(text)).join(kept, same).dropDuplicates([fp]).select(*docs.columns)
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
