@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small
+from .common import small, through
 
 #: Fixed control strings of the template.
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[OUT]", "[ROLE]", "[BODY]", "[/ROLE]", "<image>", "<audio>", "<document>"]
@@ -117,7 +117,7 @@ def format_conversations(turns: DataFrame, parts_col: str | None = None) -> Data
     null = lambda kind: F.lit(None).cast(kind)
     one = F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), null("string").alias("ref"), null("int").alias("width"), null("int").alias("height"), null("double").alias("seconds"), null("int").alias("pages"))) if parts_col is None else F.col(parts_col)
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), one.cast(PARTS).alias("parts"))
-    return rows.mapInArrow(_format, "conv_id long, turn long, role string, formatted string, attachments array<struct<type:string,ref:string,tokens:int>>, n_tokens long, loss boolean")
+    return through(rows, _format, "conv_id long, turn long, role string, formatted string, attachments array<struct<type:string,ref:string,tokens:int>>, n_tokens long, loss boolean")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """
     rows = formatted.select("conv_id", "turn", "formatted")
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
-    return ordered.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return through(ordered, _digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 #: Fixed rows of the registered query, beside the table.

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import lookup, materialise, small, text_or_empty
+from .common import lookup, materialise, small, text_or_empty, through
 
 #: Common words of English, French, German and Spanish.
 COMMON = (
@@ -207,18 +207,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("key"), F.col(lang_col).cast("string").alias("lang"), text_or_empty(text_col).alias("text"))
-    features = materialise(rows.mapInArrow(_features, f"key {kind}, lang string, {COUNTS}, chars array<int>, words array<int>"))
+    features = materialise(through(rows, _features, f"key {kind}, lang string, {COUNTS}, chars array<int>, words array<int>"))
     table, pooled = references(features)
-    judged = with_references(features, table).mapInArrow(_judge(pooled), f"key {kind}, {COUNTS}, base_failed boolean, char_distance double, word_distance double, kept boolean")
+    judged = through(with_references(features, table), _judge(pooled), f"key {kind}, {COUNTS}, base_failed boolean, char_distance double, word_distance double, kept boolean")
     return judged.withColumnRenamed("key", id_col)
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (with text and lang) that ``judge`` keeps; columns and nulls stay as they are."""
     rows = docs.select(F.lit(None).cast("long").alias("key"), F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text"))
-    features = rows.mapInArrow(_features, f"key long, lang string, {COUNTS}, chars array<int>, words array<int>")
+    features = through(rows, _features, f"key long, lang string, {COUNTS}, chars array<int>, words array<int>")
     table, pooled = references(features)
-    return with_references(docs, table).mapInArrow(_keep(pooled, docs.columns), docs.schema)
+    return through(with_references(docs, table), _keep(pooled, docs.columns), docs.schema)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small, text_or_empty
+from .common import small, text_or_empty, through
 
-#: Labelled documents of either class that a model is fitted on at most, and features that it holds at most.
-MAX_PER_CLASS, MAX_FEATURES = 20_000, 50_000
+#: Labelled documents of either class that a model is fitted on at most; so its features are bounded by their words.
+MAX_PER_CLASS = 20_000
 #: Least documents of the toxic class with a feature, its least z-score and log-odds; weight of the prior in documents.
 MIN_DOCS, MIN_Z, MIN_SCORE, PRIOR = 4, 3.0, 2.0, 50.0
 #: Score of any other word; highest score of a feature.
@@ -138,12 +138,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
         return Model({})
-    counts = first.mapInArrow(_count, "feature string, other long, toxic long").groupBy("feature").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    counts = through(first, _count, "feature string, other long, toxic long").groupBy("feature").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     prior = (F.col("toxic") + F.col("other")) / F.lit(n0 + n1) * F.lit(PRIOR)
     odds = lambda y, m: F.log((y + prior) / (F.lit(m + PRIOR) - y - prior))
     scored = counts.filter(F.col("toxic") >= MIN_DOCS).filter((F.col("toxic") + F.col("other")) < n0 + n1).withColumn("score", odds(F.col("toxic"), n1) - odds(F.col("other"), n0))
     z = F.col("score") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("other") + prior))
-    top = scored.withColumn("z", z).filter((F.col("z") >= MIN_Z) & (F.col("score") >= MIN_SCORE)).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
+    top = scored.withColumn("z", z).filter((F.col("z") >= MIN_Z) & (F.col("score") >= MIN_SCORE))
     model = Model({r["feature"]: min(r["score"], HIGHEST) for r in top.select("feature", "score").collect()})
     held = train.filter("fold = 4").select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
     _calibrate(model, held)
@@ -167,7 +167,7 @@ def _stats(model):
 def _calibrate(model: Model, held: DataFrame) -> None:
     """Sets lambda and K from other documents, then the logistic curve from both classes (bounded by the training sample)."""
     kinds = "toxic int, best double, n long, evidence double, values array<double>, counts array<long>"
-    rows = held.mapInArrow(_stats(model), kinds).collect()
+    rows = through(held, _stats(model), kinds).collect()
     other = [r for r in rows if not r["toxic"] and r["n"]]
     seen = Counter()
     for r in other:
@@ -181,7 +181,7 @@ def _calibrate(model: Model, held: DataFrame) -> None:
     model.rate = _rate(shares)
     gumbel = [model.rate * r["best"] - math.log(r["n"]) for r in other]
     model.k = math.exp(max(-12.0, sum(gumbel) / len(gumbel) - 0.5772))
-    again = held.mapInArrow(_stats(model), kinds).select("evidence", "toxic").collect()
+    again = through(held, _stats(model), kinds).select("evidence", "toxic").collect()
     model.slope, model.intercept = _logistic(np.array([math.log1p(r["evidence"]) for r in again]), np.array([r["toxic"] for r in again], float))
 
 
@@ -237,8 +237,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES entries
-    made = rows.mapInArrow(_scorer(shared), f"id {kind}, score double, passages array<struct<first_word:long,end_word:long,evidence:double>>")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
+    made = through(rows, _scorer(shared), f"id {kind}, score double, passages array<struct<first_word:long,end_word:long,evidence:double>>")
     return made.withColumnRenamed("id", id_col)
 
 

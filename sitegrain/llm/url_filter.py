@@ -4,18 +4,23 @@ A rule (host, path) becomes the interval of all byte strings that begin with its
 labels in reverse, a separator that no UTF-8 text contains, the path. URLs enter with the key of their host
 and of each parent domain. Keys and interval ends are sorted together and swept once: an interval's start
 pushes its rule on the stack, its end pops it, and the top of the stack is the longest rule that holds at a
-key. URLs are spread over sorted runs by hash, and the interval ends are repeated in each run, so no host,
-however common, loads one task.
+key. Keys and ends are dealt to tasks by ranges of their common order, in which equal keys are told apart by a
+hash, so no host or path, however common, loads one task; the stack that is open at a range's border is carried
+over from the ranges before.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import lookup, materialise
+
 #: Fixed rules of the registered query: verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: Verdict of a URL without a rule.
 DEFAULT = "allow"
+#: The top of the stack.
+TOP = "struct<length:int,host_length:int,verdict:string,rule:string>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,28 +68,32 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_col: st
     a rule has an empty host. Repeated rows and null ids stay; other columns are left out.
     """
     spark = pages.sparkSession
-    runs = runs or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rules = (
         rules.select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict").dropna()
         .groupBy("host", "path").agg(F.max("verdict").alias("verdict")).withColumn("rule", F.concat("host", "path"))
     )
     deepest = rules.agg(F.coalesce(F.max(F.size(F.split("host", r"\.", -1))), F.lit(0))).first()[0]
     host, path = host_and_path(F.col(url_col))
-    rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
+    url_key = F.unhex(F.sha2(canonical_key(F.col("host"), F.col("path")), 256)).alias("url")
+    rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path")).select("*", url_key)
     # Each pair once: a common URL becomes one row before anything is sorted.
-    pairs = rows.select("host", "path").distinct().withColumn("run", F.pmod(F.xxhash64("host", "path"), F.lit(runs)))
+    pairs = materialise(rows.groupBy("url").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.count("*").alias("n")))
     labels = F.split("host", r"\.", -1)
     parents = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max(1, deepest)))), lambda n: F.array_join(F.reverse(F.slice(labels, -n, n)), "."))
-    keys = pairs.withColumn("parent", F.explode(parents)).select("run", canonical_key(F.col("parent"), F.col("path")).alias("key"), F.struct("host", "path").alias("pair"))
-    ends = boundaries(rules).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-    events = ends.select(F.col("run").cast("long").alias("run"), "key", F.lit(None).cast(keys.schema["pair"].dataType).alias("pair"), "top").unionByName(
-        keys.select(F.col("run").cast("long").alias("run"), "key", "pair", F.lit(None).cast("struct<length:int,host_length:int,verdict:string,rule:string>").alias("top"))
-    )
-    sweep = Window.partitionBy("run").orderBy("key", F.col("pair").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    swept = events.withColumn("top", F.last("top", ignorenulls=True).over(sweep)).filter("pair is not null and top.rule is not null")
-    best = swept.groupBy("pair").agg(F.max("top").alias("best")).select(F.col("pair.host").alias("_host"), F.col("pair.path").alias("_path"), "best")
-    joined = rows.join(best, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
-    return joined.select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    keys = pairs.withColumn("parent", F.explode(parents)).select(canonical_key(F.col("parent"), F.col("path")).alias("key"), F.col("url"), F.lit(None).cast(TOP).alias("top"))
+    ends = boundaries(rules).select("key", F.lit(None).cast("binary").alias("url"), "top")
+    order = ["key", F.col("url").isNotNull(), "url"]  # ends before the keys that are equal to them
+    events = materialise(keys.unionByName(ends).repartitionByRange(runs, *order).withColumn("run", F.spark_partition_id()))
+    last = events.filter("top is not null").groupBy("run").agg(F.max_by("top", "key").alias("last"))
+    # One row for each run.
+    open_ = events.select("run").distinct().join(last, "run", "left").select("run", F.last("last", ignorenulls=True).over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)).alias("open"))
+    sweep = Window.partitionBy("run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    swept = events.withColumn("top", F.last("top", ignorenulls=True).over(sweep)).filter("url is not null").join(F.broadcast(open_), "run")
+    best = swept.withColumn("top", F.coalesce("top", "open")).filter("top.rule is not null").groupBy("url").agg(F.max("top").alias("best")).select("url", "best.rule", "best.verdict")
+    total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    out = lookup(rows, best, "url", pairs.select("url", "n"), total)
+    return out.select(id_col, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def op10_url_filter(spark, sf_dir: str) -> DataFrame:

@@ -59,29 +59,96 @@ def removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "limit"), [(400, 50_000), (60, 50_000), (60, 1)])
-def test_suffix_dedup(docs, none, length, limit):
-    got = suffix_dedup.dedup(docs, length, max_contexts=limit).collect()
+@pytest.mark.parametrize(("length", "passage", "limit"), [(400, 240, 50_000), (60, 40, 50_000), (60, 60, 1)])
+def test_suffix_dedup(docs, none, length, passage, limit):
+    got = suffix_dedup.dedup(docs, length, max_contexts=limit, passage_length=passage, passage_words=4).collect()
     want = Counter((i, *r) for (i, _), r in zip(ROWS, removed([t for _, t in ROWS], length), strict=True))
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == want
+    passages = [[(a, b) for a, b in spans if len((t or "").encode()[a:b].split()) > 4] for (_, t), spans in zip(ROWS, covered([t for _, t in ROWS], passage), strict=True)]
+    assert Counter((r.doc_id, tuple(map(tuple, r.passages))) for r in got) == Counter((i, tuple(p)) for (i, _), p in zip(ROWS, passages, strict=True))
     if limit == 1:
         assert suffix_dedup.dedup(none, length).count() == 0
 
 
+def covered(texts, length):
+    """Spans that repeated strings of ``length`` cover in each text, joined."""
+    seen = Counter(b[i : i + length] for t in texts for b in [(t or "").encode()] for i in range(len(b) - length + 1))
+    return [suffix_dedup.merge_spans((i, i + length) for b in [(t or "").encode()] for i in range(len(b) - length + 1) if seen[b[i : i + length]] > 1) for t in texts]
+
+
+@pytest.mark.parametrize("limit", [50_000, 1])
+def test_suffix_clean(docs, none, limit):
+    length, words = 60, 12
+    order = {t: hashlib.sha256(t.encode()).digest()[:16] for _, t in ROWS if t}
+    first = {}
+    for t in sorted(order, key=order.get):
+        b = t.encode()
+        for i in range(len(b) - length + 1):
+            first.setdefault(b[i : i + length], (t, i))
+    want = []
+    for i, t in ROWS:
+        b = (t or "").encode()
+        spans = suffix_dedup.merge_spans((k, k + length) for k in range(len(b) - length + 1) if first[b[k : k + length]] != (t, k))
+        spans = [(x, y) for x, y in spans if len(b[x:y].split()) > words]
+        left = suffix_dedup.cut(b, spans).decode(errors="ignore") if spans else t
+        if left or not spans:
+            want.append((i, left, "en", "s", len(left or ""), "x", 1, "y", "z"))
+    got = suffix_dedup.clean(docs, length, words, max_contexts=limit)
+    assert got.columns == docs.columns and Counter(map(tuple, got.collect())) == Counter(want)
+    kept = " ".join(r.text or "" for r in got.collect())
+    passage = ROWS[25][1].split()
+    assert kept.count(" ".join(passage[25:105])) == 1  # one occurrence stays
+    assert suffix_dedup.clean(docs.select("doc_id", "text")).count() > 0 and suffix_dedup.clean(none).count() == 0
+
+
+def test_suffix_dedup_long_texts(spark):
+    rng = random.Random(9)
+    write = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = write(500)
+    long = write(400_000) + passage + write(300_000) + passage[:450] + "Z" + write(100)
+    texts = [long, write(100) + passage, "q" * 700_000, write(50) + "é" * 300]
+    rows = suffix_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    spans = {r.doc_id: [(s["start"], s["end"]) for s in r.spans] for r in rows}
+    at = 400_000
+    assert spans == {0: [(at, at + 500), (at + 300_500, at + 300_950)], 1: [(100, 600)], 2: [(0, 700_000)], 3: [(50, 650)]}
+
+
 def test_run_index():
     rng = random.Random(3)
-    for _ in range(30):
-        contexts = list({(bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 12))), bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 12)))) for _ in range(8)})
-        if len(contexts) < 2:
-            continue
-        found = suffix_dedup.RunIndex([(a + b, len(a)) for a, b in contexts]).matches(9)
-        for i, (a, b) in enumerate(contexts):
-            want = set()
-            for j, (c, d) in enumerate(contexts):
-                left, right = suffix_dedup.common_prefix(a[::-1], c[::-1]), suffix_dedup.common_prefix(b, d)
-                if i != j and left + right >= 9:
-                    want |= set(range(len(a) - left, len(a) + right))
-            assert {x for left, right in found[i] for x in range(len(a) - left, len(a) + right)} == want
+    for _ in range(60):
+        rows = []
+        for family in range(rng.randint(1, 4)):
+            contexts = list({(bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 12))), bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 12)))) for _ in range(rng.randint(1, 8))})
+            rows += [(family, a + b, len(a)) for a, b in contexts]
+        rank = random.Random(len(rows)).sample(range(len(rows)), len(rows))
+        index = suffix_dedup.RunIndex(rows)
+        found, later = index.matches(5, suffix_dedup.np.array(rank))
+        for i, (family, data, place) in enumerate(rows):
+            for start in range(index.width):
+                k = start - index.zero + place
+                part = data[k : k + 5] if 0 <= k <= len(data) - 5 else None
+                same = [j for j, (f, d, p) in enumerate(rows) if part and j != i and f == family and k - place + p >= 0 and d[k - place + p : k - place + p + 5] == part]
+                assert found[i, start] == bool(same) and later[i, start] == any(rank[j] < rank[i] for j in same)
+
+
+def test_run_index_holds_its_contexts():
+    """Walking the runs gives every context back, and runs are few where contexts are alike."""
+    rng = random.Random(8)
+    base = bytes(rng.choice(b"abcdef") for _ in range(300))
+    rows = [(0, base[:k] + b"X" + base[k + 1 :], 100) for k in (5, 40, 200, 280)] + [(0, base, 100)] * 60 + [(1, base[50:250], 50)]
+    index = suffix_dedup.RunIndex(rows)
+    columns = list(index.columns_of_runs())
+    texts = [[] for _ in rows]
+    before = list(range(len(rows)))
+    for _, symbols, lengths, ends, order, _ in columns:
+        raw = [s for s, n in zip(symbols.tolist(), lengths.tolist(), strict=True) for _ in range(n)]
+        for row, s in zip(before, raw, strict=True):
+            if s:
+                texts[row].append(s - 1)
+        assert [before[i - 1] for i in suffix_dedup.np.cumsum(lengths).tolist()] == ends.tolist()
+        before = order.tolist()
+    assert [bytes(t[::-1]) for t in texts] == [d for _, d, _ in rows]
+    assert sum(len(lengths) for _, _, lengths, *_ in columns) < 0.1 * sum(len(d) for _, d, _ in rows)
 
 
 def test_packing(docs, none):
@@ -104,6 +171,39 @@ def test_packing(docs, none):
     assert packing.pack(none, TOKENIZER).count() == 0
 
 
+def test_packing_where_tokens_hold_blanks(spark, docs):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    assert not WordTokenizer(path).by_words and WordTokenizer(TOKENIZER).by_words
+    texts = ["two words  and\nblanks ", "", " x", "Ünï 😀" * 50]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).orderBy("doc_id", "start").collect()
+    for i, t in enumerate(texts):
+        ids = [*plain.encode(t, add_special_tokens=False).ids, 2]
+        assert b"".join(bytes(r.ids) for r in rows if r.doc_id == i) == b"".join(x.to_bytes(4, "little") for x in ids)
+    with pytest.raises(ValueError):
+        token_counts.CountTree("a b", WordTokenizer(path))
+
+
+def test_tokenizer_on_long_and_odd_texts(monkeypatch):
+    from sitegrain.llm import tokens
+
+    plain = WordTokenizer(TOKENIZER)
+    rng = random.Random(12)
+    bits = ["it's", "DON'T", "a1b2", "é\u0301", "e\u0301", "ﬁ", "\u00a0", "\u3000", "\t", "\r\n", "\x0b", "\x0c", "<|endoftext|>", "x<|endoftext|>y", "...", "!?", "ÀÉ,", "ß", "İ", "日本", "😀😀", "''", "'", "a'b", "_a_", "\u2028", "\x1c", "\x85"]
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", "", "  ", "\n"]) for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    texts.append(" ".join(rng.choice(bits) for _ in range(5000)))
+    want = [plain.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for piece, cache in ((1 << 21, 300_000), (300, 20)):
+        monkeypatch.setattr(tokens, "PIECE", piece)
+        monkeypatch.setattr(tokens, "CACHE_WORDS", cache)
+        own = WordTokenizer(TOKENIZER)
+        got = [ids for a, b in tokens.slices(texts, piece) for ids in own.encode_many(texts[a:b])]
+        assert [g.tolist() for g in got] == want
+        assert [own.encode(t).tolist() for t in texts] == want
+
+
 def packing_bytes(docs, doc):
     return [(r.start, bytes(r.ids)) for r in packing.pack(docs.filter(F.col("doc_id") == doc), TOKENIZER).collect()]
 
@@ -135,8 +235,30 @@ def test_near_dedup(docs, none, nodes, monkeypatch):
     want = Counter((ROWS[i][0], min((ROWS[j][0] for j in g if ROWS[j][0] is not None), default=None), len(g)) for g in groups.values() for i in g)
     assert Counter((r.doc_id, r.class_id, r.class_size) for r in near_dedup.classes(docs).collect()) == want
     if nodes == 2:
-        assert near_dedup.classes(none).count() == 0
-        assert near_dedup.keep_one(docs).count() == len(groups)
+        assert near_dedup.classes(none).count() == 0 and near_dedup.keep_one(none).count() == 0
+        kept = near_dedup.keep_one(docs)
+        least = Counter(min((ROWS[j][0] for j in g if ROWS[j][0] is not None), default=None) for g in groups.values())
+        assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == least
+
+
+def test_near_dedup_recall(spark):
+    """Every link of sf0.01 (by prefix-filtered brute force over all texts) lies inside one class."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets = [shingles(r.text) for r in rows]
+    often = Counter(x for s in sets for x in s)
+    index, links = defaultdict(list), 0
+    of = {r.doc_id: r.class_id for r in near_dedup.op3_near_dedup(spark, "/root/testdata/sf0.01").collect()}
+    for i, own in enumerate(sets):
+        elements = sorted(((x, k) for x, n in own.items() for k in range(n)), key=lambda e: (often[e[0]], e))
+        prefix = elements[: len(elements) - -(-8 * len(elements) // 10) + 1] if elements else []
+        for j in {j for e in prefix for j in index[e]}:
+            both = sum((own & sets[j]).values())
+            if both >= 0.8 * (len(elements) + sum(sets[j].values()) - both):
+                links += 1
+                assert of[rows[i].doc_id] == of[rows[j].doc_id]
+        for e in prefix:
+            index[e].append(i)
+    assert links > 20 and len(set(of.values())) > 0.5 * len(rows)
 
 
 def test_dart_similarity():
@@ -154,12 +276,12 @@ def test_decontaminate(spark, docs, none):
     words = base.split()
     items = [(1, " ".join(words[10:40])), (2, "One"), (10, "a B-c"), (4, None), (None, "x y"), (5, " ".join(words[:9])), (6, " ".join([*words[3:12], "zzz", *words[50:60]])), (7, " ".join(words[10:40]))]
     table = spark.createDataFrame(items, "item_id long, text string")
-    coded = [(i, decontaminate.split_words(t or "")) for i, t in items if i is not None]
+    coded = [(i, decontaminate.split_words(t or "")) for i, t in items]
     windows = defaultdict(set)
     for i, w in coded:
         n = min(10, len(w))
         for s in range(len(w) - n + 1 if w else 0):
-            windows[tuple(w[s : s + n])].add(str(i))
+            windows[tuple(w[s : s + n])].add(i)
 
     def brute(t):
         w = decontaminate.split_words(t or "")
@@ -168,15 +290,23 @@ def test_decontaminate(spark, docs, none):
             for s in range(len(w) - n + 1):
                 if found := windows.get(tuple(w[s : s + n])):
                     hit |= set(range(s, s + n))
-                    ids |= found
-        return len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)
+                    ids |= {str(x) for x in found if x is not None}
+        return hit, (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit))
+
+    def without(t, hit):
+        """The text without its hit words; the blanks between two hit words go with them."""
+        at = [m.span() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", (t or "").encode())]
+        gone = {x for k in hit for x in range(*at[k])} | {x for k in hit if k + 1 in hit for x in range(at[k][1], at[k + 1][0])}
+        return t if not hit else bytes(x for k, x in enumerate(t.encode()) if k not in gone).decode()
 
-    want = Counter((i, *brute(t)) for i, t in ROWS)
+    want = Counter((i, *brute(t)[1]) for i, t in ROWS)
     for block in (500_000, 20):
         got = decontaminate.report(decontaminate.match(docs, table, block_words=block)).collect()
         assert Counter(map(tuple, got)) == want
-    cleaned = {r.doc_id: r.text for r in decontaminate.clean(docs, table).filter("doc_id < 25").collect()}
-    assert all(cleaned[i] == t for i, t in ROWS if i is not None and i < 25 and i != 3 and brute(t)[1] == 0)
+        kept = [(i, without(t, brute(t)[0])) for i, t in ROWS if len(brute(t)[0]) <= 0.5 * brute(t)[1][0]]
+        cleaned = decontaminate.clean(docs, table, block_words=block)
+        assert cleaned.columns == docs.columns and Counter(map(tuple, cleaned.collect())) == Counter((i, t, "en", "s", len(t or ""), "x", 1, "y", "z") for i, t in kept)
+    assert decontaminate.clean(docs.select("doc_id", "text"), table).count() == len(kept)
     assert decontaminate.match(none, table).count() == 0 and decontaminate.match(docs, table.limit(0)).filter("size(items) > 0").count() == 0
 
 
@@ -196,7 +326,13 @@ def test_token_counts(docs, none):
             assert tree.edit(a, b, new) == count(text) and tree.text() == text
     with_edits = docs.withColumn("edits", token_counts.standard_edits(F.coalesce("text", F.lit(""))))
     for r in token_counts.count_with_edits(with_edits, TOKENIZER, "edits").filter("doc_id is not null").collect():
-        assert r.n_tokens == count(ROWS[r.doc_id][1] or "")
+        text = ROWS[r.doc_id][1] or ""
+        n, after = len(text), []
+        for a, b, new in ((n // 3, n // 3, " revised edition 2"), (n // 2, n // 2 + 25, ""), (n - 10, n - 4, "Don't stop")):
+            a = min(max(a, 0), len(text))
+            text = text[:a] + new + text[min(max(b, a), len(text)) :]
+            after.append(count(text))
+        assert (r.n_tokens, r.tokens_after, r.n_tokens_edited, r.n_chars_edited) == (count(ROWS[r.doc_id][1] or ""), after, after[-1], len(text))
     assert token_counts.count_with_edits(none.withColumn("edits", F.lit(None).cast(token_counts.EDITS)), TOKENIZER, "edits").count() == 0
 
 
@@ -251,15 +387,71 @@ def test_quality_languages(spark, monkeypatch, broadcast):
 
 
 def test_maximal_segments():
+    """Places and scores of all maximal segments: the best one, then those of what lies before and after it."""
     rng = random.Random(11)
-    for _ in range(200):
-        values = [rng.choice([-2, -1, 1, 2]) for _ in range(rng.randint(0, 14))]
+    for _ in range(300):
+        values = [rng.choice([-2.0, -1.0, 1.0, 2.0]) + rng.random() / 7 for _ in range(rng.randint(0, 14))]
 
         def best(a, b):
-            top = max(((sum(values[i:j]), -(j - i), i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=None)
-            return [] if not top or top[0] <= 0 else [*best(a, top[2]), (top[2], top[3], top[0]), *best(top[3], b)]
-
-        assert sum(s for *_, s in toxicity.maximal_segments(values)) == sum(s for *_, s in best(0, len(values)))
+            top = max(((sum(values[i:j]), i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=None)
+            return [] if not top or top[0] <= 0 else [*best(a, top[1]), (top[1], top[2], top[0]), *best(top[2], b)]
+
+        got, want = toxicity.maximal_segments(values), best(0, len(values))
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        assert all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(got, want, strict=True))
+
+
+def test_toxicity_model(spark):
+    """Log-odds with a Dirichlet prior, lambda and K against their definitions on a small table."""
+    import math
+
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 6))) for _ in range(120)]
+    bad = ["vileword", "vilewords", "nastyone"]
+    texts, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        text = [rng.choice(words) for _ in range(rng.randint(3, 60))]
+        if toxic:
+            text[1:1] = rng.choices(bad, k=rng.randint(3, 5))
+        texts.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    docs, table = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels + [(None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, table)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    first = [(set(re.findall(r"[^\W\d_]+", t)), y) for (i, t), (_, y) in zip(texts, labels, strict=True) if fold(i) not in (0, 4)]
+    n1, n0 = sum(y for _, y in first), sum(1 - y for _, y in first)
+    counts = defaultdict(lambda: [0, 0])
+    for found, y in first:
+        for f in {f for w in found for f in toxicity.features_of(w)}:
+            counts[f][y] += 1
+    want = {}
+    for f, (other, toxic) in counts.items():
+        prior = (toxic + other) / (n0 + n1) * toxicity.PRIOR
+        if toxic < toxicity.MIN_DOCS or toxic + other >= n0 + n1:
+            continue
+        odds = lambda y, m: math.log((y + prior) / (m + toxicity.PRIOR - y - prior))  # noqa: B023, E731
+        score = odds(toxic, n1) - odds(other, n0)
+        if score >= toxicity.MIN_SCORE and score / math.sqrt(1 / (toxic + prior) + 1 / (other + prior)) >= toxicity.MIN_Z:
+            want[f] = min(score, toxicity.HIGHEST)
+    assert model.scores.keys() == want.keys() and {"vileword", "nastyone"} <= want.keys()
+    assert all(abs(model.scores[f] - want[f]) < 1e-9 for f in want)
+    held = [(re.findall(r"[^\W\d_]+", t), y) for (i, t), (_, y) in zip(texts, labels, strict=True) if fold(i) == 4]
+    seen = Counter(round(model.word_score(w), 1) for found, y in held if not y for w in found)
+    total = sum(seen.values())
+    shares = {v: c / total for v, c in seen.items()}
+    for v in {round(s, 1) for s in model.scores.values()}:
+        shares.setdefault(v, 0.5 / total / len(model.scores))
+    assert abs(sum(p * math.exp(model.rate * s) for s, p in shares.items()) / sum(shares.values()) - 1) < 1e-6
+    best = [(max((s for *_, s in toxicity.maximal_segments([model.word_score(w) for w in found])), default=0.0), len(found)) for found, y in held if not y]
+    assert abs(math.log(model.k) - max(-12.0, sum(model.rate * b - math.log(n) for b, n in best) / len(best) - 0.5772)) < 1e-6
+    rows = toxicity.score(docs, model).collect()
+    for r in rows:
+        found = texts[r.doc_id][1].split()
+        floor = math.log(max(model.k * len(found), 1e-9))
+        segments = [(a, b, model.rate * s - floor) for a, b, s in toxicity.maximal_segments([model.word_score(w) for w in found]) if model.rate * s > floor]
+        assert [(p.first_word, p.end_word) for p in r.passages] == [x[:2] for x in segments]
+    assert sum((r.score >= 0.5) == (r.doc_id % 4 == 0) for r in rows) >= 396
 
 
 def test_toxicity_held_out(spark):
