@@ -106,6 +106,15 @@ def materialise_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path.toString())
 
 
+def discard(table: DataFrame) -> None:
+    """Remove the files of a ``materialise_table`` that nothing reads any more."""
+    files = table.inputFiles()
+    if files:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(batches, rows: int = 256):
     """The batches in slices, so that a worker holds few texts as Python objects at a time."""
     for batch in batches:

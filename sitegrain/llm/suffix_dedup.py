@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fingerprint, fresh, lookup, materialise, materialise_table, small, text_or_empty, through
+from .common import discard, fingerprint, fresh, lookup, materialise, materialise_table, small, text_or_empty, through
 from .near_dedup import mix
 
 LENGTH, PIECE = 400, 32
@@ -334,14 +334,15 @@ def marks(pieces: DataFrame, length: int, keep_first: bool = False, max_contexts
     own = ["anchor", "context", (F.col("first.at") - F.col("first.start")).alias("place"), (F.col("first.end") - F.col("first.start")).alias("size"), "copies", place_key("first.fp", "first.start").alias("owner")]
     wanted = kinds.filter("mixed").join(sizes, "anchor").select(F.col("first.fp").alias("fp"), F.col("first.base").alias("base"), F.col("first.start").alias("start"), *own, (F.col("contexts") > max_contexts).alias("large"))
     requests = wanted.groupBy("fp", "base").agg(F.collect_list(F.struct("start", "anchor", "context", "place", "size", "copies", "owner", "large")).alias("requests"))
-    local = found.filter("local").select("fp", "base", "start", "end")
+    local = materialise(found.filter("local").select("fp", "base", "start", "end"))
+    discard(found)
     involved = shared.select("fp", "base").unionByName(local.select("fp", "base")).distinct().join(requests, ["fp", "base"], "left")
     texts = materialise_table(pieces.groupBy("fp", "base").agg(F.first("data").alias("data")).join(involved, ["fp", "base"]))
     asked = texts.select("base", "data", F.explode("requests").alias("r"))
     columns = ["anchor", "context", "place", "size", "copies", "owner", "data"]
     contexts = asked.select("r.*", F.substring("data", (F.col("r.start") - F.col("base") + 1).cast("int"), F.col("r.size").cast("int")).alias("data"))
     single = kinds.filter("not mixed and copies > 1").select(*own, F.lit(None).cast("binary").alias("data"))
-    indexed = contexts.filter("not large").select(columns).unionByName(single).repartition("anchor").sortWithinPartitions("anchor")
+    indexed = contexts.filter("not large").select(columns).unionByName(single).repartition(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "anchor").sortWithinPartitions("anchor")
     verdicts = through(indexed, _index(length), f"anchor long, context long, owner binary, found {SPANS}, later {SPANS}")
     strings = through(contexts.filter("large").select("copies", *columns), _strings(length), "anchor long, context long, start long, left long, owner binary, digest binary")
     strings = strings.join(contexts.filter("large").select("anchor", "context", "copies"), ["anchor", "context"])
