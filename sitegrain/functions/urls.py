@@ -2,26 +2,41 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
 from pyspark.sql import Column, functions as F
 
 #: Fixed value: extensions of files that are not crawled.
-SKIPPED = (
-    "avif|bmp|css|csv|docx?|eot|gif|gz|ico|jpe?g|js|json|map|mp3|mp4|mov|ogg|otf|pdf|png|pptx?|rar|rss|svg|tar|tiff?|ttf|txt|wav|webm|webp|"
-    "woff2?|xlsx?|xml|zip"
-)
+SKIPPED = "avif|bmp|css|csv|docx?|eot|gif|gz|ico|jpe?g|js|json|map|mp3|mp4|mov|ogg|otf|pdf|png|pptx?|rar|rss|svg|tar|tiff?|ttf|txt|wav|webm|webp|woff2?|xlsx?|xml|zip"
 _PARTS = r"^(?i)(https?)://([^/?#]+)([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
+ENCODED = tuple(' "<>`{}')
+
+
+def _plain(url: Column) -> Column:
+    """Without blanks around and line ends inside, with slashes for backslashes, without user and password."""
+    url = F.when(url.rlike(r"^\s|\s$|[\t\n\r\\]"), F.replace(F.regexp_replace(F.regexp_replace(url, r"^\s+|\s+$", ""), r"[\t\n\r]", ""), F.lit("\\"), F.lit("/"))).otherwise(url)
+    return F.when(url.rlike(r"^(?i)https?://[^/?#]*@"), F.regexp_replace(url, r"^((?i)https?://)[^/?#]*@", "$1")).otherwise(url)
+
+
+def _without_dots(path: Column) -> Column:
+    """"." and ".." segments resolved."""
+    dot, two = (lambda x: F.lower(x).isin(".", "%2e")), (lambda x: F.lower(x).isin("..", "%2e.", ".%2e", "%2e%2e"))
+    step = lambda done, x: F.when(two(x), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(dot(x), done).otherwise(F.concat(done, F.array(x)))
+    resolved = F.aggregate(F.split(F.substr(path, F.lit(2)), "/"), F.array().cast("array<string>"), step)
+    return F.when(path.rlike(r"(?i)/(\.|%2e)"), F.concat(F.lit("/"), F.array_join(resolved, "/"))).otherwise(path)
+
+
 def _part(url: Column, n: int) -> Column:
     return F.regexp_extract(url, _PARTS, n)
 
 
 def encode_path(path: Column) -> Column:
-    """Non-ASCII characters as percent-encoded UTF-8."""
-    one = lambda c: F.when(F.octet_length(c) > 1, F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c)
-    return F.when(path.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(path, ""), one), "")).otherwise(path)
+    """Non-ASCII characters, blanks and those that a path cannot hold as percent-encoded UTF-8."""
+    one = lambda c: F.when((F.octet_length(c) > 1) | c.isin(*ENCODED), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c)
+    return F.when(path.rlike(r'[^\x00-\x7F]|[ "<>`{}]'), F.array_join(F.transform(F.split(path, ""), one), "")).otherwise(path)
 
 
 def origin(url: Column) -> Column:
@@ -32,8 +47,9 @@ def origin(url: Column) -> Column:
 
 
 def normalize_url(url: Column, include_query: bool = False) -> Column:
-    """Absolute URL without fragment, query (unless asked for) and trailing slashes; null for other schemes."""
-    path = _part(url, 3)
+    """Absolute URL without fragment, query (unless asked for) and trailing slashes; null for other schemes. International hosts keep their characters (``normalize`` encodes them)."""
+    url = _plain(url)
+    path = _without_dots(_part(url, 3))
     path = F.when(path == "", "/").otherwise(F.when(F.length(path) > 1, F.regexp_replace(path, "/+$", "")).otherwise(path))
     path = F.when(path == "", "/").otherwise(path)
     query = F.coalesce(_part(url, 4), F.lit("")) if include_query else F.lit("")
@@ -75,9 +91,9 @@ def normalize(url: str | None, base: str | None = None, include_query: bool = Fa
         return None
     path: list[str] = []
     for piece in (parts.path or "/").split("/")[1:]:
-        if piece in ("..", "%2e%2e"):
+        if piece.lower() in ("..", "%2e.", ".%2e", "%2e%2e"):
             path = path[:-1]
-        elif piece not in (".", "%2e"):
+        elif piece.lower() not in (".", "%2e"):
             path.append(piece)
     joined = "/" + "/".join(path)
     joined = joined.rstrip("/") or "/"
@@ -86,3 +102,8 @@ def normalize(url: str | None, base: str | None = None, include_query: bool = Fa
         host += f":{port}"
     safe = "%/:@!$&'()*+,;=-._~|^[]\\"
     return urlunsplit((scheme, host, quote(joined, safe=safe), quote(parts.query, safe=safe + "?{}`") if include_query else "", ""))
+
+
+def crawlable(url: str) -> bool:
+    """Like ``is_crawlable`` in Python, for normalised URLs."""
+    return not re.search(rf"(?i)\.(?:{SKIPPED})$", urlsplit(url).path)

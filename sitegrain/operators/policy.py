@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from datetime import date
+from datetime import UTC, date, datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,19 +17,19 @@ def severity_rank(severity: Column) -> Column:
 
 @dataclass
 class Policy:
-    """``enabled`` None: all rules; an empty list: none. ``suppressions``: dicts with rule, url_pattern, expires_at (date or None)."""
+    """``enabled`` None: all rules; an empty list: none. ``suppressions``: dicts with rule, url_pattern, expires_at (date or None: never); ``today`` is the date in UTC."""
 
     enabled: list[str] | None = None
     overrides: dict[str, str] = field(default_factory=dict)
     suppressions: list[dict] = field(default_factory=list)
-    today: date | None = None
+    today: date = field(default_factory=lambda: datetime.now(UTC).date())
 
     def suppressed(self) -> Column:
         path = F.regexp_replace(path_and_query(F.col("url")), r"\?.*$", "")
         out = F.lit(False)
         for s in self.suppressions:
             until = s.get("expires_at")
-            if until and self.today and until < self.today:
+            if until and until < self.today:
                 continue
             pattern = glob_regex(s["url_pattern"])
             out = out | ((F.col("rule") == s["rule"]) & (path.rlike(pattern) | F.col("url").rlike(pattern)))

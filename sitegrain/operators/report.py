@@ -14,6 +14,7 @@ from .policy import blocks, ordered
 #: Defaults of fields that an issue can lack, and the columns of the CSV export.
 DEFAULTS = {"fingerprint": "legacy", "severity": "info", "scope": "page", "url": "", "message": "", "owner": "seo", "remediation": "Review the finding and confirm the intended behavior.", "lifecycle": "current"}
 CSV = ["severity", "lifecycle", "rule", "owner", "url", "message", "before", "after", "remediation", "fingerprint"]
+RENDERED = ("evidence", "before", "after")
 SEARCHED = ["url", "rule", "message", "owner", "evidence", "before", "after"]
 
 
@@ -35,11 +36,31 @@ def matching(issues: DataFrame, lifecycle: str = "", severity: str = "", rule: s
         if value:
             issues = issues.filter(F.col(name) == value)
     if query.strip():
-        text = F.concat_ws(" ", *[F.coalesce(_column(issues, c), F.lit("")) for c in SEARCHED])
+        text = F.concat_ws(" ", *[_shown(issues, c) for c in SEARCHED])
         issues = issues.filter(F.contains(F.lower(text), F.lit(query.strip().lower())))
     return issues
 
 
+def _shown(issues: DataFrame, name: str) -> Column:
+    """A field as a report shows it; values that are missing or empty have words for that, which can be searched too."""
+    if name not in RENDERED:
+        return F.coalesce(_column(issues, name), F.lit(""))
+    return F.when(F.coalesce(_column(issues, name), F.lit("")) == "", "Not present").otherwise(_column(issues, name)) if name in issues.columns else F.lit("—")
+
+
+def rule_labels(issues: DataFrame) -> DataFrame:
+    """(rule, label) of the rules that occur, each once, in order: the choices of a report's rule filter."""
+    text = F.replace("rule", F.lit("-"), F.lit(" "))
+    return issues.select("rule").distinct().select("rule", F.concat(F.upper(F.substring(text, 1, 1)), F.substr(text, F.lit(2))).alias("label")).orderBy("rule")
+
+
+def lifecycle_counts(issues: DataFrame) -> DataFrame:
+    """One row per snapshot: numbers of new, ongoing, unchanged and resolved issues, and of the current ones (new and ongoing)."""
+    states = ("new", "ongoing", "unchanged", "resolved")
+    counts = issues.groupBy("snapshot_id").agg(*[F.count_if(F.col("lifecycle") == s).alias(s) for s in states])
+    return counts.withColumn("current", F.col("new") + F.col("ongoing"))
+
+
 def page_of(issues: DataFrame, number: int, size: int = 100) -> DataFrame:
     """Page ``number`` (from 1) of the issues in report order."""
     return ordered(issues).offset((max(number, 1) - 1) * size).limit(size)
@@ -50,7 +71,7 @@ def top(issues: DataFrame, n: int = 25) -> DataFrame:
 
 
 def escape_html(x: Column) -> Column:
-    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;")):
         x = F.replace(x, F.lit(char), F.lit(entity))
     return x
 
@@ -75,6 +96,10 @@ def summary(issues: DataFrame, threshold: str = "error") -> DataFrame:
     return issues.groupBy("snapshot_id").agg(*counts, F.countDistinct("url").alias("affected"), F.max(blocks(F.col("severity"), threshold)).alias("blocked"))
 
 
+def escape_text(value: object) -> str:
+    return html.escape("" if value is None else str(value)).replace("&#x27;", "&#039;")
+
+
 def _replace(path: str, write) -> None:
     draft = Path(f"{path}.draft")
     with draft.open("w", encoding="utf-8") as out:
@@ -88,11 +113,11 @@ def write_html(issues: DataFrame, path: str, title: str, partial: bool = False,
     rows = ordered(with_defaults(issues)).select(columns)
 
     def write(out):
-        name, note = html.escape(title), "<p>Partial result</p>" if partial else ""
-        out.write(f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{name}</title><style>h1{{color:{html.escape(color)}}}</style></head><body><h1>{name}</h1>{note}<table><thead><tr>')
+        name, note = escape_text(title), "<p>Partial result</p>" if partial else ""
+        out.write(f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{name}</title><style>h1{{color:{escape_text(color)}}}</style></head><body><h1>{name}</h1>{note}<table><thead><tr>')
         out.write("".join(f"<th>{c}</th>" for c in columns) + "</tr></thead><tbody>\n")
         for row in rows.toLocalIterator():
-            out.write("<tr>" + "".join(f"<td>{html.escape('' if x is None else str(x))}</td>" for x in row) + "</tr>\n")
+            out.write("<tr>" + "".join(f"<td>{escape_text(x)}</td>" for x in row) + "</tr>\n")
         out.write("</tbody></table></body></html>\n")
 
     _replace(path, write)

@@ -74,7 +74,7 @@ class PageParser(HTMLParser):
 
     def _meta(self, a: dict) -> None:
         name, prop, content = a.get("name", "").lower(), a.get("property", "").lower(), clean(a.get("content"))
-        if name in ("description", "robots"):
+        if name in ("description", "robots") and self.out.get(name) is None:
             self._first(name, content)
         elif prop.startswith("og:") and prop[3:] in self.out["og"]:
             self.out["og"][prop[3:]] = self.out["og"][prop[3:]] or content
@@ -85,8 +85,9 @@ class PageParser(HTMLParser):
         rel, href = a.get("rel", "").lower().split(), clean(a.get("href"))
         if "canonical" in rel:
             self._first("canonical_raw", href)
-        if "alternate" in rel and a.get("hreflang") and href:
-            self.out["hreflang"].append({"lang": a["hreflang"], "url": href})
+        lang = clean(a.get("hreflang"))
+        if "alternate" in rel and lang and href:
+            self.out["hreflang"].append({"lang": lang, "url": href})
 
     def _a(self, a: dict) -> None:
         if a.get("href"):
@@ -128,37 +129,42 @@ class PageParser(HTMLParser):
             self.text.append(text)
 
 
-def extract(html: str | None, url: str | None) -> dict:
-    """The record of one page; a null page has empty fields."""
+def extract(html: str | None, url: str | None, final_url: str | None = None, include_query: bool = False) -> dict:
+    """The record of one page; a null page has empty fields. Relative URLs count from ``final_url``, where redirects led; links keep queries if asked for."""
     parser = PageParser()
     parser.feed(html or "")
     parser.close()
     out = parser.out
-    out["canonical"] = normalize(out.get("canonical_raw"), url, include_query=True)
-    out["hreflang"] = [{"lang": h["lang"], "url": normalize(h["url"], url, include_query=True)} for h in out["hreflang"]]
-    found = sorted({n for x in out["links"] if (n := normalize(x, url, include_query=True))})
+    base = final_url or url
+    out["canonical"] = normalize(out.get("canonical_raw"), base, include_query=True)
+    out["hreflang"] = [{"lang": h["lang"], "url": normalize(h["url"], base, include_query=True)} for h in out["hreflang"]]
+    found = sorted({n for x in out["links"] if (n := normalize(x, base, include_query))})
     own = normalize(url, None) or ""
     home = "/".join(own.split("/")[:3])
     out["links"] = found
-    out["internal_links"] = sorted({n for x in found if "/".join(x.split("/")[:3]) == home and (n := normalize(x))})
+    out["internal_links"] = [x for x in found if "/".join(x.split("/")[:3]) == home]
     out["external_links"] = [x for x in found if "/".join(x.split("/")[:3]) != home]
     out["visible_text"] = " ".join(parser.text)
     return {name: out.get(name) for name, _ in FIELDS}
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = batch.schema.get_field_index
-        rows = [extract(h, u) for h, u in zip(batch.column(at("html")).to_pylist(), batch.column(at("url")).to_pylist(), strict=True)]
-        made = [pa.array([r[name] for r in rows], kind) for name, kind in FIELDS]
-        keep = [i for i, name in enumerate(batch.schema.names) if name != "html"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], *made], names=[*[batch.schema.names[i] for i in keep], *[name for name, _ in FIELDS]])
+def _run(include_query: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            final = batch["final_url"].to_pylist() if "final_url" in names else [None] * batch.num_rows
+            rows = [extract(h, u, f, include_query) for h, u, f in zip(batch["html"].to_pylist(), batch["url"].to_pylist(), final, strict=True)]
+            made = [pa.array([r[name] for r in rows], kind) for name, kind in FIELDS]
+            keep = [name for name in names if name != "html"]
+            yield pa.RecordBatch.from_arrays([*[batch[name] for name in keep], *made], names=[*keep, *[name for name, _ in FIELDS]])
 
+    return run
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """``pages`` (url, html, other columns) with the extracted fields in place of html; html goes no further than this."""
+
+def extract_pages(pages: DataFrame, include_query: bool = False) -> DataFrame:
+    """``pages`` (url, html, perhaps final_url, other columns) with the extracted fields in place of html; html goes no further than this."""
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != "html")
-    out = pages.mapInArrow(_run, f"{kept}, {SCHEMA}")
+    out = pages.mapInArrow(_run(include_query), f"{kept}, {SCHEMA}")
     from ..functions.text import content_hash, word_count
 
     return out.withColumn("word_count", word_count(F.col("visible_text"))).withColumn("content_hash", content_hash(F.col("visible_text")))

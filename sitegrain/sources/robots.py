@@ -23,8 +23,8 @@ def parse_robots(body: str | None, agent: str) -> list[tuple[str, str]]:
             open_ = True
             specific |= bool(value) and value != "*" and value.lower() in agent.lower()
         elif key in ("allow", "disallow"):
-            open_ = False
-            if value:
+            if value:  # a directive without a path does not end the lines of agents
+                open_ = False
                 if any(a and a != "*" and a in agent.lower() for a in agents):
                     named.append((key, value))
                 elif "*" in agents:

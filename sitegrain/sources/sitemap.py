@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import gzip
+import re
+import zlib
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -29,15 +30,16 @@ def decode(body: bytes, name: str = "", content_type: str = "") -> str:
     if len(body) > MAX_BYTES:
         raise ValueError("sitemap is too large")
     if name.endswith(".gz") or "gzip" in content_type or body[:2] == b"\x1f\x8b":
-        body = gzip.decompress(body)
+        unpack = zlib.decompressobj(31)
+        body = unpack.decompress(body, MAX_BYTES + 1)  # no more than is needed to tell
         if len(body) > MAX_BYTES:
             raise ValueError("sitemap is too large")
     return body.decode("utf-8", "replace")
 
 
-def load(start: str, fetch, max_files: int = MAX_FILES, max_urls: int = MAX_URLS) -> dict:
-    """Breadth-first through sitemap indexes. ``fetch(url)`` gives bytes. Returns url, urls (sorted), files, truncated, error."""
-    from ..functions.urls import normalize
+def load(start: str, fetch, max_files: int = MAX_FILES, max_urls: int = MAX_URLS, include_query: bool = False) -> dict:
+    """Through sitemap indexes, at most ``max_files`` files. ``fetch(url)`` gives bytes. Returns url, urls (sorted; crawlable ones of the site, without queries unless asked for), files, truncated, error."""
+    from ..functions.urls import crawlable, normalize
 
     home = "/".join(start.split("/")[:3])
     queue, seen, urls, files = [start], {start}, set(), 0
@@ -49,15 +51,40 @@ def load(start: str, fetch, max_files: int = MAX_FILES, max_urls: int = MAX_URLS
             root = ElementTree.fromstring(decode(fetch(at), at))
             found = [e.text.strip() for child in root for e in child if e.tag.rpartition("}")[2] == "loc" and e.text]
             for loc in found:
-                full = normalize(loc, at, include_query=True)
+                index = root.tag.rpartition("}")[2] == "sitemapindex"
+                full = normalize(loc, at, include_query=index or include_query)
                 if not full or "/".join(full.split("/")[:3]) != home:
                     continue
-                if root.tag.rpartition("}")[2] == "sitemapindex":
+                if index:
                     if full not in seen:
                         seen.add(full), queue.append(full)
-                elif len(urls) < max_urls:
+                elif crawlable(full) and len(urls) < max_urls:
                     urls.add(full)
-        out |= {"truncated": bool(queue) or len(urls) >= max_urls}
+            queue.sort()
+        out |= {"truncated": bool(queue) or files >= max_files or len(urls) >= max_urls}
     except (ValueError, OSError, ElementTree.ParseError) as e:
         out["error"] = str(e)
     return out | {"urls": sorted(urls), "files": files}
+
+
+#: Where sitemaps lie if robots.txt names none.
+USUAL = ("/sitemap.xml", "/sitemap.xml.gz", "/sitemap_index.xml")
+
+
+def discover(start: str, robots_body: str | None, fetch) -> str | None:
+    """The site's sitemap: the first of its own origin that robots.txt names, else the first usual place with a sitemap; None without one."""
+    from ..functions.urls import normalize
+
+    home = "/".join((normalize(start) or "").split("/")[:3])
+    for loc in re.findall(r"(?im)^sitemap:\s*(\S+)\s*$", robots_body or ""):
+        full = normalize(loc, f"{home}/robots.txt", include_query=True)
+        if full and "/".join(full.split("/")[:3]) == home:
+            return full
+    for path in USUAL:
+        try:
+            root = ElementTree.fromstring(decode(fetch(home + path), path))
+        except (ValueError, OSError, KeyError, ElementTree.ParseError):
+            continue
+        if root.tag.rpartition("}")[2] in ("urlset", "sitemapindex"):
+            return home + path
+    return None
