@@ -22,9 +22,10 @@ def _found(rule: str, message: Column | str, evidence: Column, identity: Column
 
 
 def _groups(pages: DataFrame, key: Column, name: str, with_urls: bool) -> DataFrame:
-    """(snapshot_id, key, urls or true) of keys that several pages share."""
+    """(snapshot_id, key, urls) of keys that several pages share; urls is the list, or one digest of it."""
     grouped = pages.select("snapshot_id", key.alias(f"_{name}"), "url").filter(f"_{name} is not null").groupBy("snapshot_id", f"_{name}")
-    urls = F.sort_array(F.collect_list("url")) if with_urls else F.array().cast("array<string>")
+    urls = F.sort_array(F.collect_list("url"))
+    urls = urls if with_urls else F.array(F.sha2(F.array_join(urls, "\n"), 256))
     return grouped.agg(F.count("*").alias("_n"), urls.alias(f"_{name}_urls")).filter("_n > 1").drop("_n")
 
 
@@ -32,8 +33,8 @@ def evaluate(pages: DataFrame, sites: DataFrame, sitemap_urls: DataFrame, enable
     """Findings (snapshot_id, url, rule, message, evidence, identity) of the rules on the current state.
 
     ``sites``: one row per snapshot with site_url, has_sitemap, sitemap_url, sitemap_error. Only what the
-    ``enabled`` rules need is joined; without ``with_urls``, evidence leaves out the URLs of duplicate groups,
-    which grow with the square of a group.
+    ``enabled`` rules need is joined; without ``with_urls``, evidence has a digest in place of the URLs of duplicate
+    groups, which grow with the square of a group.
     """
     on = set(CURRENT if enabled is None else enabled)
     out = pages.join(sites.select("snapshot_id", "site_url", "has_sitemap"), "snapshot_id")
@@ -78,6 +79,7 @@ def _page_rules(on: set[str]) -> list[Column]:
     refs = F.filter(F.concat(F.array("url", "canonical"), "internal_links"), http)
     no_alt = F.transform(F.filter("images", lambda i: i["alt"].isNull()), lambda i: i["src"])
     incomplete = lambda name, fields: F.lit(False) | F.exists(F.array(*[c(f"{name}.{f}") for f in fields]), empty)
+    # The messages.
     one = [
         ("robots-blocked", blocked, "Page is blocked by robots.txt", _json(actual=F.lit(True)), None),
         ("redirect-loop", ~blocked & error & loop, say("Page request failed: ", c("error")), _json(actual=c("error"), redirectChain=c("redirect_chain")), None),

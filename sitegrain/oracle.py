@@ -28,25 +28,30 @@ def base(n: int) -> str:
     links = "list_sort(list_distinct(list_transform(regexp_extract_all(h2, '<a href=\"([^\"]*)\"', 1), lambda x: site || " + fill(ENCODE, fill(LINK_PATH, fill(DECODE, "x"))) + ")))"
     return f"""
 n{n} as (select page_id, html, {ORIGIN} as site, {ORIGIN} || {NORMAL_PATH} as url from pages),
-u{n} as (select site, url, min(page_id) as page_id, arg_min(html, page_id) as html, min(page_id) + {n} as k from n{n} group by site, url{"" if n else " having min(page_id) % 43 <> 0"}),
-w{n} as (select *, substr(lead(url) over (partition by site order by page_id), length(site) + 1) as path from u{n}),
+g{n} as (select site, url, min(page_id) as page_id, arg_min(html, page_id) as html, min(page_id) + {n} as k from n{n} group by site, url),
+u{n} as (select * from g{n}{" union all select site, url || '-gone', page_id, html, k from g1 where page_id % 43 = 0" if n else ""}),
+v{n} as (select * replace (case when k % 8 = 7 then '<html lang="en"><head><meta charset="utf-8"><title>Copy</title></head><body><h1>Copy</h1><p>The same text stands on several pages of this site.</p></body></html>' else html end as html) from u{n}),
+z{n} as (select * replace (case when k % 4 = 3 then regexp_replace(html, '(?s)<title>.*?</title>', '<title>A title that pages share</title>') when k % 16 = 1 then regexp_replace(html, '(?s)<title>.*?</title>', '<title></title>')
+  when k % 16 = 5 then regexp_replace(html, '(?s)<title>.*?</title>', '<title>Short</title>') else html end as html) from v{n}),
+y{n} as (select * replace (case when k % 14 = 2 then replace(html, '<h1', '<h2') else html end as html) from z{n}),
+w{n} as (select * replace (case when k % 22 = 4 then replace(html, '<html lang="', '<html lang="xx_') else html end as html), substr(lead(url) over (partition by site order by page_id, url), length(site) + 1) as path from y{n}),
 i{n} as (select *, replace(html, '<meta charset="utf-8">', '<meta charset="utf-8">'
   || case when k % 9 = 0 then '<h1>Extra</h1>' else '' end
   || case when path is not null and k % 5 <> 1 then '<a href="' || path || '">next</a>' else '' end) as h2 from w{n}),
 t{n} as (select *, {fill(VISIBLE, "h2")} as visible, nullif({fill(CLEAN, fill(DECODE, "regexp_extract(h2, '(?s)<title>(.*?)</title>', 1)"))}, '') as title, {links} as links,
   nullif(regexp_extract(h2, '<html lang="([^"]*)"', 1), '') as lang from i{n}),
-e{n} as (select *, k % 29 = 0 as blocked, case when k % 29 = 0 then null when k % 31 = 0 then 'redirect loop detected' when k % 37 = 0 then 'timeout' end as error, case when k % 10 = 0 then k % 6 else 0 end as hops from t{n}),
-p{n} as (select site, url, k, title, lang, links, blocked, error, hops, not blocked and error is null as ok,
+q{n} as (select *, k % 29 = 0 as blocked, case when k % 29 = 0 then null when k % 31 = 0 then 'redirect loop detected' when k % 37 = 0 then 'timeout' end as error, case when k % 10 = 0 then k % 6 else 0 end as hops from t{n}),
+e{n} as (select *, case when not blocked and error is null then case when hops > 0 then site || '/moved' else url end end as final_url from q{n}),
+p{n} as (select site, url, k, title, lang, links, blocked, error, hops, not blocked and error is null as ok, final_url,
   case when not blocked and error is null then case when k % 13 = 1 then 404 when k % 17 = 1 then 503 else 200 end end as status,
-  case when not blocked and error is null then case when hops > 0 then site || '/moved' else url end end as final_url,
-  case when k % 5 = 0 then null when k % 7 = 0 then 'A description that several pages of this site have in common.' else 'Page ' || k || ' of this site has a description of its own, long enough to be useful.' end as description,
-  case when k % 6 = 0 then null when k % 23 = 0 then 'http://[bad' when k % 19 = 0 then 'https://elsewhere.example.org/c' else '?' end as canonical_raw,
-  case when k % 6 = 0 or k % 23 = 0 then null when k % 19 = 0 then 'https://elsewhere.example.org/c' else url end as canonical,
+  case when k % 5 = 0 then null when k % 7 = 0 then 'A description that several pages of this site have in common.' when k % 26 = 11 then 'Too short.' else 'Page ' || k || ' of this site has a description of its own, long enough to be useful.' end as description,
+  case when k % 6 = 0 then null when k % 23 = 0 then 'http://[bad' when k % 19 = 0 then 'https://elsewhere.example.org/c' when k % 34 = 9 then regexp_replace(site, '^https?', 'http') || '/c' else '?' end as canonical_raw,
+  case when k % 6 = 0 or k % 23 = 0 then null when k % 19 = 0 then 'https://elsewhere.example.org/c' when k % 34 = 9 then regexp_replace(site, '^https?', 'http') || '/c' else coalesce(final_url, url) end as canonical,
   case when k % 11 = 0 then 'noindex, follow' end as robots, case when k % 41 = 0 then 'noindex' end as x_robots,
   length(h2) - length(replace(h2, '<h1', '<h')) as h1, case when visible = '' then 0 else len(string_split(visible, ' ')) end as words, case when visible <> '' then sha256(lower(visible)) end as hash,
   k % 3 <> 0 as listed, visible from e{n}),
 m{n} as (select site, url from p{n} where listed),
-s{n} as (select site, site || '/' as site_url, min(page_id) as least, count(*) filter (k % 3 <> 0) as sitemap_count, min(page_id) % 5 <> 0 as complete from u{n} group by site),
+s{n} as (select site, site || '/' as site_url, min(page_id) as least, count(*) filter (k % 3 <> 0) as sitemap_count, min(page_id) % 5 <> 0 as complete, sha256('robots ' || case when min(page_id) % 2 = 0 then {n} else 0 end) as robots_sha from u{n} group by site),
 o{n} as (select m.site, m.url from m{n} m where not exists (select 1 from p{n} x, unnest(x.links) as l(t) where x.site = m.site and l.t = m.url)),
 b{n} as (select site, url, coalesce(cast(status as varchar), error) as actual from p{n} where error is not null or coalesce(status, 500) >= 400)"""
 
@@ -54,15 +59,31 @@ b{n} as (select site, url, coalesce(cast(status as varchar), error) as actual fr
 LANG_OK = r"regexp_matches(lower(lang), '^(?:[a-z]{2,3}|[a-z]{5,8})(?:-[a-z]{4})?(?:-(?:[a-z]{2}|[0-9]{3}))?$')"
 
 
+#: Messages of the rules, over the columns of a page.
+MESSAGES = {
+    "robots-blocked": "'Page is blocked by robots.txt'", "redirect-loop": "'Page request failed: ' || error", "page-unreachable": "'Page request failed: ' || error", "http-error": "'Page returned HTTP ' || status",
+    "noindex": "'Page contains a noindex meta directive'", "x-robots-noindex": "'Page contains a noindex X-Robots-Tag'", "missing-canonical": "'Page does not declare a canonical URL'",
+    "invalid-canonical": "'Canonical URL is invalid'", "cross-domain-canonical": "'Canonical points to another origin'", "long-redirect-chain": "'Page uses ' || hops || ' redirects'",
+    "noindex-in-sitemap": "'Sitemap URL is marked noindex'", "redirect-in-sitemap": "'Sitemap URL redirects'", "missing-title": "'Page does not have a title'", "title-length": "'Title length is ' || length(title) || ' characters'",
+    "missing-description": "'Page does not have a meta description'", "description-length": "'Description length is ' || length(description) || ' characters'", "missing-h1": "'Page does not contain an H1 heading'",
+    "multiple-h1": "'Page contains ' || h1 || ' H1 headings'", "crawlable-not-in-sitemap": "'Crawlable page is absent from the sitemap'", "http-on-https-site": "'HTTPS site references an internal HTTP URL'",
+    "invalid-language": "'HTML language declaration is invalid'", "missing-open-graph": "'Open Graph metadata is incomplete'", "missing-twitter-metadata": "'Twitter card metadata is incomplete'",
+    "image-missing-alt": "'1 image(s) do not have an alt attribute'", "low-word-count": "'Page contains approximately ' || words || ' visible words'", "canonical-target-error": "'Canonical target is unavailable'",
+    "broken-internal-link": "'Internal link points to an unavailable page'", "orphan-sitemap-page": "'Sitemap page has no discovered internal links'", "invalid-hreflang": "'Hreflang declaration is invalid'",
+    "malformed-json-ld": "'JSON-LD block contains invalid JSON'", "sitemap-unavailable": "'The configured sitemap could not be loaded'", "duplicate-title": "'Title is shared by multiple pages'",
+    "duplicate-description": "'Meta description is shared by multiple pages'", "duplicate-content": "'Main text is an exact duplicate of another page'",
+}
+
+
 def rules(n: int) -> dict[str, str]:
-    """For each rule, a query of (site, url, identity, evidence: equal where the findings' evidence is)."""
+    """For each rule, a query of (site, url, identity, evidence: equal where the findings' evidence is, message)."""
     p, simple = f"p{n}", {}
     noindex = "(robots is not null or x_robots is not null)"
     for rule, when, evidence in [
         ("robots-blocked", "blocked", "''"), ("redirect-loop", "not blocked and error like '%redirect loop%'", "error || hops"), ("page-unreachable", "not blocked and error not like '%redirect loop%'", "error || hops"),
         ("http-error", "ok and status >= 400", "cast(status as varchar)"), ("noindex", "ok and robots is not null", "robots"), ("x-robots-noindex", "ok and x_robots is not null", "x_robots"),
         ("missing-canonical", "ok and canonical_raw is null", "''"), ("invalid-canonical", "ok and canonical_raw is not null and canonical is null", "canonical_raw"),
-        ("cross-domain-canonical", "ok and canonical = 'https://elsewhere.example.org/c'", "canonical"), ("long-redirect-chain", "ok and hops > 3", "cast(hops as varchar)"),
+        ("cross-domain-canonical", "ok and not starts_with(canonical, site || '/')", "canonical"), ("long-redirect-chain", "ok and hops > 3", "cast(hops as varchar)"),
         ("noindex-in-sitemap", f"ok and listed and {noindex}", "coalesce(robots, x_robots)"), ("redirect-in-sitemap", "ok and listed and hops > 0", "cast(hops as varchar)"),
         ("missing-title", "ok and title is null", "''"), ("title-length", "ok and (length(title) < 10 or length(title) > 60)", "title"), ("missing-description", "ok and description is null", "''"),
         ("description-length", "ok and (length(description) < 50 or length(description) > 160)", "description"), ("missing-h1", "ok and h1 = 0", "''"), ("multiple-h1", "ok and h1 > 1", "cast(h1 as varchar)"),
@@ -70,37 +91,43 @@ def rules(n: int) -> dict[str, str]:
         ("http-on-https-site", "ok and site like 'https:%' and (canonical like 'http:%')", "canonical"), ("invalid-language", f"ok and lang is not null and not {LANG_OK}", "lang"),
         ("missing-open-graph", "ok and k % 3 <> 0", "''"), ("missing-twitter-metadata", "ok and k % 8 <> 0", "''"), ("image-missing-alt", "ok and k % 4 = 0", "''"), ("low-word-count", "ok and words < 200", "cast(words as varchar)"),
     ]:
-        simple[rule] = f"select site, url, 'null' as identity, {evidence} as evidence from {p} where {when}"
-    simple["canonical-target-error"] = f"select p.site, p.url, {fill(Q, 'p.canonical')} as identity, b.actual as evidence from {p} p join b{n} b on b.site = p.site and b.url = p.canonical where ok"
-    simple["broken-internal-link"] = f"select p.site, p.url, {fill(Q, 'b.url')} as identity, b.actual as evidence from (select site, url, unnest(links) as t from {p} where ok) p join b{n} b on b.site = p.site and b.url = p.t"
-    simple["orphan-sitemap-page"] = f"select p.site, p.url, 'null' as identity, '' as evidence from {p} p join o{n} using (site, url) where ok and p.url <> p.site || '/'"
-    simple["invalid-hreflang"] = "select site, url, '{lang:\"en_bad\",url:\"' || site || '/alternate\"}' as identity, '' as evidence from " + p + " where ok and k % 13 = 0"
-    simple["malformed-json-ld"] = f"select site, url, '0' as identity, '' as evidence from {p} where ok and k % 17 = 0"
-    simple["sitemap-unavailable"] = f"select site, site || '/sitemap.xml' as url, 'null' as identity, '' as evidence from s{n} where least % 7 = 0"
+        simple[rule] = f"select site, url, 'null' as identity, {evidence} as evidence, {MESSAGES[rule]} as message from {p} where {when}"
+    simple["canonical-target-error"] = f"select p.site, p.url, {fill(Q, 'p.canonical')} as identity, b.actual as evidence, {MESSAGES["canonical-target-error"]} as message from {p} p join b{n} b on b.site = p.site and b.url = p.canonical where ok"
+    simple["broken-internal-link"] = f"select p.site, p.url, {fill(Q, 'b.url')} as identity, b.actual as evidence, {MESSAGES["broken-internal-link"]} as message from (select site, url, unnest(links) as t from {p} where ok) p join b{n} b on b.site = p.site and b.url = p.t"
+    simple["orphan-sitemap-page"] = f"select p.site, p.url, 'null' as identity, '' as evidence, {MESSAGES['orphan-sitemap-page']} as message from {p} p join o{n} using (site, url) where ok and p.url <> p.site || '/'"
+    simple["invalid-hreflang"] = "select site, url, '{lang:\"en_bad\",url:\"' || site || '/alternate\"}' as identity, '' as evidence, " + MESSAGES["invalid-hreflang"] + " as message from " + p + " where ok and k % 13 = 0"
+    simple["malformed-json-ld"] = f"select site, url, '0' as identity, '' as evidence, {MESSAGES['malformed-json-ld']} as message from {p} where ok and k % 17 = 0"
+    simple["sitemap-unavailable"] = f"select site, site || '/sitemap.xml' as url, 'null' as identity, '' as evidence, {MESSAGES['sitemap-unavailable']} as message from s{n} where least % 7 = 0"
     for rule, key, actual in [("duplicate-title", "lower(trim(title))", "title"), ("duplicate-description", "lower(trim(description))", "description"), ("duplicate-content", "hash", "''")]:
-        simple[rule] = f"select site, url, {fill(Q, 'key')} as identity, {actual} || urls as evidence from (select *, {key} as key from {p}) join (select site, {key} as key, cast(list_sort(list(url)) as varchar) as urls from {p} where {key} is not null group by all having count(*) > 1) using (site, key) where ok"
+        simple[rule] = f"select site, url, {fill(Q, 'key')} as identity, {actual} || urls as evidence, {MESSAGES[rule]} as message from (select *, {key} as key from {p}) join (select site, {key} as key, cast(list_sort(list(url)) as varchar) as urls from {p} where {key} is not null group by all having count(*) > 1) using (site, key) where ok"
     return simple
 
 
 def changes() -> dict[str, str]:
-    """For each regression rule (p1 before, p0 after), a query of (site, url, severity or null)."""
+    """For each regression rule (p1 before, p0 after), a query of (site, url, own severity or null, message, before, after)."""
     pairs = "(select b.*, a as a from p1 b left join p0 a using (site, url)) join s0 using (site)"
     blocked = "a.url is not null and a.blocked and not blocked"
     fails = f"a.url is not null and not ({blocked}) and a.error is not null and error is null"
     go = f"a.url is not null and not ({blocked}) and not ({fails})"
     flags = "(robots is not null or x_robots is not null)"
     out = {}
-    for rule, when, severity in [
-        ("page-missing", "a.url is null and complete", "null"), ("robots-blocked", blocked, "null"), ("redirect-loop", f"{fails} and a.error like '%redirect loop%'", "null"), ("page-unreachable", f"{fails} and a.error not like '%redirect loop%'", "null"),
-        ("status-regression", f"{go} and status < 400 and coalesce(a.status, 500) >= 400", "null"), ("new-noindex", f"{go} and not {flags} and (a.robots is not null or a.x_robots is not null)", "null"),
-        ("title-removed", f"{go} and title is not null and a.title is null", "null"), ("title-changed", f"{go} and title <> a.title", "null"), ("description-removed", f"{go} and description is not null and a.description is null", "null"),
-        ("canonical-removed", f"{go} and canonical is not null and a.canonical is null", "null"),
-        ("canonical-changed", f"{go} and canonical <> a.canonical", "case when a.canonical like 'https://elsewhere.example.org/%' then 'error' end"),
-        ("h1-removed", f"{go} and h1 > 0 and a.h1 = 0", "null"), ("redirect-changed", f"{go} and final_url <> a.final_url", "null"),
+    flagged = lambda t: f"coalesce({t}robots, '') || ',' || coalesce({t}x_robots, '')"
+    for rule, when, severity, message, before, after in [
+        ("page-missing", "a.url is null and complete", "null", "'Page was not checked'", "status", "null"), ("robots-blocked", blocked, "null", "'Page is now blocked by robots.txt'", "'false'", "'true'"),
+        ("redirect-loop", f"{fails} and a.error like '%redirect loop%'", "null", "'Page request failed: ' || a.error", "error", "a.error"),
+        ("page-unreachable", f"{fails} and a.error not like '%redirect loop%'", "null", "'Page request failed: ' || a.error", "error", "a.error"),
+        ("status-regression", f"{go} and status < 400 and coalesce(a.status, 500) >= 400", "null", "'HTTP status regressed from ' || status || ' to ' || coalesce(cast(a.status as varchar), 'none')", "status", "a.status"),
+        ("new-noindex", f"{go} and not {flags} and (a.robots is not null or a.x_robots is not null)", "null", "'Page now contains a noindex directive'", flagged(""), flagged("a.")),
+        ("title-removed", f"{go} and title is not null and a.title is null", "null", "'Page title was removed'", "title", "a.title"), ("title-changed", f"{go} and title <> a.title", "null", "'Page title changed'", "title", "a.title"),
+        ("description-removed", f"{go} and description is not null and a.description is null", "null", "'Meta description was removed'", "description", "a.description"),
+        ("canonical-removed", f"{go} and canonical is not null and a.canonical is null", "null", "'Canonical URL was removed'", "canonical", "a.canonical"),
+        ("canonical-changed", f"{go} and canonical <> a.canonical", "case when not starts_with(a.canonical, site || '/') then 'error' end", "'Canonical URL changed'", "canonical", "a.canonical"),
+        ("h1-removed", f"{go} and h1 > 0 and a.h1 = 0", "null", "'All H1 headings were removed'", "h1", "a.h1"), ("redirect-changed", f"{go} and final_url <> a.final_url", "null", "'Final redirect URL changed'", "final_url", "a.final_url"),
     ]:
-        out[rule] = f"select site, url, cast({severity} as varchar) as own from (select * from {pairs}) where {when}"
-    out["robots-changed"] = "select site, site || '/robots.txt' as url, cast(null as varchar) as own from s1 join s0 using (site) where s1.least % 2 = 0"
-    out["sitemap-url-count-drop"] = "select site, site || '/sitemap.xml' as url, cast(null as varchar) as own from (select b.site, b.sitemap_count as b, a.sitemap_count as a, a.complete from s1 b join s0 a using (site)) where complete and b > 0 and b - a >= greatest(5, ceil(b * 0.2::double))"
+        out[rule] = f"select site, url, cast({severity} as varchar) as own, {message} as message, cast({before} as varchar) as before, cast({after} as varchar) as after from (select * from {pairs}) where {when}"
+    none = "cast(null as varchar) as own"
+    out["robots-changed"] = f"select site, site || '/robots.txt' as url, {none}, 'robots.txt content changed' as message, s1.robots_sha as before, s0.robots_sha as after from s1 join s0 using (site) where s1.robots_sha <> s0.robots_sha"
+    out["sitemap-url-count-drop"] = f"select site, site || '/sitemap.xml' as url, {none}, 'Sitemap URL count dropped by ' || (b - a) as message, cast(b as varchar) as before, cast(a as varchar) as after from (select b.site, b.sitemap_count as b, a.sitemap_count as a, a.complete from s1 b join s0 a using (site)) where complete and b > 0 and b - a >= greatest(5, ceil(b * 0.2::double))"
     return out
 
 
@@ -110,24 +137,24 @@ PRINT = "substr(sha256(rule || chr(10) || scope || chr(10) || url || chr(10) ||
 
 def _issues(n: int, only: str | None = None) -> str:
     parts = [f"select '{r}' as rule, * from ({q})" for r, q in rules(n).items() if only in (None, r)]
-    return f"a{n} as (select site as snapshot_id, rule, severity, scope, owner, url, {PRINT.format('identity')} as fingerprint, evidence from ({' union all '.join(parts)}) join catalog using (rule))"
+    return f"a{n} as (select site as snapshot_id, rule, severity, scope, owner, url, {PRINT.format('identity')} as fingerprint, evidence, message from ({' union all '.join(parts)}) join catalog using (rule))"
 
 
 def _changed(only: str | None = None) -> str:
     parts = [f"select '{r}' as rule, * from ({q})" for r, q in changes().items() if only in (None, r)]
-    return f"""c as (select site as snapshot_id, rule, coalesce(own, severity) as severity, scope, owner, url, {PRINT.format("'null'")} as fingerprint from ({' union all '.join(parts)}) join catalog using (rule))"""
+    return f"""c as (select site as snapshot_id, rule, coalesce(own, severity) as severity, scope, owner, url, {PRINT.format("'null'")} as fingerprint, message, before, after from ({' union all '.join(parts)}) join catalog using (rule))"""
 
 
-COLUMNS = "snapshot_id, rule, severity, scope, owner, url, fingerprint"
+COLUMNS = "snapshot_id, rule, severity, scope, owner, url, fingerprint, message"
 DIFF = """
-x1 as (select snapshot_id, fingerprint, max(rule) as rule, max(severity) as severity, max(scope) as scope, max(url) as url, max(evidence) as evidence from a1 group by all),
-x0 as (select snapshot_id, fingerprint, max(rule) as rule, max(severity) as severity, max(scope) as scope, max(url) as url, max(evidence) as evidence from a0 group by all),
-f as (select coalesce(a.snapshot_id, b.snapshot_id) as snapshot_id, coalesce(a.rule, b.rule) as rule, coalesce(a.severity, b.severity) as severity, coalesce(a.scope, b.scope) as scope, coalesce(a.url, b.url) as url, coalesce(a.fingerprint, b.fingerprint) as fingerprint,
+x1 as (select snapshot_id, fingerprint, max(rule) as rule, max(severity) as severity, max(scope) as scope, max(url) as url, max(message) as message, max(evidence) as evidence from a1 group by all),
+x0 as (select snapshot_id, fingerprint, max(rule) as rule, max(severity) as severity, max(scope) as scope, max(url) as url, max(message) as message, max(evidence) as evidence from a0 group by all),
+f as (select coalesce(a.snapshot_id, b.snapshot_id) as snapshot_id, coalesce(a.rule, b.rule) as rule, coalesce(a.severity, b.severity) as severity, coalesce(a.scope, b.scope) as scope, coalesce(a.url, b.url) as url, coalesce(a.fingerprint, b.fingerprint) as fingerprint, coalesce(a.message, b.message) as message, cast(null as varchar) as before, cast(null as varchar) as after,
   case when b.fingerprint is null then 'new' when a.fingerprint is not null then case when a.evidence = b.evidence then 'unchanged' else 'ongoing' end
     when case when b.scope = 'page' then exists (select 1 from p0 where p0.site = b.snapshot_id and p0.url = b.url) else coalesce((select complete from s0 where s0.site = b.snapshot_id), false) end then 'resolved' end as lifecycle
   from x0 a full join x1 b on a.snapshot_id = b.snapshot_id and a.fingerprint = b.fingerprint),
 d as (select * from f where lifecycle is not null union all
-  select snapshot_id, rule, severity, scope, url, fingerprint, 'new' from c where not exists (select 1 from f where f.lifecycle = 'new' and f.snapshot_id = c.snapshot_id and f.fingerprint = c.fingerprint))"""
+  select snapshot_id, rule, severity, scope, url, fingerprint, message, before, after, 'new' from c where not exists (select 1 from f where f.lifecycle = 'new' and f.snapshot_id = c.snapshot_id and f.fingerprint = c.fingerprint))"""
 
 
 def sql() -> dict:
@@ -136,12 +163,14 @@ def sql() -> dict:
     whole = f"{two}, {_issues(0)}, {_issues(1)}, {_changed()}, {DIFF}"
     words = f"nullif({fill(CLEAN, 'text')}, '')"
     out = {f"r{i:02d}_{r.replace('-', '_')}": f"{one}, {_issues(0, r)} select {COLUMNS} from a0" for i, r in enumerate(catalog.CURRENT, 1)}
-    out |= {f"r{i:02d}_{r.replace('-', '_')}": f"{two}, {_changed(r)} select {COLUMNS} from c" for i, r in enumerate(catalog.REGRESSION, 35)}
+    out |= {f"r{i:02d}_{r.replace('-', '_')}": f"{two}, {_changed(r)} select {COLUMNS}, before, after from c" for i, r in enumerate(catalog.REGRESSION, 35)}
     out |= {
         "c1_audit": f"{one}, {_issues(0)} select {COLUMNS} from a0",
-        "c2_regressions": f"{two}, {_changed()} select {COLUMNS} from c",
-        "c3_diff_lifecycle": f"{whole} select * from d",
-        "c4_policy": f"{one}, {_issues(0)} select snapshot_id, rule, case when rule = 'noindex' then 'error' else severity end as severity, scope, owner, url, fingerprint from a0 where rule = 'noindex' or (rule = 'missing-canonical' and not regexp_matches(url, '^https?://[^/]+/en/'))",
+        "c2_regressions": f"{two}, {_changed()} select {COLUMNS}, before, after from c",
+        "c3_diff_lifecycle": f"{whole} select *, lifecycle = 'ongoing' as has_both from d",
+        "s21_lifecycle_summary": f"{whole} select snapshot_id, count(*) filter (lifecycle = 'new') as \"new\", count(*) filter (lifecycle = 'ongoing') as ongoing, count(*) filter (lifecycle = 'unchanged') as unchanged, count(*) filter (lifecycle = 'resolved') as resolved, count(*) filter (lifecycle in ('new', 'ongoing')) as current from d group by snapshot_id",
+        "a8_rule_list": f"{one}, {_issues(0)} select distinct rule, upper(substr(rule, 1, 1)) || replace(substr(rule, 2), '-', ' ') as label from a0",
+        "c4_policy": f"{one}, {_issues(0)} select snapshot_id, rule, case when rule = 'noindex' then 'error' else severity end as severity, scope, owner, url, fingerprint, message from a0 where rule = 'noindex' or (rule = 'missing-canonical' and not regexp_matches(url, '^https?://[^/]+/en/'))",
         "c14_gate": f"{one}, {_issues(0)} select snapshot_id, bool_or(severity = 'error') as blocked from a0 group by 1",
         "a2_statistics": f"{one} select site as snapshot_id, count(*) as completed, count(*) - count(*) filter (error is not null or coalesce(status, 500) >= 400) - count(*) filter (blocked) as succeeded, count(*) filter (error is not null or coalesce(status, 500) >= 400) as failed, count(*) filter (blocked) as blocked_by_robots, count(*) filter (hops > 0 or url is distinct from final_url) as redirected from p0 group by site",
         "a3_link_graph": f"{one} select p0.site as snapshot_id, cast(sum(len(links)) as bigint) as internal_edges, cast(0 as bigint) as external_edges, count(*) filter (blocked or error is not null or coalesce(status, 500) >= 400) as broken_pages, (select count(*) from o0 where o0.site = p0.site) as orphan_pages from p0 group by p0.site",
@@ -167,9 +196,9 @@ def sql() -> dict:
         "st_replay": "select event_id, user_id, event_type, round(value, 2) as value from events where event_type is not null",
     }
     audit = out["c1_audit"]
-    out["f17_html_escape"] = """select doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') as escaped from documents"""
-    out["f22_report_filter"] = f"select * from ({audit}) where severity = 'error' and owner = 'developer' and contains(lower(concat_ws(' ', url, rule, '', owner)), 'example.org/en')"
+    out["f17_html_escape"] = """select doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;') as escaped from documents"""
+    out["f22_report_filter"] = f"select * from ({audit}) where severity = 'error' and owner = 'developer' and contains(lower(concat_ws(' ', url, rule, message, owner)), 'example.org/en')"
     out["s21_summary"] = f"""select snapshot_id, count(*) filter (severity = 'error') as errors, count(*) filter (severity = 'warning') as warnings, count(*) filter (severity = 'info') as infos,
         count(distinct url) as affected, bool_or(severity = 'error') as blocked from ({audit}) group by snapshot_id"""
-    out["s20_csv_lines"] = f"""select concat('"', severity, '","current","', rule, '","', owner, '","', replace(url, '"', '""'), '","","","","Review the finding and confirm the intended behavior.","', fingerprint, '"') as value from ({audit})"""
+    out["s20_csv_lines"] = f"""select concat('"', severity, '","current","', rule, '","', owner, '","', replace(url, '"', '""'), '","', replace(message, '"', '""'), '","","","Review the finding and confirm the intended behavior.","', fingerprint, '"') as value from ({audit})"""
     return out

@@ -27,14 +27,27 @@ def _every(k: Column, n: int, rest: int = 0) -> Column:
     return k % n == rest
 
 
-def markup(k: Column, path: Column) -> Column:
+#: A page that stands at several URLs.
+COPY = '<html lang="en"><head><meta charset="utf-8"><title>Copy</title></head><body><h1>Copy</h1><p>The same text stands on several pages of this site.</p></body></html>'
+
+
+def variant(k: Column, html: Column) -> Column:
+    """The page with another text, title, heading or language, as its number says."""
+    html = F.when(_every(k, 8, 7), COPY).otherwise(html)
+    title = F.when(_every(k, 4, 3), "<title>A title that pages share</title>").when(_every(k, 16, 1), "<title></title>").when(_every(k, 16, 5), "<title>Short</title>")
+    html = F.when(title.isNotNull(), F.regexp_replace(html, F.lit("(?s)<title>.*?</title>"), title)).otherwise(html)
+    html = F.when(_every(k, 14, 2), F.replace(html, F.lit("<h1"), F.lit("<h2"))).otherwise(html)
+    return F.when(_every(k, 22, 4), F.replace(html, F.lit('<html lang="'), F.lit('<html lang="xx_'))).otherwise(html)
+
+
+def markup(k: Column, path: Column, site: Column) -> Column:
     """What is written after the charset declaration; ``path`` is the next page's (null for none)."""
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     number = k.cast("string")
-    description = F.when(_every(k, 5), "").when(_every(k, 7), '<meta name="description" content="A description that several pages of this site have in common.">').otherwise(
+    description = F.when(_every(k, 5), "").when(_every(k, 7), '<meta name="description" content="A description that several pages of this site have in common.">').when(_every(k, 26, 11), '<meta name="description" content="Too short.">').otherwise(
         text('<meta name="description" content="Page ', number, ' of this site has a description of its own, long enough to be useful.">')
     )
-    canonical = F.when(_every(k, 6), "").when(_every(k, 23), '<link rel="canonical" href="http://[bad">').when(_every(k, 19), '<link rel="canonical" href="https://elsewhere.example.org/c">').otherwise('<link rel="canonical" href="?">')
+    canonical = F.when(_every(k, 6), "").when(_every(k, 23), '<link rel="canonical" href="http://[bad">').when(_every(k, 19), '<link rel="canonical" href="https://elsewhere.example.org/c">').when(_every(k, 34, 9), text('<link rel="canonical" href="', F.regexp_replace(site, "^https?", "http"), '/c">')).otherwise('<link rel="canonical" href="?">')
     robots = F.when(_every(k, 11), '<meta name="robots" content="noindex, follow">').otherwise("")
     alternate = F.when(_every(k, 13), '<link rel="alternate" hreflang="en_bad" href="/alternate">').otherwise('<link rel="alternate" hreflang="en" href="/alternate">')
     data = F.when(_every(k, 17), '<script type="application/ld+json">{"a":</script>').otherwise('<script type="application/ld+json">{"a": 1}</script>')
@@ -49,30 +62,30 @@ def markup(k: Column, path: Column) -> Column:
 CHARSET = '<meta charset="utf-8">'
 
 
-def snapshot(spark: SparkSession, sf_dir: str, shift: int = 0, whole: bool = False) -> Snapshot:
-    """The sites of ``pages.parquet``. Shift 0 leaves out each 43rd page unless ``whole``, so that other states have pages that are missing here."""
+def snapshot(spark: SparkSession, sf_dir: str, shift: int = 0) -> Snapshot:
+    """The sites of ``pages.parquet``, all pages. Other shifts have invented pages beside them, which are missing in the state of shift 0."""
     raw = spark.read.parquet(f"{sf_dir}/pages.parquet")
     keyed = raw.select("page_id", normalize_url(F.col("url")).alias("url"), origin(F.col("url")).alias("snapshot_id"), "html").filter("url is not null")
     keyed = keyed.groupBy("snapshot_id", "url").agg(F.min("page_id").alias("page_id"), F.min_by("html", "page_id").alias("html"))
-    if not shift and not whole:
-        keyed = keyed.filter("page_id % 43 != 0")
-    next_url = F.lead("url").over(Window.partitionBy("snapshot_id").orderBy("page_id"))
+    if shift:
+        keyed = keyed.unionByName(keyed.filter("page_id % 43 = 0").withColumn("url", F.concat("url", F.lit("-gone"))))
+    next_url = F.lead("url").over(Window.partitionBy("snapshot_id").orderBy("page_id", "url"))
     k = F.col("page_id") + F.lit(shift)
     path = F.substr(next_url, F.length("snapshot_id") + 1)
-    injected = keyed.withColumn("k", k).withColumn("path", path)
-    injected = injected.withColumn("html", F.replace("html", F.lit(CHARSET), F.concat(F.lit(CHARSET), markup(F.col("k"), F.col("path"))))).drop("path")
-    pages = extract_pages(injected)
+    injected = keyed.withColumn("k", k).withColumn("path", path).withColumn("html", variant(F.col("k"), F.col("html")))
+    injected = injected.withColumn("html", F.replace("html", F.lit(CHARSET), F.concat(F.lit(CHARSET), markup(F.col("k"), F.col("path"), F.col("snapshot_id"))))).drop("path")
     k = F.col("k")
     blocked = _every(k, 29)
     error = F.when(blocked, None).when(_every(k, 31), "redirect loop detected").when(_every(k, 37), "timeout")
     hops = F.when(_every(k, 10), k % 6).otherwise(0).cast("int")
+    moved = F.when(~blocked & error.isNull(), F.when(hops > 0, F.concat("snapshot_id", F.lit("/moved"))).otherwise(F.col("url")))
+    pages = extract_pages(injected.withColumn("final_url", moved))
     hop = F.struct(F.col("url").alias("url"), F.lit(301).alias("status"), F.concat("snapshot_id", F.lit("/moved")).alias("location"))
     reached = ~blocked & error.isNull()
     pages = pages.select(
         "*", blocked.alias("blocked"), error.alias("error"),
         F.when(reached, F.when(_every(k, 13, 1), 404).when(_every(k, 17, 1), 503).otherwise(200)).cast("int").alias("status"),
         F.when(_every(k, 41), "noindex").alias("x_robots"), F.array_repeat(hop, hops).alias("redirect_chain"),
-        F.when(reached, F.when(hops > 0, F.concat("snapshot_id", F.lit("/moved"))).otherwise(F.col("url"))).alias("final_url"),
     ).drop("visible_text")
     pages = checkpointed(pages)  # parsed once, whatever joins follow
     listed = pages.filter("k % 3 != 0").select("snapshot_id", "url")
