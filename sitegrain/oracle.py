@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .functions.urls import SKIPPED
 from .operators import catalog
 from .registry import ROBOTS
 
@@ -195,6 +196,20 @@ def sql() -> dict:
         "s15_checkpoint_last": f"with l as (select {ORIGIN} || {NORMAL_PATH} as url, page_id, row_number() over (partition by {ORIGIN} || {NORMAL_PATH} order by page_id desc) as nth from pages) select url, cast(case when page_id % 13 = 1 then 404 else 200 end as bigint) as status, page_id as seq from l where nth = 1 and page_id % 17 <> 1 and page_id % 37 <> 0",
         "st_replay": "select event_id, user_id, event_type, round(value, 2) as value from events where event_type is not null",
     }
+    links = "list_distinct(list_transform(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), lambda x: " + fill(ENCODE, fill(LINK_PATH, fill(DECODE, "x"))) + "))"
+    out["h_extract"] = f"""with v as (select *, {fill(VISIBLE, "html")} as visible from pages)
+        select page_id, nullif({fill(CLEAN, fill(DECODE, "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))}, '') as title, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') as lang,
+        length(html) - length(replace(html, '<h1', '<h')) as h1_count, cast(case when visible = '' then 0 else len(string_split(visible, ' ')) end as bigint) as n_words,
+        case when visible <> '' then sha256(lower(visible)) end as content_hash, cast(len({links}) as bigint) as n_links, cast(0 as bigint) as n_external from v"""
+    # Every page is a seed here and other URLs are 404, so the scan has two levels.
+    held = "ruled and substr({u}, length(site) + 1) like '/en/%' and substr({u}, length(site) + 1) not like '/en/1%'"
+    out["c11_scan"] = f"""with n as (select page_id, html, {ORIGIN} as site, {ORIGIN} || {NORMAL_PATH} as url from pages),
+        g as (select site, url, arg_min(html, page_id) as html from n group by site, url), f as (select site, min(page_id) % 2 = 0 as ruled from n group by site),
+        o as (select *, {held.format(u="url")} as blocked from g join f using (site)),
+        l as (select distinct site, ruled, site || unnest({links}) as url from o where not blocked)
+        select site as snapshot_id, url, cast(0 as bigint) as depth, cast(case when not blocked then 200 end as bigint) as status, blocked, cast(case when blocked then 0 else length(html) - length(replace(html, '<h1', '<h')) end as bigint) as h1_count from o
+        union all select site, url, 1, case when not ({held.format(u="url")}) then 404 end, {held.format(u="url")}, 0 from l where not exists (select 1 from g where g.site = l.site and g.url = l.url)
+        and not regexp_matches(url, '(?i)\\.(?:{SKIPPED})$')"""
     audit = out["c1_audit"]
     out["f17_html_escape"] = """select doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;') as escaped from documents"""
     out["f22_report_filter"] = f"select * from ({audit}) where severity = 'error' and owner = 'developer' and contains(lower(concat_ws(' ', url, rule, message, owner)), 'example.org/en')"

@@ -140,6 +140,26 @@ def fetch_pages(urls: DataFrame, config: dict, **how) -> DataFrame:
     return urls.select("snapshot_id", "url").repartition("snapshot_id").mapInPandas(run, PAGE)
 
 
+def fetch_texts(urls: DataFrame, config: dict, **how) -> DataFrame:
+    """(snapshot_id, url, status, body, error) of ``urls`` (snapshot_id, url): files such as robots.txt, one request after the other for each site."""
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        gates: dict[str, RequestGate] = {}
+        for frame in frames:
+            rows = []
+            for site, url in zip(frame["snapshot_id"], frame["url"], strict=True):
+                try:
+                    got = fetch(url, gates.setdefault(site, RequestGate(config["delay"] / 1000)), config, **how)
+                    rows.append((site, url, got.status, got.body.decode("utf-8", "replace"), None))
+                except (RequestFailure, OSError) as e:
+                    rows.append((site, url, getattr(e, "status", None), None, str(e) or type(e).__name__))
+            yield pd.DataFrame(rows, columns=["snapshot_id", "url", "status", "body", "error"]).astype({"status": "Int64"})
+
+    return urls.select("snapshot_id", "url").repartition("snapshot_id").mapInPandas(run, "snapshot_id string, url string, status long, body string, error string")
+
+
 @dataclass
 class Plan:
     start_url: str

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -39,9 +40,27 @@ def read_lines(text: str, identity: dict | None = None) -> list[dict]:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """(url, status, error, seq) of all logs under ``path``; broken lines are left out."""
-    raw = spark.read.schema(f"type string, page struct<{PAGE.replace(' ', ':').replace(',:', ',')}>").option("mode", "DROPMALFORMED").json(path)
-    return raw.filter("type = 'page'").select("page.*")
+    """(url, status, error, seq) of all logs under ``path``. A torn last line of a file is left out; any other broken line is an error."""
+    kind = f"type string, page struct<{PAGE.replace(' ', ':').replace(',:', ',')}>, broken string"
+    lines = spark.read.text(path).select("value", "_metadata.file_path", F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("at")).filter("trim(value) != ''")
+    parsed = lines.withColumn("r", F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}))
+    torn = parsed.filter("r.broken is not null").select("file_path", "at")
+    last = lines.groupBy("file_path").agg(F.max("at").alias("last"))
+    if torn.join(last, "file_path").filter("at < last").head(1):
+        raise ValueError(f"a record before the last one of a log under {path} is broken")
+    return parsed.filter("r.broken is null and r.type = 'page'").select("r.page.*")
+
+
+def append(pages: DataFrame, path: str) -> None:
+    """Adds pages (url, status, error, seq) to the log folder, one file for each partition; what is there stays."""
+    page = F.struct(*[F.col(c.split()[0]) for c in PAGE.split(", ")])
+    pages.select(F.to_json(F.struct(F.lit("page").alias("type"), page.alias("page"))).alias("value")).write.mode("append").text(path)
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """Removes the log folder; nothing happens where there is none."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def last_wins(pages: DataFrame) -> DataFrame:
@@ -59,4 +78,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     k = F.col("page_id")
     log = p.select(normalize_url(F.col("url")).alias("url"), F.when(k % 17 == 1, 503).when(k % 13 == 1, 404).otherwise(200).alias("status"), F.when(k % 37 == 0, "timeout").alias("error"), k.alias("seq"))
-    return reusable(last_wins(log)).select("url", F.col("status").cast("long").alias("status"), "seq")
+    from ..plans.crawl import checkpointed
+
+    checkpointed(spark.range(1))  # sets the shared folder where none is set
+    path = f"{spark.sparkContext.getCheckpointDir()}/log-{uuid.uuid4()}"
+    append(log, path)
+    return reusable(last_wins(read_log(spark, path))).select("url", F.col("status").cast("long").alias("status"), "seq")

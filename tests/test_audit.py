@@ -56,6 +56,8 @@ def test_policy(spark):
     rule = {"rule": "missing-title", "url_pattern": "/legal/**", "expires_at": date(2027, 1, 1)}
     assert rules_of(spark, bare, suppressions=[rule], today=date(2026, 12, 31)) == []
     assert rules_of(spark, bare, suppressions=[rule], today=date(2027, 1, 2)) == ["missing-title"]
+    assert rules_of(spark, bare, suppressions=[rule | {"expires_at": date(2020, 1, 1)}]) == ["missing-title"]
+    assert rules_of(spark, bare, suppressions=[rule | {"expires_at": date(2999, 1, 1)}]) == []
     assert rules_of(spark, bare, enabled=[]) == []
     p, s, m = tables(spark, bare)
     assert [r.severity for r in current.audit(p, s, m, policy.Policy(overrides={"missing-title": "info"})).collect()] == ["info"]

@@ -17,6 +17,9 @@ def one(spark, value, expr):
         ("https://example.com/a//", "https://example.com/a", False),
         ("https://example.com/für", "https://example.com/f%C3%BCr", False),
         ("mailto:a@example.com", None, False),
+        ("  https://example.com/a/./b/../c/%2e%2E/d \n", "https://example.com/a/d", False),
+        ("https://user:pw@example.com\\x y", "https://example.com/x%20y", False),
+        ("https://example.com/../..", "https://example.com/", False),
         ("http://[bad", None, False),
         (None, None, False),
     ],

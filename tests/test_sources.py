@@ -3,6 +3,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
+from sitegrain.plans import site_scan
 from sitegrain.plans.crawl import RequestGate, crawl, query as crawl_query, retry_delay
 from sitegrain.sources import checkpoint, html, robots, site_tables, sitemap
 
@@ -20,6 +21,20 @@ def test_extract():
     assert html.extract(None, None)["links"] == []
 
 
+def test_robots_groups():
+    # Fixed case: a directive without a value does not part two agents.
+    body = "User-agent: a\nDisallow:\nUser-agent: b\nDisallow: /x"
+    assert robots.parse_robots(body, "a") == robots.parse_robots(body, "b") == [("disallow", "/x")]
+
+
+def test_extract_bases():
+    page = '<meta name="description" content="one"><meta name="description" property="og:title" content="two"><link rel="alternate" hreflang=" " href="/x"><link rel="alternate" hreflang=" en " href="y"><a href="n?q=1">n</a>'
+    r = html.extract(page, "https://e.com/a", "https://e.com/moved/b")
+    assert (r["description"], r["og"]["title"], r["hreflang"]) == ("one", "two", [{"lang": "en", "url": "https://e.com/moved/y"}])
+    assert r["links"] == r["internal_links"] == ["https://e.com/moved/n"]
+    assert html.extract(page, "https://e.com/a", include_query=True)["internal_links"] == ["https://e.com/n?q=1"]
+
+
 def test_robots(spark):
     body = "﻿User-agent: a\nUser-agent: audit\nDisallow: /private # x\nAllow: /private/ok$\nDisallow:\n\nUser-agent: *\nDisallow: /"
     assert robots.parse_robots(body, "AuditBot") == [("disallow", "/private"), ("allow", "/private/ok$")]
@@ -45,6 +60,17 @@ def test_log(spark, tmp_path):
     (tmp_path / "log.ndjson").write_text(text)
     rows = checkpoint.reusable(checkpoint.last_wins(checkpoint.read_log(spark, str(tmp_path)))).collect()
     assert [r.url for r in rows] == ["v"]
+    (tmp_path / "log.ndjson").write_text(text + '{"type": "page", "pa')
+    assert checkpoint.read_log(spark, str(tmp_path)).count() == 3
+    (tmp_path / "log.ndjson").write_text(text.replace('"seq": 1}', '"seq": 1', 1))
+    with pytest.raises(ValueError, match="broken"):
+        checkpoint.read_log(spark, str(tmp_path))
+    log = str(tmp_path / "own")
+    checkpoint.append(spark.createDataFrame([("u", 200, None, 1)], checkpoint.PAGE), log)
+    checkpoint.append(spark.createDataFrame([("u", 404, None, 2)], checkpoint.PAGE), log)
+    assert [(r.url, r.status) for r in checkpoint.last_wins(checkpoint.read_log(spark, log)).collect()] == [("u", 404)]
+    checkpoint.clear(spark, log)
+    assert not (tmp_path / "own").exists()
 
 
 def test_crawl(spark):
@@ -86,6 +112,48 @@ def test_crawl_each_43rd_page(spark, tmp_path):
     assert {(r.url, r.depth) for r in crawl_query(spark, str(tmp_path)).collect()} == {("https://a.com/", 0), ("https://a.com/deep", 1)}
 
 
+def test_scan_sites(spark):
+    page = lambda *links: '<html lang="en"><head><title>t</title></head><body>' + "".join(f'<a href="{x}">x</a>' for x in links) + "</body></html>"
+    site = {"/": ["/b", "/a", "/x.pdf", "/private/p"], "/a": ["/c", "/missing"], "/b": [], "/c": ["/"], "/private/p": ["/hidden"], "/listed": []}
+    table = spark.createDataFrame([("s", f"https://e.com{p}", page(*x)) for p, x in site.items()], "snapshot_id string, url string, html string")
+    sites = spark.createDataFrame([("s", "https://e.com/"), ("t", "https://t.com/")], "snapshot_id string, start_url string")
+    bodies = {"s": (200, "User-agent: *\nDisallow: /private/"), "t": (403, "")}
+    asked = []
+
+    def texts(urls):
+        return spark.createDataFrame([(r.snapshot_id, r.url, *bodies[r.snapshot_id], None) for r in urls.collect()], "snapshot_id string, url string, status long, body string, error string")
+
+    def fetched(urls):
+        asked.extend(r.url for r in urls.collect())
+        return site_scan.table_transport(table)(urls)
+
+    listed = spark.createDataFrame([("s", "https://e.com/listed")], "snapshot_id string, url string")
+    levels = []
+    found = site_scan.scan_sites(sites, fetched, texts, {"maxPages": 50}, listed, on_level=lambda n, pages: levels.append((n, pages.count())))
+    got = {(r.url, r.depth): (r.status, r.blocked) for r in found.pages.collect()}
+    e = "https://e.com"
+    assert got == {(f"{e}/", 0): (200, False), (f"{e}/listed", 0): (200, False), (f"{e}/a", 1): (200, False), (f"{e}/b", 1): (200, False), (f"{e}/private/p", 1): (None, True), (f"{e}/c", 2): (200, False), (f"{e}/missing", 2): (404, False), ("https://t.com/", 0): (None, True)}
+    assert levels == [(0, 3), (1, 3), (2, 2)] and len(set(asked)) == 6
+    assert {r.snapshot_id: (r.completed, r.truncated, r.deny_all) for r in found.sites.collect()} == {"s": (7, False, False), "t": (1, False, True)}
+    # The same scan with what is there already fetches nothing anew.
+    asked.clear()
+    again = site_scan.scan_sites(sites, fetched, texts, {"maxPages": 50}, listed, cached=found.pages)
+    assert not asked and again.pages.count() == 8
+    small = site_scan.scan_sites(sites, fetched, texts, {"maxPages": 2}, listed)
+    assert {r.url for r in small.pages.filter("snapshot_id = 's'").collect()} == {f"{e}/", f"{e}/listed"} and small.sites.filter("truncated").count() == 1
+    ended = iter([False, True])
+    part = site_scan.scan_sites(sites, fetched, texts, {"maxPages": 50}, stop=lambda: next(ended))
+    assert part.pages.count() == 2 and {r.partial for r in part.sites.collect()} == {True}
+    assert site_scan.scan_sites(sites.limit(0), fetched, texts, {"maxPages": 5}).pages.count() == 0
+
+
+def test_discover():
+    files = {"https://e.com/sitemap_index.xml": b"<sitemapindex/>", "https://e.com/sitemap.xml": b"<html/>"}
+    assert sitemap.discover("https://e.com/x", "Sitemap: https://x.org/s.xml\nsitemap: /own.xml?a=1", files.__getitem__) == "https://e.com/own.xml?a=1"
+    assert sitemap.discover("https://e.com/x", None, files.__getitem__) == "https://e.com/sitemap_index.xml"
+    assert sitemap.discover("https://none.org/", "", files.__getitem__) is None
+
+
 def test_gate():
     now, slept = [0.0], []
     gate = RequestGate(0.1, lambda: now[0], slept.append)
