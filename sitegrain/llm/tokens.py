@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 PIECE = 1 << 21
 #: Words and characters that the cache holds at most before it starts anew.
 CACHE_WORDS, CACHE_CHARS = 300_000, 6_000_000
+#: So many words are counted one by one, not through Arrow.
+FEW = 32
 #: The normaliser and the split of tokenizers whose words ``PLAIN`` may cut.
 CUTTABLE = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -79,8 +81,8 @@ class WordTokenizer:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.by_words = splits_at_blanks(spec)
-        plain = re.compile(PLAIN)
-        self.cuts = spec["model"]["type"] == "BPE" and all(spec.get(k) == v for k, v in CUTTABLE.items()) and not any(plain.fullmatch(a["content"]) for a in spec["added_tokens"])
+        self.plain = re.compile(PLAIN)
+        self.cuts = spec["model"]["type"] == "BPE" and all(spec.get(k) == v for k, v in CUTTABLE.items()) and not any(self.plain.fullmatch(a["content"]) for a in spec["added_tokens"])
         self._reset()
 
     def _reset(self) -> None:
@@ -140,8 +142,19 @@ class WordTokenizer:
         words = words.dictionary_encode()
         return self._parts(words.dictionary), words.indices.to_numpy()
 
+    def _count(self, word: str) -> int:
+        """Tokens of one word; what is not in the cache is encoded, but not kept."""
+        match = self.plain.fullmatch(word) if self.cuts else None
+        if match is None:
+            code = self.index.get(word)
+            return int(self.lengths[code]) if code is not None else len(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        codes = [(part, self.index.get(part)) for part in (match[1].lower(), match[2])]
+        return sum(int(self.lengths[code]) if code is not None else len(self._pre_token(part)) for part, code in codes)
+
     def counts(self, words: list[str]) -> np.ndarray:
         """Tokens of each word; words have no blanks."""
+        if len(words) <= FEW:
+            return np.array([self._count(w) for w in words], np.int64)
         parts, at = self._look_up(pa.array(words, pa.string()))
         return self.lengths[parts].sum(1)[at]
 
