@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType
 
 #: A key that holds more than 1/HEAVY of all rows is handled apart, so at most HEAVY keys are ever broadcast.
 HEAVY = 1000
@@ -72,22 +73,25 @@ def fingerprint(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, sizes: DataFrame, total: int) -> DataFrame:
-    """Left join of ``rows`` with ``table`` (unique in ``key``), safe for hot keys.
+def lookup(rows: DataFrame, table: DataFrame, key: str | list[str], sizes: DataFrame, total: int) -> DataFrame:
+    """Left join of ``rows`` with ``table`` (unique in ``key``, one column or several), safe for hot keys.
 
-    ``sizes`` has (key, n) with the number of rows of each key. The keys with over total/HEAVY rows, at
-    most HEAVY of them, are broadcast; their rows get random-like keys in the shuffled join, where they
-    match nothing, so no task receives a hot key.
+    ``sizes`` has the key and n, the number of rows of each key. The keys with over total/HEAVY rows, at
+    most HEAVY of them, are broadcast; their rows get random-like keys in the shuffled join, where what
+    they match is not used, so no task receives a hot key.
     """
-    extra = [c for c in table.columns if c != key]
-    hot = sizes.filter(F.col("n") > max(1, total // HEAVY)).select(key)
-    hot_table = table.join(F.broadcast(hot), key, "left_semi").select(key, F.struct(*extra).alias("_hot"))
-    cold = table.select(F.col(key).alias("_cold_key"), F.struct(*extra).alias("_cold"))
-    tagged = rows.join(F.broadcast(hot_table), key, "left").withColumn("_spread", F.monotonically_increasing_id())
-    own = F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.sha2(F.col("_spread").cast("string"), 256).cast("binary"))
+    keys = [key] if isinstance(key, str) else key
+    extra = [c for c in table.columns if c not in keys]
+    hot = sizes.filter(F.col("n") > max(1, total // HEAVY)).select(keys)
+    hot_table = table.join(F.broadcast(hot), keys, "left_semi").select(*keys, F.struct(*extra).alias("_hot"))
+    cold = table.select(*[F.col(k).alias(f"_cold_{i}") for i, k in enumerate(keys)], F.struct(*extra).alias("_cold"))
+    tagged = rows.join(F.broadcast(hot_table), keys, "left").withColumn("_spread", F.monotonically_increasing_id())
+    other = F.xxhash64("_spread") if rows.schema[keys[0]].dataType == LongType() else F.sha2(F.col("_spread").cast("string"), 256).cast("binary")
+    own = F.when(F.col("_hot").isNull(), F.col(keys[0])).otherwise(other)
+    same = [F.col("_own_key") == F.col("_cold_0"), *[F.col(k) == F.col(f"_cold_{i}") for i, k in enumerate(keys) if i]]
     return (
         tagged.withColumn("_own_key", own)
-        .join(cold, F.col("_own_key") == F.col("_cold_key"), "left")
+        .join(cold, same, "left")
         .select(*rows.columns, F.coalesce("_hot", "_cold").alias("_got"))
         .select(*rows.columns, *[F.col(f"_got.{c}").alias(c) for c in extra])
     )

@@ -285,10 +285,10 @@ def _index(length: int):
 def _strings(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            for anchor, context, place, owner, data in zip(*(batch[c].to_pylist() for c in ("anchor", "context", "place", "owner", "data")), strict=True):
+            for anchor, context, copies, owner, data in zip(*(batch[c].to_pylist() for c in ("anchor", "context", "copies", "owner", "data")), strict=True):
                 n = len(data) - length + 1
                 digests = [hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * n, pa.int64()), pa.array([context] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([place - i for i in range(n)], pa.int64()), pa.array([owner] * n, pa.binary()), pa.array(digests, pa.binary())], names=["anchor", "context", "start", "left", "owner", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array([anchor] * n, pa.int64()), pa.array([context] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([copies] * n, pa.int64()), pa.array([owner] * n, pa.binary()), pa.array(digests, pa.binary())], names=["anchor", "context", "start", "copies", "owner", "digest"])
 
     return run
 
@@ -314,6 +314,10 @@ def place_key(fp: str, start: str) -> Column:
     return F.concat(F.col(fp), F.unhex(F.lpad(F.hex(start), 16, "0")))
 
 
+def _total(sizes: DataFrame) -> int:
+    return sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def marks(pieces: DataFrame, length: int, keep_first: bool = False, max_contexts: int = MAX_CONTEXTS) -> tuple[DataFrame, DataFrame]:
     """Where strings of ``length`` bytes in ``pieces`` are repeated.
 
@@ -326,13 +330,18 @@ def marks(pieces: DataFrame, length: int, keep_first: bool = False, max_contexts
     all_ = found.filter("not local")
     # With keep_first the rows of one text, found in several batches, count once.
     twice = (F.min("fp") != F.max("fp")) | (F.max("copies") > 1) if keep_first else F.sum("copies") > 1
-    families = all_.groupBy("anchor").agg(twice.alias("twice"), (F.min("context") != F.max("context")).alias("mixed")).filter("twice").drop("twice")
-    shared = materialise_table(all_.drop("local").join(families, "anchor"))
+    families = all_.groupBy("anchor").agg(twice.alias("twice"), (F.min("context") != F.max("context")).alias("mixed"), F.count("*").alias("n")).filter("twice").drop("twice")
+    families = materialise_table(families)
+    shared = materialise_table(lookup(all_.drop("local"), families.drop("n"), "anchor", families, _total(families)).filter("mixed is not null"))
+    discard(families)
     place = F.struct("fp", "start", "base", "end", "at")
-    kinds = materialise(shared.groupBy("anchor", "context").agg(F.when(twice, 2).otherwise(1).alias("copies"), F.first("mixed").alias("mixed"), F.min(place).alias("first")))
-    sizes = kinds.filter("mixed").groupBy("anchor").agg(F.count("*").alias("contexts"))
+    kinds = materialise(shared.groupBy("anchor", "context").agg(F.when(twice, 2).otherwise(1).alias("copies"), F.first("mixed").alias("mixed"), F.min(place).alias("first"), F.count("*").alias("n")))
+    large = materialise(kinds.filter("mixed").groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > max_contexts).withColumn("large", F.lit(True)))
+    any_large = _total(large)
     own = ["anchor", "context", (F.col("first.at") - F.col("first.start")).alias("place"), (F.col("first.end") - F.col("first.start")).alias("size"), "copies", place_key("first.fp", "first.start").alias("owner")]
-    wanted = kinds.filter("mixed").join(sizes, "anchor").select(F.col("first.fp").alias("fp"), F.col("first.base").alias("base"), F.col("first.start").alias("start"), *own, (F.col("contexts") > max_contexts).alias("large"))
+    mixed = kinds.filter("mixed").drop("n")
+    mixed = lookup(mixed, large.drop("n"), "anchor", large, any_large) if any_large else mixed.withColumn("large", F.lit(False))
+    wanted = mixed.select(F.col("first.fp").alias("fp"), F.col("first.base").alias("base"), F.col("first.start").alias("start"), *own, F.coalesce("large", F.lit(False)).alias("large"))
     requests = wanted.groupBy("fp", "base").agg(F.collect_list(F.struct("start", "anchor", "context", "place", "size", "copies", "owner", "large")).alias("requests"))
     local = materialise(found.filter("local").select("fp", "base", "start", "end"))
     discard(found)
@@ -344,16 +353,21 @@ def marks(pieces: DataFrame, length: int, keep_first: bool = False, max_contexts
     single = kinds.filter("not mixed and copies > 1").select(*own, F.lit(None).cast("binary").alias("data"))
     indexed = contexts.filter("not large").select(columns).unionByName(single).repartition(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "anchor").sortWithinPartitions("anchor")
     verdicts = through(indexed, _index(length), f"anchor long, context long, owner binary, found {SPANS}, later {SPANS}")
-    strings = through(contexts.filter("large").select("copies", *columns), _strings(length), "anchor long, context long, start long, left long, owner binary, digest binary")
-    strings = strings.join(contexts.filter("large").select("anchor", "context", "copies"), ["anchor", "context"])
-    same = strings.groupBy("anchor", "left", "digest").agg(F.sum("copies").alias("times"), F.min("owner").alias("least")).filter("times > 1")
-    span = F.struct("start", (F.col("start") + length).alias("end"))
-    split = strings.join(same, ["anchor", "left", "digest"]).groupBy("anchor", "context").agg(F.first("owner").alias("owner"), F.collect_list(span).alias("found"), F.collect_list(F.when(F.col("owner") > F.col("least"), span)).alias("later"))
-    verdicts = verdicts.unionByName(split)
+    if any_large:
+        # A string's anchor is a matter of the string, so strings of equal digests are of one family.
+        strings = materialise_table(through(contexts.filter("large").select("anchor", "context", "copies", "owner", "data"), _strings(length), "anchor long, context long, start long, copies long, owner binary, digest binary"))
+        same = materialise(strings.groupBy("digest").agg(F.sum("copies").alias("times"), F.min("owner").alias("least"), F.count("*").alias("n")).filter("times > 1").drop("times"))
+        span = F.struct("start", (F.col("start") + length).alias("end"))
+        repeated = lookup(strings, same.drop("n"), "digest", same, _total(same)).filter("least is not null")
+        split = repeated.groupBy("anchor", "context").agg(F.first("owner").alias("owner"), F.collect_list(span).alias("found"), F.collect_list(F.when(F.col("owner") > F.col("least"), span)).alias("later"))
+        verdicts = verdicts.unionByName(split)
+    verdicts = materialise_table(verdicts)
+    if any_large:
+        discard(strings)
     # What holds for a context holds at each of its places; where one stays, that is the context's first.
     spans = F.when(place_key("fp", "start") == F.col("owner"), F.col("later")).otherwise(F.col("found")) if keep_first else F.col("found")
     moved = F.transform(spans, lambda s: F.struct((F.col("start") + s["start"]).alias("start"), (F.col("start") + s["end"]).alias("end")))
-    marked = shared.join(verdicts, ["anchor", "context"]).select("fp", F.explode(moved).alias("m")).select("fp", "m.start", "m.end")
+    marked = lookup(shared, verdicts, ["anchor", "context"], kinds, _total(kinds)).filter("owner is not null").select("fp", F.explode(moved).alias("m")).select("fp", "m.start", "m.end")
     marked = marked.unionByName(local.select("fp", "start", "end")).groupBy("fp").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return marked, texts.select("fp", "base", "data")
 
