@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, toxicity, url_filter
+from . import chat, conversation_repair, decontaminate, near_dedup, packing, quality, sharding, source_divergence, suffix_dedup, token_counts, token_index, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,8 +17,17 @@ def queries() -> dict:
         "op8_sharding": sharding.op8_sharding,
         "op9_chat_format": chat.op9_chat_format,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_token_index": token_index.op11_token_index,
+        "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+        "op13_source_divergence": source_divergence.op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_decontaminate": decontaminate.OP4_SQL, "op9_chat_format": chat.OP9_SQL, "op10_url_filter": url_filter.OP10_SQL}
+    return {
+        "op4_decontaminate": decontaminate.OP4_SQL,
+        "op9_chat_format": chat.OP9_SQL,
+        "op10_url_filter": url_filter.OP10_SQL,
+        "op12_conversation_repair": conversation_repair.OP12_SQL,
+        "op13_source_divergence": source_divergence.OP13_SQL,
+    }
