@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import IntegralType
 
 #: A key that holds more than 1/HEAVY of all rows is handled apart, so at most HEAVY keys are ever broadcast.
 HEAVY = 1000
@@ -77,35 +78,61 @@ def lookup(rows: DataFrame, table: DataFrame, key: str | list[str], sizes: DataF
     """Left join of ``rows`` with ``table`` (unique in ``key``, one column or several), safe for hot keys.
 
     ``sizes`` has the key and n, the number of rows of each key. The keys with over total/HEAVY rows, at
-    most HEAVY of them, are broadcast; their rows get random-like keys in the shuffled join, where what
-    they match is not used, so no task receives a hot key.
+    most HEAVY of them, are broadcast with what the table has for them, if anything; their rows, and those without a
+    key, get random-like keys in the shuffled join, where what they match is not used, so no task receives a hot key.
     """
     keys = [key] if isinstance(key, str) else key
     extra = [c for c in table.columns if c not in keys]
+    mark = "_lookup"
+    while any(c.lower().startswith(mark) for c in [*rows.columns, *table.columns]):
+        mark += "_"
+    hot_value, is_hot, value, spread = (f"{mark}_{x}" for x in ("hot", "is", "cold", "spread"))
+    cold_keys = [f"{mark}_key{i}" for i in range(len(keys))]
     hot = sizes.filter(F.col("n") > max(1, total // HEAVY)).select(keys)
-    hot_table = table.join(F.broadcast(hot), keys, "left_semi").select(*keys, F.struct(*extra).alias("_hot"))
-    cold = table.select(*[F.col(k).alias(f"_cold_{i}") for i, k in enumerate(keys)], F.struct(*extra).alias("_cold"))
-    tagged = rows.join(F.broadcast(hot_table), keys, "left").withColumn("_spread", F.monotonically_increasing_id())
-    other = F.xxhash64("_spread") if rows.schema[keys[0]].dataType == LongType() else F.sha2(F.col("_spread").cast("string"), 256).cast("binary")
-    own = F.when(F.col("_hot").isNull(), F.col(keys[0])).otherwise(other)
-    same = [F.col("_own_key") == F.col("_cold_0"), *[F.col(k) == F.col(f"_cold_{i}") for i, k in enumerate(keys) if i]]
-    return (
-        tagged.withColumn("_own_key", own)
-        .join(cold, same, "left")
-        .select(*rows.columns, F.coalesce("_hot", "_cold").alias("_got"))
-        .select(*rows.columns, *[F.col(f"_got.{c}").alias(c) for c in extra])
-    )
+    held = table.join(F.broadcast(hot), keys, "left_semi").select(*keys, F.struct(*extra).alias(hot_value))
+    hot_table = hot.join(F.broadcast(held), keys, "left").withColumn(is_hot, F.lit(True))
+    cold = table.select(*[F.col(k).alias(c) for k, c in zip(keys, cold_keys, strict=True)], F.struct(*extra).alias(value))
+    number = F.monotonically_increasing_id()
+    kind = rows.schema[keys[0]].dataType
+    other = F.xxhash64(number).cast(kind) if isinstance(kind, IntegralType) else F.sha2(number.cast("string"), 256).cast(kind)
+    tagged = rows.join(F.broadcast(hot_table), keys, "left").withColumn(spread, F.when(F.col(is_hot).isNotNull() | F.col(keys[0]).isNull(), other).otherwise(F.col(keys[0])))
+    same = [F.col(k) == F.col(c) for k, c in zip([spread, *keys[1:]], cold_keys, strict=True)]
+    got = F.when(F.col(is_hot).isNotNull(), F.col(hot_value)).when(F.col(keys[0]).isNotNull(), F.col(value))
+    return tagged.join(cold, same, "left").select(*rows.columns, got.alias(value)).select(*rows.columns, *[F.col(f"{value}.{c}").alias(c) for c in extra])
+
+
+def shared_path(spark: SparkSession, kind: str):
+    """A new Hadoop path in the shared folder, removed when the session ends."""
+    ensure_checkpoint_dir(spark)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4()}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path
+
+
+class Buckets:
+    """A table in the shared folder that is bucketed by key columns, so that joins on these do not move its rows.
+
+    As many buckets as shuffle partitions now; what it is joined with is dealt alike.
+    """
+
+    def __init__(self, df: DataFrame, *keys: str) -> None:
+        self.spark, self.name, self.path = df.sparkSession, f"buckets_{uuid.uuid4().hex}", shared_path(df.sparkSession, "buckets")
+        self.count = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(self.count, *keys).sortBy(*keys).format("parquet").option("path", self.path.toString()).saveAsTable(self.name)
+
+    @property
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        """Remove the table and its files; nothing may read it any more."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self.path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(self.path, True)
 
 
 def materialise_table(df: DataFrame) -> DataFrame:
     """Like ``materialise`` for wide rows: a compressed table in the shared folder, removed when the session ends."""
-    import uuid
-
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "table")
     df.write.parquet(path.toString())
     return spark.read.schema(df.schema).parquet(path.toString())
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegralType, StringType
 
-from .common import ensure_checkpoint_dir, small, text_or_empty, through
+from .common import shared_path, small, text_or_empty, through
 from .packing import END_ID
 from .tokens import slices, tokenizer
 
@@ -413,9 +413,7 @@ def op11_token_index(spark, sf_dir: str) -> DataFrame:
     """Write all documents to a store in the shared folder (removed with the session) and read each back by its key."""
     import public_tokenizers
 
-    ensure_checkpoint_dir(spark)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4()}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    path = shared_path(spark, "store")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     write_store(docs, path.toString(), public_tokenizers.path("word_bpe_49k.json"))
     return fetch(spark, path.toString(), docs).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "shard")
