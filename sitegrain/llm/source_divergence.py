@@ -7,7 +7,7 @@ counts), also where it has none of the block's terms.
 
 Pairs by systolic rotation. The seats of a language, one for each source, play a round-robin tournament in each block:
 in a round every source meets one other, and after as many rounds as there are other sources all have met. The
-vectors of all seats stay where they are, in one table dealt by language, block and seat; of each meeting's two, one
+vectors of all seats stay where they are, in one table bucketed by language, block and seat; of each meeting's two, one
 travels to the other (home and away alternate, so that seats host alike). A meeting is evaluated once and gives
 both directions. A few rounds are one job, and their sums are kept before the next begin, so what travels at a time does
 not grow with the number of sources. Sums over blocks are the pair's value.
@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import lookup, materialise, through
+from .common import Buckets, lookup, materialise, through
 
 #: Documents of a language that a kept term is in at least.
 MIN_DOCS = 30
@@ -246,11 +246,12 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     heads = heads.select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "source", F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("n"), "seat", "seats", "total", "kept", "lang_total")
     in_blocks = heads.unionAll(counts).repartition("lang", "block").sortWithinPartitions("lang", "block", F.col("term").asc_nulls_first(), "source")
     made = materialise(through(in_blocks, _seats(top), SEATS))
-    seats = materialise(made.filter(F.col("seat").isNotNull()).drop("item", "value").repartition("lang", "block", "seat"))
+    seats = Buckets(made.filter(F.col("seat").isNotNull()).drop("item", "value").repartition("lang", "block", "seat"), "lang", "block", "seat")
     pairs = None
     for first in range(0, max(1, most + most % 2 - 1), rounds):
-        played = materialise(_rounds(seats, first, rounds))
+        played = materialise(_rounds(seats.table, first, rounds))
         pairs = played if pairs is None else pairs.unionAll(played)
+    seats.drop()
     ranked = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     both = []
     for part, values in (("pair", pairs.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))), ("term", made.filter(F.col("item").isNotNull()))):
