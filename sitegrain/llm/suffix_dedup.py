@@ -7,11 +7,11 @@ many families in a block and one block in a task at a time.
 
 Index of a block (``RunIndex``). Contexts of a family lie side by side with their anchors in one column. The
 Burrows-Wheeler transform of the contexts, with each byte taken together with its column, comes column by column
-from the right: the bytes of a column in the order of the suffixes that follow them. A column is kept as runs
-(byte, length), with the suffix array sampled at the end of each run. The LF step to the next column moves whole
-runs. Common prefixes of neighbours grow by one inside a run and are computed anew at run heads only. The
-matching statistic of a suffix, the longer of the prefixes that it shares with its two neighbours, is streamed
-out; at ``length`` or more, the string that begins there is repeated and marked.
+from the right: the bytes of a column in the order of the suffixes that follow them. A column is passed on as runs
+(byte, length), with the suffix array sampled at both ends of each run. The LF step to the next column moves whole
+runs. Statistics are streamed from runs and samples alone: inside a run a suffix keeps its neighbour and shares one byte
+more with it; at run heads the neighbour is a sample. The matching statistic of a suffix is the longer of the prefixes
+that it shares with its two neighbours; at ``length`` or more, the string that begins there is repeated and marked.
 
 A context that occurs at several places enters the index as two rows, which stand for all. A family with one
 context only is a single run in each column, whatever its bytes, so these need not be fetched. Families of more
@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import discard, fingerprint, fresh, lookup, materialise, materialise_table, small, text_or_empty, through
+from .common import Buckets, discard, fingerprint, fresh, lookup, materialise, materialise_table, small, text_or_empty, through
 from .near_dedup import mix
 
 LENGTH, PIECE = 400, 32
@@ -172,8 +172,13 @@ class RunIndex:
         self.border = np.append(True, fams[1:] != fams[:-1])
         self.family = np.cumsum(self.border) * 257
 
-    def columns_of_runs(self) -> Iterator[tuple]:
-        """The transform from the right, a column at a time, so that one is held: (column, bytes + 1 of the runs (0: no byte there), lengths, rows at their ends, order of the suffixes that begin there, common prefix of each with the one before)."""
+    def columns_of_runs(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """The transform from the right, a column at a time, so that one is held.
+
+        (column; bytes + 1 of its runs, 0 where there is no byte; their lengths; the suffix array sampled at both ends of
+        each run; bytes that the first suffix of each run shares with the last one of the run before), the runs in the
+        order that the LF step brings them into, which is that of the suffixes that begin in the column.
+        """
         order, prefix = np.arange(self.n), np.zeros(self.n, np.int32)
         for column in range(self.width - 1, -1, -1):
             symbol = self.columns[column][order]
@@ -181,12 +186,12 @@ class RunIndex:
             head[1:] |= symbol[1:] != symbol[:-1]
             start = np.flatnonzero(head)
             lengths = np.diff(np.append(start, self.n))
-            runs = symbol[start], lengths, order[start + lengths - 1]
             key = self.family[start] + symbol[start]
             moved = np.argsort(key, kind="stable")
+            runs = symbol[start[moved]], lengths[moved], order[start[moved]], order[(start + lengths - 1)[moved]]
             # LF: runs move as wholes. Inside a run neighbours stay neighbours and share one byte more.
-            lf = np.repeat(start[moved] - (np.cumsum(lengths[moved]) - lengths[moved]), lengths[moved]) + np.arange(self.n)
             heads = np.cumsum(lengths[moved]) - lengths[moved]
+            lf = np.repeat(start[moved] - heads, lengths[moved]) + np.arange(self.n)
             after = prefix[lf] + 1
             after[heads] = 0
             again = np.flatnonzero(key[moved][1:] == key[moved][:-1]) + 1
@@ -197,22 +202,38 @@ class RunIndex:
             order, symbol = order[lf], symbol[lf]
             after[symbol == 0] = 0
             prefix = after
-            yield column, *runs, order, prefix
+            yield column, *runs, prefix[heads]
 
     def matches(self, length: int, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Of each row and place in it: whether the string of ``length`` that begins there is also in another row, and whether in one of lower ``rank``."""
+        """Of each row and place in it: whether the string of ``length`` that begins there is also in another row, and, with ``rank``, whether in one of lower rank.
+
+        Reads the runs and their samples only. A suffix's predecessor in the suffix array (phi) is the same as one
+        column before, with one byte more in common, unless it heads a run: then it is the sample at the run's end before
+        it. So a column changes as many entries as it has runs, and the statistics of all others follow from when they
+        last changed.
+        """
         found, later = np.zeros((self.width, self.n), bool), np.zeros((self.width, self.n), bool)
-        rank = np.arange(self.n) if rank is None else rank
-        for column, *_, order, prefix in self.columns_of_runs():
-            if column + length > self.width or prefix.max() < length:
+        before, common, since = np.arange(self.n) - 1, np.zeros(self.n, np.int64), np.full(self.n, self.width)
+        for column, symbols, lengths, firsts, lasts, shared in self.columns_of_runs():
+            before[firsts[1:]], before[firsts[0]] = lasts[:-1], -1
+            common[firsts], since[firsts] = shared, column
+            if not symbols.all():
+                none = self.columns[column] == 0
+                common[none], since[none] = 0, column
+            if column + length > self.width:
+                continue
+            same = np.flatnonzero(common + since - column >= length)
+            if not len(same):
                 continue
-            same = prefix >= length
-            statistic = same.copy()
-            statistic[:-1] |= same[1:]
-            found[column, order] = statistic
-            classes = np.flatnonzero(~same)
-            least = np.repeat(np.minimum.reduceat(rank[order], classes), np.diff(np.append(classes, self.n)))
-            later[column, order] = statistic & (rank[order] > least)
+            found[column, same] = found[column, before[same]] = True
+            if rank is not None:  # of the suffixes that share the string, which phi links, the least rank
+                to = np.arange(self.n)
+                to[same] = before[same]
+                while (further := to[to]).tobytes() != to.tobytes():
+                    to = further
+                least = rank.copy()
+                np.minimum.at(least, to, rank)
+                later[column] = found[column] & (rank > least[to])
         return found.T, later.T
 
 
@@ -248,7 +269,7 @@ def _span_array(spans: list) -> pa.Array:
     return pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS)
 
 
-def _index(length: int):
+def _index(length: int, ranked: bool):
     """Rows (anchor, context, place, size, copies, owner, data), sorted by anchor, to (anchor, context, owner, found, later): spans from the context's start."""
 
     def verdicts(block: list[tuple]) -> pa.RecordBatch:
@@ -260,7 +281,7 @@ def _index(length: int):
             owners = {o: i for i, o in enumerate(sorted({x[5] for x in block}))}
             rows = [i for i, x in enumerate(block) for _ in range(min(2, x[4]))]
             index = RunIndex([(block[i][0], block[i][6], block[i][2]) for i in rows])
-            found, later = index.matches(length, np.array([owners[block[i][5]] for i in rows]))
+            found, later = index.matches(length, np.array([owners[block[i][5]] for i in rows]) if ranked else None)
             first = np.append(True, np.diff(rows) > 0)
             shifts = [index.zero - x[2] for x in block]
             for x, shift, a, b in zip(block, shifts, _runs_of(found[first], length), _runs_of(later[first], length), strict=True):
@@ -318,13 +339,25 @@ def _total(sizes: DataFrame) -> int:
     return sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def marks(pieces: DataFrame, length: int, keep_first: bool = False, max_contexts: int = MAX_CONTEXTS) -> tuple[DataFrame, DataFrame]:
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(data, requests) to the requests with their bytes."""
+    for batch in small(batches):
+        rows = [r | {"data": data[r["start"] : r["start"] + r["size"]]} for data, requests in zip(batch["data"].to_pylist(), batch["requests"].to_pylist(), strict=True) for r in requests]
+        for a in range(0, len(rows), 4096):
+            yield pa.RecordBatch.from_pylist([{f.name: r[f.name] for f in _CONTEXT} for r in rows[a : a + 4096]], _CONTEXT)
+
+
+_CONTEXT = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("place", pa.int64()), ("size", pa.int64()), ("copies", pa.int64()), ("owner", pa.binary()), ("large", pa.bool_()), ("data", pa.binary())])
+
+
+def marks(pieces: DataFrame, length: int, keep_first: bool = False, max_contexts: int = MAX_CONTEXTS, texts: Buckets | None = None) -> tuple[DataFrame, Buckets]:
     """Where strings of ``length`` bytes in ``pieces`` are repeated.
 
     ``pieces``: (fp, base, copies, data), data being the bytes from ``base`` on of the text of that fingerprint;
-    rows of equal (fp, base) are copies. Returns (fp, spans) of all texts that have any, spans not joined, and
-    the distinct pieces that are involved (fp, base, data). With ``keep_first``, the place of least (fp, start)
-    of each string is not in the spans.
+    rows of equal (fp, base) are copies. ``texts``: (fp, data) of all texts that have pieces, bucketed by fp; by
+    default the pieces are whole texts, and those that are involved are kept so. Returns (fp, spans) of all texts that
+    have any, spans not joined, and the texts. With ``keep_first``, the place of least (fp, start) of each string is not
+    in the spans.
     """
     found = materialise_table(through(pieces, _anchor_rows(length, keep_first), "fp binary, base long, anchor long, context long, start long, end long, at long, copies long, local boolean"))
     all_ = found.filter("not local")
@@ -342,17 +375,18 @@ def marks(pieces: DataFrame, length: int, keep_first: bool = False, max_contexts
     mixed = kinds.filter("mixed").drop("n")
     mixed = lookup(mixed, large.drop("n"), "anchor", large, any_large) if any_large else mixed.withColumn("large", F.lit(False))
     wanted = mixed.select(F.col("first.fp").alias("fp"), F.col("first.base").alias("base"), F.col("first.start").alias("start"), *own, F.coalesce("large", F.lit(False)).alias("large"))
-    requests = wanted.groupBy("fp", "base").agg(F.collect_list(F.struct("start", "anchor", "context", "place", "size", "copies", "owner", "large")).alias("requests"))
-    local = materialise(found.filter("local").select("fp", "base", "start", "end"))
+    requests = wanted.groupBy("fp").agg(F.collect_list(F.struct("start", "anchor", "context", "place", "size", "copies", "owner", "large")).alias("requests"))
+    local = materialise(found.filter("local").select("fp", "start", "end"))
     discard(found)
-    involved = shared.select("fp", "base").unionByName(local.select("fp", "base")).distinct().join(requests, ["fp", "base"], "left")
-    texts = materialise_table(pieces.groupBy("fp", "base").agg(F.first("data").alias("data")).join(involved, ["fp", "base"]))
-    asked = texts.select("base", "data", F.explode("requests").alias("r"))
+    if texts is None:
+        involved = shared.select("fp").unionByName(local.select("fp")).distinct()
+        texts = Buckets(pieces.groupBy("fp").agg(F.first("data").alias("data")).join(involved, "fp", "left_semi"), "fp")
     columns = ["anchor", "context", "place", "size", "copies", "owner", "data"]
-    contexts = asked.select("r.*", F.substring("data", (F.col("r.start") - F.col("base") + 1).cast("int"), F.col("r.size").cast("int")).alias("data"))
+    asked = texts.table.join(requests, "fp").select("data", "requests")
+    contexts = through(asked, _contexts, "anchor long, context long, place long, size long, copies long, owner binary, large boolean, data binary")
     single = kinds.filter("not mixed and copies > 1").select(*own, F.lit(None).cast("binary").alias("data"))
     indexed = contexts.filter("not large").select(columns).unionByName(single).repartition(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "anchor").sortWithinPartitions("anchor")
-    verdicts = through(indexed, _index(length), f"anchor long, context long, owner binary, found {SPANS}, later {SPANS}")
+    verdicts = through(indexed, _index(length, keep_first), f"anchor long, context long, owner binary, found {SPANS}, later {SPANS}")
     if any_large:
         # A string's anchor is a matter of the string, so strings of equal digests are of one family.
         strings = materialise_table(through(contexts.filter("large").select("anchor", "context", "copies", "owner", "data"), _strings(length), "anchor long, context long, start long, copies long, owner binary, digest binary"))
@@ -369,25 +403,32 @@ def marks(pieces: DataFrame, length: int, keep_first: bool = False, max_contexts
     moved = F.transform(spans, lambda s: F.struct((F.col("start") + s["start"]).alias("start"), (F.col("start") + s["end"]).alias("end")))
     marked = lookup(shared, verdicts, ["anchor", "context"], kinds, _total(kinds)).filter("owner is not null").select("fp", F.explode(moved).alias("m")).select("fp", "m.start", "m.end")
     marked = marked.unionByName(local.select("fp", "start", "end")).groupBy("fp").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return marked, texts.select("fp", "base", "data")
+    return marked, texts
 
 
 def _passages(least_words: int, length: int):
-    """(fp, n, data, spans) to the passages, spans of over ``least_words`` words, and the pieces that can hold strings of ``length``."""
+    """(fp, n, data, spans) to the passages, spans of over ``least_words`` words, and the stretches that can hold strings of ``length``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pa.list_(pa.struct([("base", pa.int64()), ("data", pa.binary())]))
         for batch in small(batches):
-            passages, pieces = [], []
+            passages, stretches = [], []
             for data, spans in zip(batch["data"].to_pylist(), batch["spans"].to_pylist(), strict=True):
                 joined = merge_spans((s["start"], s["end"]) for s in spans)
                 passages.append([(a, b) for a, b in joined if len(data[a:b].split()) > least_words])
-                pieces.append([{"base": a, "data": data[a:b]} for a, b in joined if b - a >= length])
-            yield pa.RecordBatch.from_arrays([batch["fp"], batch["n"], _span_array(passages), pa.array(pieces, piece)], names=["fp", "n", "passages", "pieces"])
+                stretches.append([(a, b) for a, b in joined if b - a >= length])
+            yield pa.RecordBatch.from_arrays([batch["fp"], batch["n"], _span_array(passages), _span_array(stretches)], names=["fp", "n", "passages", "stretches"])
 
     return run
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, n, data, stretches) to a row for each stretch."""
+    for batch in small(batches):
+        rows = [(fp, s["start"], n, data[s["start"] : s["end"]]) for fp, n, data, stretches in zip(*(batch[c].to_pylist() for c in ("fp", "n", "data", "stretches")), strict=True) for s in stretches]
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["fp", "base", "copies", "data"])
+
+
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
         spans, removed, digests = [], [], []
@@ -418,12 +459,14 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     counts = materialise(rows.groupBy("fp").agg(F.count("*").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     marked, texts = marks(rows.select("fp", F.lit(0).cast("long").alias("base"), F.lit(1).cast("long").alias("copies"), "data"), first, max_contexts=max_contexts)
-    marked = texts.join(marked, "fp").join(counts, "fp").select("fp", "n", "data", "spans")
-    passages = materialise_table(through(marked, _passages(passage_words, length), f"fp binary, n long, passages {SPANS}, pieces array<struct<base:long,data:binary>>"))
-    pieces = passages.select("fp", F.col("n").alias("copies"), F.explode("pieces").alias("p")).select("fp", "p.base", "copies", "p.data")
-    longer, _ = marks(pieces, length, max_contexts=max_contexts)
-    done = through(texts.join(longer, "fp").select("fp", "data", "spans"), _cutter, f"fp binary, spans {SPANS}, n_removed long, kept_sha256 string")
+    marked = texts.table.join(marked, "fp").join(counts, "fp").select("fp", "n", "data", "spans")
+    passages = materialise_table(through(marked, _passages(passage_words, length), f"fp binary, n long, passages {SPANS}, stretches {SPANS}"))
+    long_ones = texts.table.join(passages.filter(F.size("stretches") > 0), "fp").select("fp", "n", "data", "stretches")
+    pieces = through(long_ones, _pieces, "fp binary, base long, copies long, data binary")
+    longer, _ = marks(pieces, length, max_contexts=max_contexts, texts=texts)
+    done = through(texts.table.join(longer, "fp").select("fp", "data", "spans"), _cutter, f"fp binary, spans {SPANS}, n_removed long, kept_sha256 string")
     table = materialise_table(passages.select("fp", "passages").join(done, "fp", "left"))
+    texts.drop()
     out = lookup(rows.select(id_col, "n_bytes", "sha", "fp"), table, "fp", counts, total)
     nothing = F.array().cast(SPANS)
     spans = F.coalesce("spans", nothing)
@@ -465,8 +508,9 @@ def clean(docs: DataFrame, length: int = PASSAGE_LENGTH, least_words: int = PASS
     counts = materialise(tagged.groupBy(fp).agg(F.count("*").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     pieces = tagged.select(F.col(fp).alias("fp"), F.lit(0).cast("long").alias("base"), F.lit(1).cast("long").alias("copies"), text.cast("binary").alias("data"))
-    marked, _ = marks(pieces, length, True, max_contexts)
+    marked, texts = marks(pieces, length, True, max_contexts)
     table = materialise_table(marked.select(F.col("fp").alias(fp), F.col("spans").alias(spans)))
+    texts.drop()
     out = lookup(tagged, table, fp, counts, total).drop(fp)
     names = [*docs.columns, flag]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{flag}` boolean"

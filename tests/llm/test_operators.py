@@ -140,13 +140,16 @@ def test_run_index_holds_its_contexts():
     columns = list(index.columns_of_runs())
     texts = [[] for _ in rows]
     before = list(range(len(rows)))
-    for _, symbols, lengths, ends, order, _ in columns:
-        raw = [s for s, n in zip(symbols.tolist(), lengths.tolist(), strict=True) for _ in range(n)]
-        for row, s in zip(before, raw, strict=True):
-            if s:
-                texts[row].append(s - 1)
-        assert [before[i - 1] for i in suffix_dedup.np.cumsum(lengths).tolist()] == ends.tolist()
-        before = order.tolist()
+    for _, symbols, lengths, firsts, lasts, _ in columns:
+        after = []
+        for symbol, n, first, last in zip(*(x.tolist() for x in (symbols, lengths, firsts, lasts)), strict=True):
+            run = before[before.index(first) :][:n]
+            assert len(run) == n and run[-1] == last
+            after += run
+            for row in run if symbol else ():
+                texts[row].append(symbol - 1)
+        assert sorted(after) == sorted(before)
+        before = after
     assert [bytes(t[::-1]) for t in texts] == [d for _, d, _ in rows]
     assert sum(len(lengths) for _, _, lengths, *_ in columns) < 0.1 * sum(len(d) for _, d, _ in rows)
 
