@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import lookup, materialise, small, text_or_empty, through
+from .common import fresh, lookup, materialise, small, text_or_empty, through
 
 #: Common words of English, French, German and Spanish.
 COMMON = (
@@ -126,13 +126,14 @@ def references(features: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return table.drop("sums"), pooled
 
 
-def with_references(rows: DataFrame, table: DataFrame, lang_col: str = "lang") -> DataFrame:
-    """``rows`` with the _n and _reference of their language, null where it has no document that is long enough."""
-    keyed = rows.withColumn("_lang_key", _lang_key(lang_col))
+def with_references(rows: DataFrame, table: DataFrame, lang_col: str = "lang") -> tuple[DataFrame, str, str]:
+    """``rows`` with how many documents are in the reference of their language and that reference, null where it has no document that is long enough, and the names of both columns, which ``rows`` did not have."""
+    key, n, reference = (fresh(rows, c) for c in ("_lang_key", "_n", "_reference"))
+    keyed, table = rows.withColumn(key, _lang_key(lang_col)), table.toDF(key, n, reference)
     if table.count() <= BROADCAST_LANGS:
-        return keyed.join(F.broadcast(table), "_lang_key", "left").drop("_lang_key")
-    sizes = materialise(keyed.groupBy("_lang_key").agg(F.count("*").alias("n")))
-    return lookup(keyed, table, "_lang_key", sizes, sizes.agg(F.sum("n")).first()[0]).drop("_lang_key")
+        return keyed.join(F.broadcast(table), key, "left").drop(key), n, reference
+    sizes = materialise(keyed.groupBy(key).agg(F.count("*").alias("n")))
+    return lookup(keyed, table, key, sizes, sizes.agg(F.sum("n")).first()[0]).drop(key), n, reference
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -180,20 +181,20 @@ def _verdicts(pooled: np.ndarray, features: pa.RecordBatch, n_docs: pa.Array, re
     return pa.RecordBatch.from_arrays([*map(get, ["key", *BASE]), pa.array(failed), pa.array(char_d), pa.array(word_d), pa.array(kept)], names=["key", *BASE, "base_failed", "char_distance", "word_distance", "kept"])
 
 
-def _judge(pooled: np.ndarray):
+def _judge(pooled: np.ndarray, n: str, reference: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            yield _verdicts(pooled, batch, batch["_n"], batch["_reference"])
+            yield _verdicts(pooled, batch, batch[n], batch[reference])
 
     return run
 
 
-def _keep(pooled: np.ndarray, columns: list[str]):
+def _keep(pooled: np.ndarray, columns: list[str], n: str, reference: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             texts = [t or "" for t in batch["text"].to_pylist()]
             features = _feature_batch(pa.nulls(len(texts)), batch["lang"].cast(pa.string()), texts)
-            verdicts = _verdicts(pooled, features, batch["_n"], batch["_reference"])
+            verdicts = _verdicts(pooled, features, batch[n], batch[reference])
             yield batch.select(columns).filter(verdicts["kept"])
 
     return run
@@ -209,7 +210,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(id_col).alias("key"), F.col(lang_col).cast("string").alias("lang"), text_or_empty(text_col).alias("text"))
     features = materialise(through(rows, _features, f"key {kind}, lang string, {COUNTS}, chars array<int>, words array<int>"))
     table, pooled = references(features)
-    judged = through(with_references(features, table), _judge(pooled), f"key {kind}, {COUNTS}, base_failed boolean, char_distance double, word_distance double, kept boolean")
+    found, n, reference = with_references(features, table)
+    judged = through(found, _judge(pooled, n, reference), f"key {kind}, {COUNTS}, base_failed boolean, char_distance double, word_distance double, kept boolean")
     return judged.withColumnRenamed("key", id_col)
 
 
@@ -218,7 +220,8 @@ def keep(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.lit(None).cast("long").alias("key"), F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text"))
     features = through(rows, _features, f"key long, lang string, {COUNTS}, chars array<int>, words array<int>")
     table, pooled = references(features)
-    return through(with_references(docs, table), _keep(pooled, docs.columns), docs.schema)
+    found, n, reference = with_references(docs, table)
+    return through(found, _keep(pooled, docs.columns, n, reference), docs.schema)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

@@ -284,3 +284,22 @@ def test_exact_chances():
         assert source_divergence.chances(counts, total, kept).tolist() == [1 + 10**9 * (c + 5) // (total + 5 * kept) for c in counts.tolist()]
     with pytest.raises(ValueError):
         source_divergence.chances(np.zeros(1, np.int64), 9 * 10**15, 1)
+
+
+def test_pipeline_stages_with_clashing_names(spark, tmp_path):
+    """Columns named like the stages' own helpers stay as they are."""
+    import corpus_pipeline
+
+    names = ["_n", "_lang_key", "_reference", "_hot", "_spread", "_got", "_cold", "_own_key", "_lookup", "_lookup_is", "fp", "spans", "cut", "hot", "node", "root"]
+    rng = random.Random(2)
+    words = "the and of a in is to we it that with for on as was by this you from have".split()
+    texts = [" ".join(rng.choice([*words, "river", "stone", "market", "garden", "window"]) for _ in range(rng.randint(120, 200))) for _ in range(12)]
+    rows = [(i, t, "en", "s", len(t or ""), *range(len(names))) for i, t in enumerate([*texts, texts[0], None, ""])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names)
+    now = spark.createDataFrame(rows, schema).repartition(3)
+    spark.createDataFrame([(1, "nothing that occurs there at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == [f.split()[0].strip("`") for f in schema.split(", ")]
+        got = now.select(*names).distinct().collect()
+        assert [tuple(r) for r in got] == [tuple(range(len(names)))]
