@@ -25,7 +25,8 @@ def _groups(pages: DataFrame, key: Column, name: str, with_urls: bool) -> DataFr
     """(snapshot_id, key, urls) of keys that several pages share; urls is the list, or one digest of it."""
     grouped = pages.select("snapshot_id", key.alias(f"_{name}"), "url").filter(f"_{name} is not null").groupBy("snapshot_id", f"_{name}")
     urls = F.sort_array(F.collect_list("url"))
-    urls = urls if with_urls else F.array(F.sha2(F.array_join(urls, "\n"), 256))
+    if not with_urls:  # two digests that do not depend on order, so that they are combined before the shuffle
+        urls = F.array(*[F.bit_xor(F.xxhash64("url", F.lit(n))).cast("string") for n in (1, 2)], F.count("*").cast("string"))
     return grouped.agg(F.count("*").alias("_n"), urls.alias(f"_{name}_urls")).filter("_n > 1").drop("_n")
 
 

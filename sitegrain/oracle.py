@@ -210,6 +210,10 @@ def sql() -> dict:
         select site as snapshot_id, url, cast(0 as bigint) as depth, cast(case when not blocked then 200 end as bigint) as status, blocked, cast(case when blocked then 0 else length(html) - length(replace(html, '<h1', '<h')) end as bigint) as h1_count from o
         union all select site, url, 1, case when not ({held.format(u="url")}) then 404 end, {held.format(u="url")}, 0 from l where not exists (select 1 from g where g.site = l.site and g.url = l.url)
         and not regexp_matches(url, '(?i)\\.(?:{SKIPPED})$')"""
+    out["st5_lifecycle"] = out["c3_diff_lifecycle"]
+    out["st4_group_rules"] = f"{one}, {_issues(0)} select rule, snapshot_id, url from a0 where rule in ('duplicate-title', 'orphan-sitemap-page')"
+    out["st1_page_table"] = f"""with l as (select {ORIGIN} || {NORMAL_PATH} as url, page_id + w as k, page_id + w * 10000000 as seq from pages, range(3) as r(w) where page_id % (w + 1) = 0)
+        select url, cast(case when k % 17 = 1 then 503 when k % 13 = 1 then 404 else 200 end as bigint) as status, case when k % 37 = 0 then 'timeout' end as error, seq from l qualify row_number() over (partition by url order by seq desc) = 1"""
     audit = out["c1_audit"]
     out["f17_html_escape"] = """select doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;') as escaped from documents"""
     out["f22_report_filter"] = f"select * from ({audit}) where severity = 'error' and owner = 'developer' and contains(lower(concat_ws(' ', url, rule, message, owner)), 'example.org/en')"

@@ -15,13 +15,31 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions.urls import is_crawlable
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a level in the shared checkpoint folder."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's shared ``spark.checkpoint.dir``; only where none is set and all runs on one machine (tests) is one made."""
     import tempfile
 
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared one, removed when the session ends."""
+    import uuid
+
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4()}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of a level in the shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -8,7 +8,7 @@ from .functions import text, urls
 from .operators import catalog, current, diff, graph, policy, regression, report
 from .plans import crawl, site_scan
 from .sources import checkpoint, html, robots, site_tables, sitemap
-from .streaming import replay
+from .streaming import groups, lifecycle, page_table, replay
 
 ISSUE = ["snapshot_id", "rule", "severity", "scope", "owner", "url", "fingerprint", "message"]
 
@@ -206,11 +206,23 @@ def st_replay(spark, sf_dir):
     return replay.query(spark, sf_dir)
 
 
+def st1_page_table(spark, sf_dir):
+    return page_table.query(spark, sf_dir)
+
+
+def st4_group_rules(spark, sf_dir):
+    return groups.query(spark, sf_dir)
+
+
+def st5_lifecycle(spark, sf_dir):
+    return lifecycle.query(spark, sf_dir)
+
+
 def queries() -> dict:
     out = {f.__name__: f for f in (
         c1_audit, c2_regressions, c3_diff_lifecycle, c4_policy, c14_gate, f1_normalize_url, f2_origin, f3_crawlable, f4_map_origin, f5_map_prefix, f6_clean_text, f7_has_directive, f8_valid_language,
         f10_robots_allowed, f12_content_hash, f13_word_count, f15_fingerprint, h_extract, s12_sitemap_parse, a1_duplicate_content, a2_statistics, a3_link_graph, a4_health, a5_severity_summary, a7_budgets,
-        f17_html_escape, s21_lifecycle_summary, a8_rule_list, f22_report_filter, s20_csv_lines, s21_summary, j5_orphans, l2_crawl, c11_scan, s15_checkpoint_last, st_replay,
+        f17_html_escape, s21_lifecycle_summary, a8_rule_list, f22_report_filter, s20_csv_lines, s21_summary, j5_orphans, l2_crawl, c11_scan, s15_checkpoint_last, st_replay, st1_page_table, st4_group_rules, st5_lifecycle,
     )}
     out |= {f"r{i:02d}_{r.replace('-', '_')}": _rule(r) for i, r in enumerate(catalog.CURRENT, 1)}
     out |= {f"r{i:02d}_{r.replace('-', '_')}": _regression(r) for i, r in enumerate(catalog.REGRESSION, 35)}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -78,9 +77,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     k = F.col("page_id")
     log = p.select(normalize_url(F.col("url")).alias("url"), F.when(k % 17 == 1, 503).when(k % 13 == 1, 404).otherwise(200).alias("status"), F.when(k % 37 == 0, "timeout").alias("error"), k.alias("seq"))
-    from ..plans.crawl import checkpointed
+    from ..plans.crawl import shared_folder
 
-    checkpointed(spark.range(1))  # sets the shared folder where none is set
-    path = f"{spark.sparkContext.getCheckpointDir()}/log-{uuid.uuid4()}"
+    path = shared_folder(spark, "log")
     append(log, path)
     return reusable(last_wins(read_log(spark, path))).select("url", F.col("status").cast("long").alias("status"), "seq")

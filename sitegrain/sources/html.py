@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 from collections.abc import Iterator
@@ -12,7 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.urls import normalize
 
-_BLANKS = re.compile("[\t\n\x0b\f\r    -     　﻿]+")
+#: What counts as white space.
+_BLANKS = re.compile(r"[\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
 _HIDDEN = {"script", "style", "noscript", "template"}
 S = pa.string()
 OG = pa.struct([("title", S), ("description", S), ("image", S)])
@@ -60,7 +62,7 @@ class PageParser(HTMLParser):
             self.title = []
         elif tag in _HIDDEN:
             self.hidden.append(tag)
-            if tag == "script" and given.get("type", "").strip().lower() == "application/ld+json":
+            if tag == "script" and given.get("type", "").lower() == "application/ld+json":
                 self.data = []
         handler = getattr(self, f"_{tag}", None)
         if handler:
@@ -103,7 +105,7 @@ class PageParser(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "title" and self.title is not None:
-            self._first("title", clean(" ".join(self.title)))
+            self._first("title", clean("".join(self.title)))
             self.title = None
         elif self.hidden and tag == self.hidden[-1]:
             self.hidden.pop()
@@ -117,9 +119,14 @@ class PageParser(HTMLParser):
         try:
             value = json.loads(text, parse_constant=_no_constant)
             self.out["json_ld"].append({"valid": True, "value": json.dumps(value, ensure_ascii=False, separators=(",", ":")), "error": None})
-        except ValueError as e:
+        except (ValueError, RecursionError) as e:
             self.out["json_ld"].append({"valid": False, "value": None, "error": str(e)})
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![...``, which HTML does not have, ends at the next ``>``."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
     def handle_data(self, data: str) -> None:
         if self.data is not None:
             self.data.append(data)
@@ -130,10 +137,14 @@ class PageParser(HTMLParser):
 
 
 def extract(html: str | None, url: str | None, final_url: str | None = None, include_query: bool = False) -> dict:
-    """The record of one page; a null page has empty fields. Relative URLs count from ``final_url``, where redirects led; links keep queries if asked for."""
+    """The record of one page; a null page has empty fields. Relative URLs count from ``final_url``, where redirects led; links keep queries if asked for.
+
+    Of a page that the parser gives up on, what it had read counts.
+    """
     parser = PageParser()
-    parser.feed(html or "")
-    parser.close()
+    with contextlib.suppress(AssertionError, RecursionError):
+        parser.feed(html or "")
+        parser.close()
     out = parser.out
     base = final_url or url
     out["canonical"] = normalize(out.get("canonical_raw"), base, include_query=True)

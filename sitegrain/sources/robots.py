@@ -13,7 +13,7 @@ def parse_robots(body: str | None, agent: str) -> list[tuple[str, str]]:
     general: list[tuple[str, str]] = []
     agents: list[str] = []
     open_, specific = True, False
-    for line in (body or "").removeprefix("﻿").splitlines():
+    for line in (body or "").removeprefix("\ufeff").replace("\r\n", "\n").split("\n"):
         key, colon, value = line.split("#", 1)[0].partition(":")
         key, value = key.strip().lower(), value.strip()
         if not colon:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -27,10 +25,9 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table read as a stream, event by event, into a table."""
-    from ..plans.crawl import checkpointed
+    from ..plans.crawl import shared_folder
 
-    checkpointed(spark.range(1))  # sets the shared folder where none is set
-    root = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4()}"
+    root = shared_folder(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet*")
     kept = stream.filter("event_type is not null").select("event_id", "user_id", "event_type", F.round("value", 2).alias("value"))
