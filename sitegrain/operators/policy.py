@@ -7,6 +7,7 @@ from datetime import UTC, date, datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import patterns
 from ..functions.text import glob_regex
 from ..functions.urls import path_and_query
 
@@ -44,6 +45,22 @@ class Policy:
         return issues.filter(~F.coalesce(self.suppressed(), F.lit(False))) if self.suppressions else issues
 
 
+def suppress(issues: DataFrame, suppressions: DataFrame, today: date | None = None) -> DataFrame:
+    """``issues`` without those that a row of ``suppressions`` (rule, url_pattern, expires_at: date or null) covers, for any number of these.
+
+    A pattern covers an issue of its rule if it matches the URL or its path, until the end of ``expires_at`` (UTC).
+    Both meet by rule and the literal beginning of the pattern; rows with a null rule or pattern cover nothing.
+    """
+    day = F.lit(today or datetime.now(UTC).date())
+    valid = suppressions.filter((F.col("expires_at").isNull() | (F.col("expires_at") >= day)) & F.col("url_pattern").isNotNull()).select("rule", "url_pattern").distinct()
+    known = valid.select("rule", patterns.pattern_key(F.col("url_pattern")).alias("_key"), patterns.glob(F.col("url_pattern")).alias("_regex"), patterns.salts().alias("_salt"))
+    path = F.regexp_replace(path_and_query(F.col("url")), r"\?.*$", "")
+    asked = issues.select("rule", "url").distinct().select("rule", "url", F.explode(F.array("url", path)).alias("_text")).filter("_text is not null")
+    asked = asked.select("*", F.explode(patterns.text_keys(F.col("_text"))).alias("_key"), patterns.salt("url").alias("_salt"))
+    covered = asked.join(known, ["rule", "_key", "_salt"]).filter("_text rlike _regex").select("rule", "url").distinct()
+    return issues.join(covered, ["rule", "url"], "left_anti").select(issues.columns)
+
+
 def ordered(issues: DataFrame) -> DataFrame:
     """By severity, url, rule, fingerprint; URLs in the order of the root collation."""
     return issues.orderBy(severity_rank(F.col("severity")), F.expr("url COLLATE UNICODE"), F.expr("rule COLLATE UNICODE"), "fingerprint")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .functions.urls import SKIPPED
 from .operators import catalog
 from .registry import ROBOTS
+from .sources.robots import BODIES as ROBOTS_FILES
 
 assert ROBOTS  # the rules of f10 below are those
 
@@ -215,6 +216,34 @@ def sql() -> dict:
     out["st1_page_table"] = f"""with l as (select {ORIGIN} || {NORMAL_PATH} as url, page_id + w as k, page_id + w * 10000000 as seq from pages, range(3) as r(w) where page_id % (w + 1) = 0)
         select url, cast(case when k % 17 = 1 then 503 when k % 13 = 1 then 404 else 200 end as bigint) as status, case when k % 37 = 0 then 'timeout' end as error, seq from l qualify row_number() over (partition by url order by seq desc) = 1"""
     audit = out["c1_audit"]
+    glob = r"'^' || replace(replace(replace(regexp_replace(pattern, '([\\.\[\]{}()+^$|?])', '\\\1', 'g'), '**', chr(1)), '*', '[^/]*'), chr(1), '.*') || '$'"
+    out["j15_suppressions"] = f"""with w as ({audit}), u as (select page_id as k, {PATH} as path, regexp_extract(url, '^([^?#]*)', 1) as whole from pages),
+        s as (select 'missing-open-graph' as rule, path || '**' as pattern, null as until from u union all select 'missing-twitter-metadata', whole || '*', make_date(2026 + k % 3, 6, 30) from u
+          union all select 'low-word-count', regexp_replace(path, '[0-9]', '*', 'g'), make_date(2026 + k % 2, 12, 31) from u union all select 'missing-canonical', '**' || right(path, 2), null from u),
+        g as (select distinct rule, {glob} as regex from s where until is null or until >= date '2027-01-01')
+        select * from w where not exists (select 1 from g where g.rule = w.rule and (regexp_matches(w.url, regex) or regexp_matches(case when regexp_extract(w.url, '^https?://[^/?#]+([^?#]*)', 1) = '' then '/' else regexp_extract(w.url, '^https?://[^/?#]+([^?#]*)', 1) end, regex)))"""
+    out["o1_issue_rank"] = f"""select snapshot_id, fingerprint, rule, url, rank, cast(ceil(rank / 100) as bigint) as page from (select *, row_number() over (order by case severity when 'error' then 0 when 'warning' then 1 else 2 end, url, rule, fingerprint, snapshot_id) as rank from ({audit}))"""
+    bodies = ", ".join("'" + b.replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '") + "'" for b in ROBOTS_FILES)
+    regex = r"'^' || replace(regexp_replace(regexp_replace(pattern, '\$$', ''), '([\\.\[\]{}()+^$|?])', '\\\1', 'g'), '*', '.*') || case when pattern like '%$' then '$' else '' end"
+    full = "case when regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) = '' then '/' else regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) end || regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1)"
+    out["j16_robots_tables"] = f"""with p as (select page_id, {ORIGIN} as site, url, {full} as path from pages),
+        f as (select site, [{bodies}][arg_min(page_id % 4, page_id) + 1] || chr(10) || 'User-agent: *' || chr(10) || 'Disallow: ' || arg_min(path, page_id) || chr(10) as body from p group by site),
+        l as (select site, generate_subscripts(string_split_regex(body, '\\r?\\n'), 1) as nr, split_part(unnest(string_split_regex(body, '\\r?\\n')), '#', 1) as line from f),
+        v as (select site, nr, lower(trim(split_part(line, ':', 1))) as key, trim(substr(line, strpos(line, ':') + 1)) as value from l where strpos(line, ':') > 0),
+        r as (select * from v where key = 'user-agent' or (key in ('allow', 'disallow') and value <> '')),
+        b as (select *, key = 'user-agent' and coalesce(lag(key) over (partition by site order by nr) <> 'user-agent', false) as begins from r),
+        n as (select *, sum(begins::int) over (partition by site order by nr) as part, key = 'user-agent' and value not in ('', '*') and contains('auditor/1.0', lower(value)) as mine from b),
+        h as (select *, bool_or(mine) over (partition by site, part) as named, bool_or(key = 'user-agent' and value = '*') over (partition by site, part) as everyone, bool_or(mine) over (partition by site) as special from n),
+        t as (select distinct site, key as kind, value as pattern from h where key <> 'user-agent' and case when special then named else everyone and not named end),
+        x as (select *, {regex} as regex from t)
+        select p.site, p.url, coalesce(max(case when kind = 'allow' then length(pattern) end), -1) >= coalesce(max(case when kind = 'disallow' then length(pattern) end), -1) as allowed
+        from (select distinct site, url, path from p) p left join x on x.site = p.site and regexp_matches(p.path, x.regex) group by p.site, p.url"""
+    out["l2_crawl"] = f"""with recursive {one.removeprefix("with ")},
+        edges as (select distinct site, url, unnest(links) as target from p0),
+        seeds as (select distinct site, url from (select site, arg_min(url, page_id) as url from g0 group by site union all select site, url from m0 where not regexp_matches(url, '(?i)\\.(?:{SKIPPED})$'))),
+        reached(site, url, depth) using key (site, url) as (select site, url, 0 from seeds union select e.site, e.target, min(r.depth) + 1 from reached r join edges e on e.site = r.site and e.url = r.url
+          where not regexp_matches(e.target, '(?i)\\.(?:{SKIPPED})$') and not exists (select 1 from recurring.reached d where d.site = e.site and d.url = e.target) group by e.site, e.target)
+        select site, url, cast(depth as bigint) as depth from reached"""
     out["f17_html_escape"] = """select doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;') as escaped from documents"""
     out["f22_report_filter"] = f"select * from ({audit}) where severity = 'error' and owner = 'developer' and contains(lower(concat_ws(' ', url, rule, message, owner)), 'example.org/en')"
     out["s21_summary"] = f"""select snapshot_id, count(*) filter (severity = 'error') as errors, count(*) filter (severity = 'warning') as warnings, count(*) filter (severity = 'info') as infos,
