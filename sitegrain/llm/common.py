@@ -13,6 +13,8 @@ from pyspark.sql.types import IntegralType
 
 #: A key that holds more than 1/HEAVY of all rows is handled apart, so at most HEAVY keys are ever broadcast.
 HEAVY = 1000
+#: Words of 64 bits of a sieve at most, which bounds what it broadcasts; and keys for each word below that.
+SIEVE_WORDS, SIEVE_KEYS = 1 << 20, 4
 #: Rows and bytes of a batch that goes to a Python worker at most.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 #: Rows of one partition of a kept table whose row count is known, and its least number of partitions.
@@ -101,6 +103,21 @@ def lookup(rows: DataFrame, table: DataFrame, key: str | list[str], sizes: DataF
     return tagged.join(cold, same, "left").select(*rows.columns, got.alias(value)).select(*rows.columns, *[F.col(f"{value}.{c}").alias(c) for c in extra])
 
 
+def sieved(rows: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with a boolean column that is false only where ``key`` is not among ``keys`` (a kept table with that column).
+
+    A filter of one bit for each key's hash, its words broadcast: rows that cannot match are told before a shuffle. Beyond
+    ``SIEVE_KEYS * SIEVE_WORDS`` keys it lets more pass; it never holds back a row that matches.
+    """
+    words = min(SIEVE_WORDS, keys.count() // SIEVE_KEYS + 1)
+    at, bits = fresh(rows, f"{name}_at"), fresh(rows, f"{name}_bits")
+    place = f"pmod(xxhash64(`{key}`), {64 * words}L)"
+    bit = F.expr(f"shiftleft(1L, cast({place} & 63 as int))")
+    table = materialise(keys.select(F.expr(f"shiftright({place}, 6)").alias(at), bit.alias(bits)).groupBy(at).agg(F.bit_or(bits).alias(bits)), words)
+    tagged = rows.withColumn(at, F.expr(f"shiftright({place}, 6)")).join(F.broadcast(table), at, "left")
+    return tagged.select(*rows.columns, (F.coalesce(F.col(bits), F.lit(0).cast("long")).bitwiseAND(bit) != 0).alias(name))
+
+
 def shared_path(spark: SparkSession, kind: str):
     """A new Hadoop path in the shared folder, removed when the session ends."""
     ensure_checkpoint_dir(spark)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import fingerprint, fresh, lookup, materialise, materialise_table, small, text_or_empty, through
+from .common import fingerprint, fresh, lookup, materialise, materialise_table, sieved, small, text_or_empty, through
 from .decontaminate import split_words
 from .tokens import slices
 
@@ -365,8 +365,9 @@ def nodes_and_roots(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     members = materialise(banded.join(shared, "band", "left_semi"))
-    needed = members.select("node").distinct().join(nodes.select("node", "fp"), "node")
-    texts = rows.groupBy("fp").agg(F.first("text").alias("text")).join(needed, "fp").select("node", "text")
+    needed = materialise(members.select("node").distinct().join(nodes.select("node", "fp"), "node"))
+    near = sieved(rows.select("fp", "text"), needed, "fp", "maybe").filter("maybe")
+    texts = near.groupBy("fp").agg(F.first("text").alias("text")).join(needed, "fp").select("node", "text")
     return nodes, linked(members, materialise_table(texts), least)
 
 
@@ -400,11 +401,11 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     nodes, roots = nodes_and_roots(rows, similarity)
     placed = nodes.select("fp", "node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("first").isNull(), "first", "node")
-    fp, kept_fp, first = (fresh(docs, c) for c in ("fp", "kept_fp", "first"))
-    kept = placed.groupBy("root").agg(F.min_by(F.struct("fp", "first"), order).alias("k")).select(F.col("k.fp").alias(kept_fp), F.col("k.first").alias(first))
-    # The id is part of the key: the rows of a large group of copies go to many tasks.
-    same = (F.col(fp) == F.col(kept_fp)) & F.col("doc_id").cast("long").eqNullSafe(F.col(first))
-    return docs.withColumn(fp, fingerprint(text)).join(kept, same).dropDuplicates([fp]).select(*docs.columns)
+    fp, own = fresh(docs, "fp"), fresh(docs, "own")
+    name = lambda x: F.coalesce(x.cast("long").cast("string"), F.lit("none"))
+    kept = placed.groupBy("root").agg(F.min_by(F.struct("fp", "first"), order).alias("k")).select(F.col("k.fp").alias(fp), name(F.col("k.first")).alias(own))
+    # The id is part of the key: the rows of a large group of copies go to many tasks, and equal rows meet in one, where one of them stays.
+    return docs.withColumn(fp, fingerprint(text)).withColumn(own, name(F.col("doc_id"))).join(kept, [fp, own]).dropDuplicates([fp, own]).select(*docs.columns)
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Buckets, discard, fingerprint, fresh, lookup, materialise, materialise_table, small, text_or_empty, through
+from .common import Buckets, discard, fingerprint, fresh, lookup, materialise, materialise_table, sieved, small, text_or_empty, through
 from .near_dedup import mix
 
 LENGTH, PIECE = 400, 32
@@ -379,8 +379,10 @@ def marks(pieces: DataFrame, length: int, keep_first: bool = False, max_contexts
     local = materialise(found.filter("local").select("fp", "start", "end"))
     discard(found)
     if texts is None:
-        involved = shared.select("fp").unionByName(local.select("fp")).distinct()
-        texts = Buckets(pieces.groupBy("fp").agg(F.first("data").alias("data")).join(involved, "fp", "left_semi"), "fp")
+        # Where one occurrence stays, texts are read for their contexts only; else they are cut too.
+        involved = materialise((wanted.select("fp") if keep_first else shared.select("fp").unionByName(local.select("fp"))).distinct())
+        near = sieved(pieces.select("fp", "data"), involved, "fp", "maybe").filter("maybe")
+        texts = Buckets(near.groupBy("fp").agg(F.first("data").alias("data")).join(involved, "fp", "left_semi"), "fp")
     columns = ["anchor", "context", "place", "size", "copies", "owner", "data"]
     asked = texts.table.join(requests, "fp").select("data", "requests")
     contexts = through(asked, _contexts, "anchor long, context long, place long, size long, copies long, owner binary, large boolean, data binary")
@@ -511,7 +513,11 @@ def clean(docs: DataFrame, length: int = PASSAGE_LENGTH, least_words: int = PASS
     marked, texts = marks(pieces, length, True, max_contexts)
     table = materialise_table(marked.select(F.col("fp").alias(fp), F.col("spans").alias(spans)))
     texts.drop()
-    out = lookup(tagged, table, fp, counts, total).drop(fp)
+    # Texts without spans are not moved.
+    maybe = fresh(tagged, "maybe")
+    told = sieved(tagged, table, fp, maybe)
+    joined = lookup(told.filter(maybe).drop(maybe), table, fp, counts, total)
+    out = joined.unionAll(told.filter(~F.col(maybe)).drop(maybe).withColumn(spans, F.lit(None).cast(SPANS))).drop(fp)
     names = [*docs.columns, flag]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{flag}` boolean"
     made = through(out, _clean(names, docs.columns.index(text_col), least_words), kinds).filter(~F.col(flag) | (F.col(text_col) != ""))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sitegrain.llm import conversation_repair, source_divergence, token_index
-from sitegrain.llm.common import lookup
+from sitegrain.llm.common import lookup, sieved
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -303,3 +303,12 @@ def test_pipeline_stages_with_clashing_names(spark, tmp_path):
         assert now.columns == [f.split()[0].strip("`") for f in schema.split(", ")]
         got = now.select(*names).distinct().collect()
         assert [tuple(r) for r in got] == [tuple(range(len(names)))]
+
+
+def test_sieve_holds_back_no_match(spark):
+    rows = spark.range(0, 5000, 1, 3).select(F.unhex(F.md5(F.col("id").cast("string").cast("binary"))).alias("fp"), (F.col("id") % 10 == 0).alias("in"), F.lit(1).alias("maybe_at"))
+    keys = rows.filter("in").select("fp")
+    told = sieved(rows, keys, "fp", "maybe")
+    assert told.columns == [*rows.columns, "maybe"]
+    assert told.filter("in and not maybe").count() == 0 and told.filter("maybe").count() < 1000
+    assert sieved(rows, keys.limit(0), "fp", "maybe").filter("maybe").count() == 0
