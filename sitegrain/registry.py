@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions import text, urls
 from .operators import catalog, current, diff, graph, order, policy, regression, report
 from .plans import crawl, site_scan
-from .sources import checkpoint, html, robots, site_tables, sitemap
+from .sources import checkpoint, html, robots, site_tables, sitemap, sitemap_index
 from .streaming import groups, lifecycle, page_table, replay
 
 ISSUE = ["snapshot_id", "rule", "severity", "scope", "owner", "url", "fingerprint", "message"]
@@ -223,6 +223,10 @@ def j16_robots_tables(spark, sf_dir):
     return robots.query(spark, sf_dir)
 
 
+def s10_sitemap_index(spark, sf_dir):
+    return sitemap_index.query(spark, sf_dir)
+
+
 def o1_issue_rank(spark, sf_dir):
     """All findings numbered by severity, URL, rule, fingerprint and site, and the page of 100 that each is on."""
     by = [policy.severity_rank(F.col("severity")), F.col("url"), F.col("rule"), F.col("fingerprint"), F.col("snapshot_id")]
@@ -245,7 +249,7 @@ def queries() -> dict:
     out = {f.__name__: f for f in (
         c1_audit, c2_regressions, c3_diff_lifecycle, c4_policy, c14_gate, f1_normalize_url, f2_origin, f3_crawlable, f4_map_origin, f5_map_prefix, f6_clean_text, f7_has_directive, f8_valid_language,
         f10_robots_allowed, f12_content_hash, f13_word_count, f15_fingerprint, h_extract, s12_sitemap_parse, a1_duplicate_content, a2_statistics, a3_link_graph, a4_health, a5_severity_summary, a7_budgets,
-        f17_html_escape, s21_lifecycle_summary, a8_rule_list, f22_report_filter, s20_csv_lines, s21_summary, j5_orphans, l2_crawl, c11_scan, s15_checkpoint_last, st_replay, j15_suppressions, j16_robots_tables, o1_issue_rank, st1_page_table, st4_group_rules, st5_lifecycle,
+        f17_html_escape, s21_lifecycle_summary, a8_rule_list, f22_report_filter, s20_csv_lines, s21_summary, j5_orphans, l2_crawl, c11_scan, s15_checkpoint_last, st_replay, j15_suppressions, j16_robots_tables, s10_sitemap_index, o1_issue_rank, st1_page_table, st4_group_rules, st5_lifecycle,
     )}
     out |= {f"r{i:02d}_{r.replace('-', '_')}": _rule(r) for i, r in enumerate(catalog.CURRENT, 1)}
     out |= {f"r{i:02d}_{r.replace('-', '_')}": _regression(r) for i, r in enumerate(catalog.REGRESSION, 35)}
