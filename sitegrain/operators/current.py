@@ -33,25 +33,27 @@ def _groups(pages: DataFrame, key: Column, name: str, with_urls: bool) -> DataFr
 def evaluate(pages: DataFrame, sites: DataFrame, sitemap_urls: DataFrame, enabled: list[str] | None = None, with_urls: bool = True) -> DataFrame:
     """Findings (snapshot_id, url, rule, message, evidence, identity) of the rules on the current state.
 
-    ``sites``: one row per snapshot with site_url, has_sitemap, sitemap_url, sitemap_error. Only what the
+    ``pages`` has one row for each URL of a snapshot; ``sites``: one row per snapshot with site_url, has_sitemap, sitemap_url, sitemap_error. Only what the
     ``enabled`` rules need is joined; without ``with_urls``, evidence has a digest in place of the URLs of duplicate
     groups, which grow with the square of a group.
     """
     on = set(CURRENT if enabled is None else enabled)
-    out = pages.join(sites.select("snapshot_id", "site_url", "has_sitemap"), "snapshot_id")
     keys = {"title": group_key(F.col("title")), "description": group_key(F.col("description")), "content": F.when(~empty(F.col("content_hash")), F.col("content_hash"))}
+    keys = {name: key for name, key in keys.items() if f"duplicate-{name}" in on}
+    # Joins by site, text and target carry narrow rows; whole pages are moved once, by URL.
+    marks = pages.select(*KEY, "canonical", *[key.alias(f"_{name}") for name, key in keys.items()]).join(sites.select("snapshot_id", "site_url", "has_sitemap"), "snapshot_id")
     for name, key in keys.items():
-        if f"duplicate-{name}" in on:
-            out = out.withColumn(f"_{name}", key).join(_groups(pages, key, name, with_urls), ["snapshot_id", f"_{name}"], "left")
-        else:
-            out = out.withColumn(f"_{name}", F.lit(None).cast("string")).withColumn(f"_{name}_urls", F.lit(None).cast("array<string>"))
-    listed = bool(on & {"noindex-in-sitemap", "redirect-in-sitemap", "orphan-sitemap-page", "crawlable-not-in-sitemap"})
-    out = out.join(sitemap_urls.select(*KEY).distinct().withColumn("_listed", F.lit(True)), KEY, "left") if listed else out.withColumn("_listed", F.lit(False))
-    lost = "orphan-sitemap-page" in on
-    out = out.join(orphans(pages, sitemap_urls).withColumn("_orphan", F.lit(True)), KEY, "left") if lost else out.withColumn("_orphan", F.lit(False))
+        marks = marks.join(_groups(pages, key, name, with_urls), ["snapshot_id", f"_{name}"], "left")
     bad = pages.filter(failed()).select("snapshot_id", F.col("url").alias("_target"), F.coalesce(F.col("status").cast("string"), json_string(F.col("error"))).alias("_actual"))
-    target = "canonical-target-error" in on
-    out = out.join(bad.withColumnRenamed("_target", "canonical"), ["snapshot_id", "canonical"], "left") if target else out.withColumn("_actual", F.lit(None).cast("string"))
+    if "canonical-target-error" in on:
+        marks = marks.join(bad.withColumnRenamed("_target", "canonical"), ["snapshot_id", "canonical"], "left")
+    if on & {"noindex-in-sitemap", "redirect-in-sitemap", "orphan-sitemap-page", "crawlable-not-in-sitemap"}:
+        marks = marks.join(sitemap_urls.select(*KEY).distinct().withColumn("_listed", F.lit(True)), KEY, "left")
+    if "orphan-sitemap-page" in on:
+        marks = marks.join(orphans(pages, sitemap_urls).withColumn("_orphan", F.lit(True)), KEY, "left")
+    out = pages.join(marks.drop("canonical"), KEY)
+    unused = {"_actual": "string", "_listed": "boolean", "_orphan": "boolean"} | {f"_{n}": "string" for n in ("title", "description", "content")} | {f"_{n}_urls": "array<string>" for n in ("title", "description", "content")}
+    out = out.withColumns({c: F.lit(None).cast(kind) for c, kind in unused.items() if c not in out.columns})
     found = out.select("snapshot_id", "url", F.explode(F.filter(F.concat(*_page_rules(on)), lambda x: x.isNotNull())).alias("f")).select("snapshot_id", "url", "f.*")
     if "broken-internal-link" in on:
         links = pages.filter(~F.coalesce("blocked", F.lit(False)) & empty(F.col("error"))).select("snapshot_id", "url", F.explode("internal_links").alias("_target"))

@@ -9,6 +9,10 @@ from ..functions.urls import origin
 from .catalog import with_rule_fields
 
 
+#: What is compared of two states of a page; nothing else of it is moved.
+COMPARED = ["status", "blocked", "error", "robots", "x_robots", "title", "description", "canonical", "h1_count", "final_url"]
+
+
 def _changed(rule: str, message: Column | str, before: Column, after: Column, severity: Column | None = None) -> Column:
     null = F.lit(None).cast("string")
     return F.struct(
@@ -25,7 +29,7 @@ def regressions(before: DataFrame, after: DataFrame, sites_before: DataFrame, si
     """
     from .policy import Policy
 
-    old, new = (df.select("snapshot_id", "url", F.struct(*[c for c in df.columns if c not in ("snapshot_id", "url")]).alias(n)) for df, n in ((before, "b"), (after, "a")))
+    old, new = (df.select("snapshot_id", "url", F.struct(*COMPARED).alias(n)) for df, n in ((before, "b"), (after, "a")))
     sites = sites_after.select("snapshot_id", "complete")
     pairs = old.join(new, ["snapshot_id", "url"], "left").join(sites, "snapshot_id")
     b, a = (lambda name: F.col(f"b.{name}")), (lambda name: F.col(f"a.{name}"))

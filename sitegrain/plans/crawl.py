@@ -43,6 +43,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` as a table in the shared folder: its lineage is cut, and later plans read only the columns that they need."""
+    path = shared_folder(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def crawl(seeds: DataFrame, pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """(site, url, depth) of pages reached from ``seeds`` (site, url) by ``pages`` (site, url, internal_links).
 

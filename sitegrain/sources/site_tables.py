@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.urls import normalize_url, origin
-from ..plans.crawl import checkpointed
+from ..plans.crawl import stored
 from .html import extract_pages
 
 
@@ -65,14 +65,15 @@ CHARSET = '<meta charset="utf-8">'
 def snapshot(spark: SparkSession, sf_dir: str, shift: int = 0) -> Snapshot:
     """The sites of ``pages.parquet``, all pages. Other shifts have invented pages beside them, which are missing in the state of shift 0."""
     raw = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    keyed = raw.select("page_id", normalize_url(F.col("url")).alias("url"), origin(F.col("url")).alias("snapshot_id"), "html").filter("url is not null")
-    keyed = keyed.groupBy("snapshot_id", "url").agg(F.min("page_id").alias("page_id"), F.min_by("html", "page_id").alias("html"))
+    keyed = raw.select("page_id", normalize_url(F.col("url")).alias("url"), origin(F.col("url")).alias("snapshot_id")).filter("url is not null")
+    keyed = keyed.groupBy("snapshot_id", "url").agg(F.min("page_id").alias("page_id"))
     if shift:
         keyed = keyed.unionByName(keyed.filter("page_id % 43 = 0").withColumn("url", F.concat("url", F.lit("-gone"))))
     next_url = F.lead("url").over(Window.partitionBy("snapshot_id").orderBy("page_id", "url"))
     k = F.col("page_id") + F.lit(shift)
     path = F.substr(next_url, F.length("snapshot_id") + 1)
-    injected = keyed.withColumn("k", k).withColumn("path", path).withColumn("html", variant(F.col("k"), F.col("html")))
+    # Numbers and neighbours come from narrow rows; the HTML is moved once, by the page's number, also where the join would not: parsing is the work of many tasks.
+    injected = keyed.withColumn("k", k).withColumn("path", path).join(raw.select("page_id", "html").repartition("page_id"), "page_id").withColumn("html", variant(F.col("k"), F.col("html")))
     injected = injected.withColumn("html", F.replace("html", F.lit(CHARSET), F.concat(F.lit(CHARSET), markup(F.col("k"), F.col("path"), F.col("snapshot_id"))))).drop("path")
     k = F.col("k")
     blocked = _every(k, 29)
@@ -87,7 +88,7 @@ def snapshot(spark: SparkSession, sf_dir: str, shift: int = 0) -> Snapshot:
         F.when(reached, F.when(_every(k, 13, 1), 404).when(_every(k, 17, 1), 503).otherwise(200)).cast("int").alias("status"),
         F.when(_every(k, 41), "noindex").alias("x_robots"), F.array_repeat(hop, hops).alias("redirect_chain"),
     ).drop("visible_text")
-    pages = checkpointed(pages)  # parsed once, whatever joins follow
+    pages = stored(pages, "snapshot")  # parsed once, whatever joins follow
     listed = pages.filter("k % 3 != 0").select("snapshot_id", "url")
     facts = keyed.groupBy("snapshot_id").agg(F.min("page_id").alias("least"), F.count_if((F.col("page_id") + shift) % 3 != 0).alias("sitemap_count"))
     sites = facts.select(
