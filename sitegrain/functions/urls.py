@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
-from pyspark.sql import Column, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Fixed value: extensions of files that are not crawled.
 SKIPPED = "avif|bmp|css|csv|docx?|eot|gif|gz|ico|jpe?g|js|json|map|mp3|mp4|mov|ogg|otf|pdf|png|pptx?|rar|rss|svg|tar|tiff?|ttf|txt|wav|webm|webp|woff2?|xlsx?|xml|zip"
@@ -39,6 +40,12 @@ def encode_path(path: Column) -> Column:
     return F.when(path.rlike(r'[^\x00-\x7F]|[ "<>`{}]'), F.array_join(F.transform(F.split(path, ""), one), "")).otherwise(path)
 
 
+def encode_query(query: Column) -> Column:
+    """The same for a query, which can hold other characters than a path."""
+    one = lambda c: F.when((F.octet_length(c) > 1) | c.isin(*' "<>\''), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c)
+    return F.when(query.rlike(r"""[^\x00-\x7F]|[ "<>']"""), F.array_join(F.transform(F.split(query, ""), one), "")).otherwise(query)
+
+
 def origin(url: Column) -> Column:
     """Scheme, host and port (lower case, default ports left out); null for other schemes and malformed URLs."""
     scheme, host = F.lower(_part(url, 1)), F.lower(_part(url, 2))
@@ -52,10 +59,34 @@ def normalize_url(url: Column, include_query: bool = False) -> Column:
     path = _without_dots(_part(url, 3))
     path = F.when(path == "", "/").otherwise(F.when(F.length(path) > 1, F.regexp_replace(path, "/+$", "")).otherwise(path))
     path = F.when(path == "", "/").otherwise(path)
-    query = F.coalesce(_part(url, 4), F.lit("")) if include_query else F.lit("")
+    query = encode_query(F.coalesce(_part(url, 4), F.lit(""))) if include_query else F.lit("")
     return F.concat(origin(url), encode_path(path), F.when(query == "?", "").otherwise(query))
 
 
+def normalize_table(rows: DataFrame, url: str = "url", name: str = "normalized", include_query: bool = False) -> DataFrame:
+    """``rows`` with column ``name``: URLs like ``normalize_url`` has them, and hosts as ``normalize`` has them.
+
+    Only hosts that are not plain (international, in brackets, with a port of several spellings or escapes) leave the JVM: each
+    of them once, as a dictionary that is joined back. A host that is no host makes the URL null.
+    """
+    taken = {c.lower() for c in rows.columns}
+    clean, host, fixed = (next(x for n in range(len(taken) + 1) if (x := f"_{stem}{n or ''}").lower() not in taken) for stem in ("clean", "host", "fixed"))
+    own = rows.withColumn(clean, _plain(F.col(url)))
+    found = F.when(F.col(clean).rlike(_PARTS), F.concat(F.lower(_part(F.col(clean), 1)), F.lit("://"), _part(F.col(clean), 2)))
+    own = own.withColumn(host, F.when(~found.rlike(r"^https?://[A-Za-z0-9.-]*[A-Za-z][A-Za-z0-9.-]*(:[1-9][0-9]{0,3})?$"), found))
+
+    @F.pandas_udf("string")
+    def encoded(hosts: pd.Series) -> pd.Series:
+        return hosts.map(lambda h: (normalize(h) or "").removesuffix("/") or None)
+
+    odd = own.filter(F.col(host).isNotNull()).select(host).distinct().withColumn(fixed, encoded(host))
+    out = own.join(odd, host, "left")
+    # A stand-in host, as only path and query are taken from the column form.
+    rest = F.regexp_replace(F.col(clean), r"^(?i)(https?)://[^/?#]+", "$1://h")
+    whole = F.concat(F.col(fixed), F.regexp_replace(normalize_url(rest, include_query), "^https?://h", ""))
+    return out.withColumn(name, F.when(F.col(host).isNull(), normalize_url(F.col(url), include_query)).otherwise(whole)).select(*rows.columns, name)
+
+
 def same_origin(url: Column, other: Column) -> Column:
     return F.coalesce(origin(url) == other, F.lit(False))
 
@@ -101,7 +132,7 @@ def normalize(url: str | None, base: str | None = None, include_query: bool = Fa
     if port is not None and port != {"http": 80, "https": 443}[scheme]:
         host += f":{port}"
     safe = "%/:@!$&'()*+,;=-._~|^[]\\"
-    return urlunsplit((scheme, host, quote(joined, safe=safe), quote(parts.query, safe=safe + "?{}`") if include_query else "", ""))
+    return urlunsplit((scheme, host, quote(joined, safe=safe), quote(parts.query, safe=safe.replace("'", "") + "?{}`") if include_query else "", ""))
 
 
 def crawlable(url: str) -> bool:

@@ -179,6 +179,7 @@ def sql() -> dict:
         "a4_health": f"{one} select site as snapshot_id, count(*) filter (blocked or error is not null or coalesce(status, 500) >= 400) as unavailable, count(*) filter (title is null) as missing_title, count(*) filter (description is null) as missing_description, count(*) filter (canonical is null) as missing_canonical, count(*) filter (h1 = 0) as missing_h1, count(*) filter (robots is not null) as noindex from p0 group by site",
         "a5_severity_summary": f"{one}, {_issues(0)} select severity, count(*) as n, count(distinct url) as pages from a0 group by severity",
         "a7_budgets": f"{whole} select snapshot_id, budget, cast(allowed as bigint) as allowed, count(*) as actual from d, (values ('error', 1), ('title-changed', 0), ('noindex', 1000)) as g(budget, allowed) where lifecycle = 'new' and (severity = budget or rule = budget) group by snapshot_id, budget, allowed having count(*) > allowed",
+        "c14_gate_budgets": f"{whole}, x as (select snapshot_id, budget, count(*) as n, max(allowed) as allowed from d, (values ('warning', 3), ('title-changed', 0)) as g(budget, allowed) where lifecycle = 'new' and (severity = budget or rule = budget) group by all having count(*) > max(allowed)) select snapshot_id, blocked, over, blocked or over > 0 as failed from (select snapshot_id, bool_or(lifecycle = 'new' and severity = 'error') as blocked, (select count(*) from x where x.snapshot_id = d.snapshot_id) as over from d group by snapshot_id)",
         "j5_orphans": f"{one} select site as snapshot_id, url from o0",
         "f1_normalize_url": f"select page_id, {ORIGIN} || {NORMAL_PATH} as url, {ORIGIN} || {NORMAL_PATH} || regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1) as with_query from pages",
         "f2_origin": f"select page_id, {ORIGIN} as origin, {ORIGIN} = 'https://www.thering.example.org' as same from pages",

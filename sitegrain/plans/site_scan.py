@@ -118,8 +118,18 @@ def scan_sites(
     return Scan(done, out.withColumn("truncated", truncated).withColumn("partial", F.lit(partial)).drop("left", "listed"))
 
 
+def cached_pages(*sources: DataFrame) -> DataFrame:
+    """One table of pages for ``scan_sites`` from several (logs, earlier scans); of a page in more than one, that in the last source counts."""
+    rows = None
+    for n, source in enumerate(sources):
+        one = source.select(*SITE, F.struct(F.lit(n).alias("_nth"), *[c for c in source.columns if c not in SITE]).alias("r"))
+        rows = one if rows is None else rows.unionByName(one)
+    best = rows.groupBy(SITE).agg(F.max_by("r", "r._nth").alias("r"))
+    return best.select(*SITE, *[F.col(f"r.{c}").alias(c) for c in sources[0].columns if c not in SITE])
+
+
 def _pages(now: DataFrame, robots: DataFrame, pages_of, cached: DataFrame | None, config: dict) -> DataFrame:
-    """The pages of a level: cached ones, blocked ones and fetched ones."""
+    """The pages of a level: cached ones (at the depth that they have), blocked ones and fetched ones."""
     wanted = now if cached is None else now.join(cached.select(SITE), SITE, "left_anti")
     asked = wanted.join(robots.select("snapshot_id", "deny_all", "rules"), "snapshot_id", "left")
     may = F.coalesce(allowed_by(path_and_query(F.col("url")), F.col("rules"), F.col("deny_all")), F.lit(True)) if config.get("respectRobots", True) else F.lit(True)
@@ -132,7 +142,7 @@ def _pages(now: DataFrame, robots: DataFrame, pages_of, cached: DataFrame | None
     held = asked.filter("not may").select(*SITE, "depth", *[v.alias(c) for c, v in empty.items()]).withColumn("blocked", F.lit(True))
     out = fresh.unionByName(held.select(fresh.columns))
     if cached is not None:
-        out = out.unionByName(cached.drop("depth").join(now, SITE).select(out.columns))
+        out = out.unionByName(cached.join(now.select(SITE), SITE, "left_semi").select(out.columns))
     return out
 
 

@@ -176,6 +176,11 @@ def c14_gate(spark, sf_dir):
     return issues.groupBy("snapshot_id").agg(F.max(policy.blocks(F.col("severity"), "error")).alias("blocked"))
 
 
+def c14_gate_budgets(spark, sf_dir):
+    """Gate of all sites: an error among new findings, or a budget that is exceeded."""
+    return diff.gate(_diff(spark, sf_dir), "error", {"warning": 3, "title-changed": 0})
+
+
 def f17_html_escape(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", report.escape_html(F.col("text")).alias("escaped"))
 
@@ -247,7 +252,7 @@ def st5_lifecycle(spark, sf_dir):
 
 def queries() -> dict:
     out = {f.__name__: f for f in (
-        c1_audit, c2_regressions, c3_diff_lifecycle, c4_policy, c14_gate, f1_normalize_url, f2_origin, f3_crawlable, f4_map_origin, f5_map_prefix, f6_clean_text, f7_has_directive, f8_valid_language,
+        c1_audit, c2_regressions, c3_diff_lifecycle, c4_policy, c14_gate, c14_gate_budgets, f1_normalize_url, f2_origin, f3_crawlable, f4_map_origin, f5_map_prefix, f6_clean_text, f7_has_directive, f8_valid_language,
         f10_robots_allowed, f12_content_hash, f13_word_count, f15_fingerprint, h_extract, s12_sitemap_parse, a1_duplicate_content, a2_statistics, a3_link_graph, a4_health, a5_severity_summary, a7_budgets,
         f17_html_escape, s21_lifecycle_summary, a8_rule_list, f22_report_filter, s20_csv_lines, s21_summary, j5_orphans, l2_crawl, c11_scan, s15_checkpoint_last, st_replay, j15_suppressions, j16_robots_tables, s10_sitemap_index, o1_issue_rank, st1_page_table, st4_group_rules, st5_lifecycle,
     )}

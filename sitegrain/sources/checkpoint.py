@@ -38,16 +38,43 @@ def read_lines(text: str, identity: dict | None = None) -> list[dict]:
     return list(pages.values())
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """(url, status, error, seq) of all logs under ``path``. A torn last line of a file is left out; any other broken line is an error."""
-    kind = f"type string, page struct<{PAGE.replace(' ', ':').replace(',:', ',')}>, broken string"
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file_path, at, r) of all lines that are not blank; ``r.broken`` is a line that is no JSON."""
+    kind = f"type string, page struct<{PAGE.replace(' ', ':').replace(',:', ',')}>, schemaVersion int, identity map<string,string>, source map<string,string>, broken string"
     lines = spark.read.text(path).select("value", "_metadata.file_path", F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("at")).filter("trim(value) != ''")
-    parsed = lines.withColumn("r", F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}))
-    torn = parsed.filter("r.broken is not null").select("file_path", "at")
-    last = lines.groupBy("file_path").agg(F.max("at").alias("last"))
-    if torn.join(last, "file_path").filter("at < last").head(1):
-        raise ValueError(f"a record before the last one of a log under {path} is broken")
-    return parsed.filter("r.broken is null and r.type = 'page'").select("r.page.*")
+    return lines.withColumn("r", F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}))
+
+
+def read_log(spark: SparkSession, path: str, identity: dict[str, str] | None = None, legacy: bool = False) -> DataFrame:
+    """(url, status, error, seq) of all logs under ``path``; the last record of a URL is ``last_wins``.
+
+    A torn last line of a file is left out; any other broken line is an error. Old logs (``legacy``) are read without
+    any of their broken lines. With an ``identity`` (of a scan: names and texts), only files count whose first line is a header that says the
+    same: version 2 with ``identity``, or version 1 with ``source`` if they are legacy logs. Files of other scans are left out,
+    whatever is broken in them.
+    """
+    parsed = _records(spark, path)
+    if identity is not None:
+        version, field = (1, "source") if legacy else (2, "identity")
+        heads = parsed.groupBy("file_path").agg(F.min_by("r", "at").alias("r"))
+        said = F.sort_array(F.map_entries(f"r.{field}"))
+        own = F.sort_array(F.map_entries(F.create_map(*[F.lit(x) for pair in identity.items() for x in pair]))) if identity else None
+        same = (F.size(f"r.{field}") == 0) if own is None else (said == own)
+        mine = heads.filter((F.col("r.type") == HEADER) & (F.col("r.schemaVersion") == version) & same).select("file_path")
+        parsed = parsed.join(mine, "file_path", "left_semi")
+    if not legacy:
+        torn = parsed.filter("r.broken is not null").select("file_path", "at")
+        last = parsed.groupBy("file_path").agg(F.max("at").alias("last"))
+        if torn.join(last, "file_path").filter("at < last").head(1):
+            raise ValueError(f"a record before the last one of a log under {path} is broken")
+    return parsed.filter("r.broken is null and r.type = 'page' and r.page.url is not null").select("r.page.*")
+
+
+def legacy_log_path(output: str) -> str:
+    """Where the old log of a result file lies: its extension gives way to .checkpoint.ndjson."""
+    folder, slash, name = output.rpartition("/")
+    stem, dot, _ = name.rpartition(".")
+    return f"{folder}{slash}{stem if dot and stem.strip('.') else name}.checkpoint.ndjson"
 
 
 def append(pages: DataFrame, path: str) -> None:
