@@ -161,3 +161,20 @@ def test_gate():
         gate.wait()
     assert [round(x, 3) for x in slept] == [0.1, 0.2, 0.3]
     assert retry_delay(2) == 1000 and retry_delay(9) == 30_000 and retry_delay(0, 3) == 3000
+
+
+def test_records_of_few_pages_are_held_at_once(spark):
+    """A worker's memory does not grow with a batch: records leave it in pieces, bounded by rows and by bytes of HTML, and batches are bounded too."""
+    import pyarrow as pa
+
+    texts = ["<title>a</title>"] * 1000 + [None] * 3 + ["x" * html.SLICE_BYTES] * 3 + ["y" * (html.SLICE_BYTES // 2)] * 5
+    batch = pa.RecordBatch.from_pydict({"n": list(range(len(texts))), "url": [f"https://e.com/{i}" for i in range(len(texts))], "html": pa.array(texts, pa.string())})
+    out = list(html._run(False)(iter([batch, batch.slice(0, 0)])))
+    assert [n for b in out for n in b["n"].to_pylist()] == list(range(len(texts)))
+    for b in out:
+        held = texts[b["n"][0].as_py() : b["n"][-1].as_py() + 1] if b.num_rows else []
+        assert len(held) <= 1 or len(held) <= html.SLICE_ROWS and sum(len(x or "") for x in held) <= html.SLICE_BYTES
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, 10_000)
+    rows = html.extract_pages(spark.createDataFrame([("https://e.com/", "<title>a</title>")], "url string, html string"))
+    assert int(spark.conf.get(key)) <= html.BATCH[key] and rows.first().title == "a"
