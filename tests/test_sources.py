@@ -178,3 +178,15 @@ def test_records_of_few_pages_are_held_at_once(spark):
     spark.conf.set(key, 10_000)
     rows = html.extract_pages(spark.createDataFrame([("https://e.com/", "<title>a</title>")], "url string, html string"))
     assert int(spark.conf.get(key)) <= html.BATCH[key] and rows.first().title == "a"
+
+
+@pytest.mark.parametrize("most", [None, 3])
+def test_crawl_sends_no_level_through_the_driver(spark, most):
+    """Small levels and tables would be broadcast, and all levels together are the whole site."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    pages = spark.createDataFrame([("s", f"https://e.com/{i}", [f"https://e.com/{i + 1}"]) for i in range(4)], "site string, url string, internal_links array<string>").repartition(2)
+    known = store.executionsCount()
+    got = crawl(pages.limit(1).select("site", F.lit("https://e.com/0").alias("url")), pages, most)
+    assert sorted((r.url[-1], r.depth) for r in got.collect()) == [(str(i), i) for i in range(most or 5)]
+    plans = [x.physicalPlanDescription() for x in (store.executionsList().apply(i) for i in range(known, store.executionsCount()))]
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
