@@ -1,15 +1,13 @@
 """Joins of texts with patterns: by the pattern's literal beginning first, then by regular expression.
 
-A pattern's key is its literal beginning, cut to one of a few lengths; a text has one key for each of these lengths. So
-texts and patterns meet by equality, and the regular expression is tried only where the beginnings agree.
+A pattern's key is its whole literal beginning; a text has one key for each length that such beginnings have. So texts
+and patterns meet by equality, and the regular expression is tried only where the beginnings agree.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-#: Lengths of keys. A pattern has the longest one that its literal beginning fills.
-LENGTHS = (0, 1, 2, 4, 8, 16, 32, 64)
 #: Keys that many texts share are dealt to so many tasks; the patterns are repeated for each.
 SALTS = 8
 
@@ -35,15 +33,7 @@ def path_pattern(pattern: Column) -> Column:
 def pattern_key(pattern: Column, end_mark: bool = False) -> Column:
     """The key of a pattern; ``end_mark``: a last ``$`` is not part of it."""
     start = F.substring_index(pattern, "*", 1)
-    if end_mark:
-        start = F.regexp_replace(start, r"\$$", "")
-    size = F.greatest(*[F.when(F.length(start) >= n, n).otherwise(0) for n in LENGTHS])
-    return F.substring(start, F.lit(1), size)
-
-
-def text_keys(text: Column) -> Column:
-    """The keys that patterns which match the text can have."""
-    return F.array_distinct(F.transform(F.filter(F.array(*map(F.lit, LENGTHS)), lambda n: n <= F.length(text)), lambda n: F.substring(text, F.lit(1), n)))
+    return F.regexp_replace(start, r"\$$", "") if end_mark else start
 
 
 def salt(*columns: str) -> Column:
@@ -53,3 +43,15 @@ def salt(*columns: str) -> Column:
 def salts() -> Column:
     """Each salt, for the patterns' side."""
     return F.explode(F.array(*map(F.lit, range(SALTS))))
+
+
+def keyed(texts: DataFrame, known: DataFrame, by: str, text: str, *salted: str) -> DataFrame:
+    """``texts`` with _salt and, in a row for each, the _key of patterns that can match ``text``; null where none can.
+
+    ``known``: patterns with ``by``, _key and _salt (each of ``salts``). Both meet by ``by``, _key and _salt. Texts have keys of those lengths
+    only that patterns of the same ``by`` have.
+    """
+    lengths = known.groupBy(by, "_salt").agg(F.collect_set(F.length("_key")).alias("_lengths"))
+    own = texts.withColumn("_salt", salt(*salted)).join(lengths, [by, "_salt"], "left")
+    keys = F.transform(F.filter("_lengths", lambda n: n <= F.length(text)), lambda n: F.substring(text, F.lit(1), n))
+    return own.select(*texts.columns, "_salt", F.explode_outer(keys).alias("_key"))

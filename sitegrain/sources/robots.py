@@ -88,9 +88,8 @@ def judge(pages: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
     The longest pattern that matches decides; allow on a tie or without one. Rules and pages meet by site and the
     literal beginning of the pattern; a site of any size is dealt to several tasks.
     """
-    known = rules.distinct().select("site", "kind", F.length("pattern").alias("size"), patterns.path_pattern(F.col("pattern")).alias("regex"), patterns.pattern_key(F.col("pattern"), True).alias("key"), patterns.salts().alias("salt"))
-    asked = pages.withColumn("key", F.explode(patterns.text_keys(F.col(path)))).withColumn("salt", patterns.salt("url"))
-    met = asked.join(known, ["site", "key", "salt"], "left").withColumn("hit", F.expr(f"{path} rlike regex"))
+    known = rules.distinct().select("site", "kind", F.length("pattern").alias("size"), patterns.path_pattern(F.col("pattern")).alias("regex"), patterns.pattern_key(F.col("pattern"), True).alias("_key"), patterns.salts().alias("_salt"))
+    met = patterns.keyed(pages, known, "site", path, "url").join(known, ["site", "_key", "_salt"], "left").withColumn("hit", F.expr(f"{path} rlike regex"))
     longest = lambda kind: F.coalesce(F.max(F.when(F.col("hit") & (F.col("kind") == kind), F.col("size"))), F.lit(-1))
     return met.groupBy(*pages.columns).agg((longest("allow") >= longest("disallow")).alias("allowed"))
 

@@ -7,6 +7,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from sitegrain.functions import patterns
 from sitegrain.operators import order, policy
 from sitegrain.sources import checkpoint, html, robots
 from sitegrain.streaming import groups, lifecycle, page_table
@@ -120,6 +121,18 @@ def test_suppressions_as_a_table(spark):
     assert policy.suppress(issues, given.limit(0)).count() == issues.count()
 
 
+def test_texts_meet_only_patterns_whose_whole_beginning_they_have(spark):
+    """Long beginnings of the same length and start: pairs grow with the rows, not with their square."""
+    n = 300
+    texts = spark.range(n).select(F.lit("r").alias("rule"), F.concat(F.lit("https://a.example.org/en/page-"), F.col("id") + 1000).alias("url"))
+    globs = texts.select("rule", F.concat("url", F.lit("**")).alias("p")).unionAll(spark.createDataFrame([("r", "**9"), ("other", "https://a**")], "rule string, p string"))
+    known = globs.select("rule", "p", patterns.pattern_key(F.col("p")).alias("_key"), patterns.salts().alias("_salt"))
+    met = patterns.keyed(texts, known, "rule", "url", "url").join(known, ["rule", "_key", "_salt"])
+    assert met.filter("_key != ''").count() == met.filter("_key = ''").count() == n
+    none = patterns.keyed(texts.withColumn("rule", F.lit("none")), known, "rule", "url", "url")
+    assert none.count() == none.filter("_key is null").count() == n
+
+
 def test_rank_and_pages(spark):
     rows = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("x"), (F.col("id") % 3).alias("y"))
     got = order.with_rank(rows, F.col("y").desc(), F.col("x")).collect()
