@@ -76,3 +76,28 @@ def test_glob():
     import re
 
     assert re.search(text.glob_regex("/legal/**"), "/legal/a/b") and not re.search(text.glob_regex("/legal/*"), "/legal/a/b")
+
+
+def test_texts_are_cleaned_once(spark, tmp_path):
+    """Cleaning is most of the work on texts: one regular expression in the plan, and the same texts as the Python form gives."""
+    import random
+
+    from sitegrain import registry
+    from sitegrain.functions import text
+    from sitegrain.sources import html
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(" \t\n\x0b\r\u00a0\u2003\ufeffaAé") for _ in range(rng.randrange(9))) for _ in range(2000)] + ["", " ", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cleaned = text.clean_text(F.col("text"))
+    got = {r.doc_id: (r.c, r.h) for r in rows.select("doc_id", cleaned.alias("c"), text.content_hash(cleaned).alias("h")).collect()}
+    assert [got[i][0] for i in range(len(texts))] == [html.clean(x) for x in texts]
+    assert all((h is None) == (c is None) for c, h in got.values())
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    groups = registry.queries()["a1_duplicate_content"](spark, str(tmp_path))
+    assert groups._jdf.queryExecution().executedPlan().toString().count("regexp_replace(") == 1
+    want = {}
+    for i, x in enumerate(texts):
+        if html.clean(x):
+            want.setdefault(html.clean(x).lower(), []).append(i)
+    assert sorted((r.n, r.first_doc) for r in groups.collect()) == sorted((len(v), v[0]) for v in want.values() if len(v) > 1)
