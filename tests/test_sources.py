@@ -190,3 +190,22 @@ def test_crawl_sends_no_level_through_the_driver(spark, most):
     assert sorted((r.url[-1], r.depth) for r in got.collect()) == [(str(i), i) for i in range(most or 5)]
     plans = [x.physicalPlanDescription() for x in (store.executionsList().apply(i) for i in range(known, store.executionsCount()))]
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
+
+
+def test_a_worker_gets_bounded_batches(spark):
+    """What Spark hands a worker at once, after any query on snapshots has been built: at most 2,000 pages and, but for one page, 8 MB."""
+    pages = spark.range(0, 5000, 1, 1).selectExpr("concat('https://e.com/', id) as url", "if(id < 3500, '<p>a</p>', repeat('x', 20000)) as html")
+    for key, high in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "256m")):
+        spark.conf.set(key, high)
+    extracted = html.extract_pages(pages)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    seen = pages.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(x.n for x in seen) == 5000 and max(x.n for x in seen) <= 2000
+    assert max(x.size for x in seen) <= (8 << 20) + 25_000
+    assert extracted.filter("length(visible_text) = 20000").count() == 1500
