@@ -70,6 +70,32 @@ def test_diff_of_equal_snapshots(spark):
     assert [r.lifecycle for r in diff.diff(a, a, p, s, none).collect()] == ["unchanged"]
 
 
+def test_diff_tells_evidence(spark):
+    """Ongoing issues have their whole evidence, with the URLs of groups; others have what is there now."""
+    pages = [page(f"https://e.com/{x}", title='A "shared" title', content_hash="h") for x in "abc"] + [page("https://e.com/d", title=None)]
+    states = [tables(spark, [*pages[:2], page("https://e.com/c"), page("https://e.com/d")]), tables(spark, pages)]
+    none = current.audit(*states[0]).filter("false").withColumn("before", F.lit(None).cast("string"))
+    some = policy.Policy(enabled=["duplicate-title", "duplicate-content", "missing-title"])
+    short = diff.diff(*[current.audit(*t, some, with_urls=False) for t in states], states[1][0], states[1][1], none)
+    short = spark.createDataFrame(short.collect(), short.schema)
+    for name, t in zip(("before", "after"), states, strict=True):
+        short = current.with_group_urls(short.filter("lifecycle = 'ongoing'"), t[0], name).unionByName(short.filter("lifecycle <> 'ongoing'"))
+    got = {(r.rule, r.url[-1]): (r.lifecycle, r.before, r.after) for r in short.collect()}
+    urls = lambda names: "[" + ",".join(f'"https://e.com/{x}"' for x in names) + "]"
+    head = r'{"actual":"A \"shared\" title","urls":'
+    title = {("duplicate-title", x): ("ongoing", f"{head}{urls('ab')}}}", f"{head}{urls('abc')}}}") for x in "ab"} | {("duplicate-title", "c"): ("new", None, 'A "shared" title')}
+    content = {("duplicate-content", x): ("ongoing", f'{{"urls":{urls("ab")}}}', f'{{"urls":{urls("abc")}}}') for x in "ab"} | {("duplicate-content", "c"): ("new", None, None)}
+    assert got == title | content | {("missing-title", "d"): ("new", None, None)}
+
+
+def test_evidence_of_blocked_targets(spark):
+    """A blocked page has neither status nor error."""
+    pages = [page("https://e.com/", internal_links=["https://e.com/b"], canonical="https://e.com/b", hreflang=[{"lang": "en", "url": None}]), page("https://e.com/b", blocked=True, status=None)]
+    got = {r.rule: (r.identity, r.evidence) for r in current.audit(*tables(spark, pages)).collect()}
+    target = ('"https://e.com/b"', '{"target":"https://e.com/b","actual":null}')
+    assert got == {"robots-blocked": ("null", '{"actual":true}'), "broken-internal-link": target, "canonical-target-error": target, "invalid-hreflang": ('{lang:"en",url:null}', '{"actual":{"lang":"en","url":null}}')}
+
+
 SQL = ["c1_audit", "c3_diff_lifecycle", "h_extract", "f10_robots_allowed", "s15_checkpoint_last", "st_replay"]
 
 
