@@ -78,8 +78,7 @@ def test_diff_tells_evidence(spark):
     some = policy.Policy(enabled=["duplicate-title", "duplicate-content", "missing-title"])
     short = diff.diff(*[current.audit(*t, some, with_urls=False) for t in states], states[1][0], states[1][1], none)
     short = spark.createDataFrame(short.collect(), short.schema)
-    for name, t in zip(("before", "after"), states, strict=True):
-        short = current.with_group_urls(short.filter("lifecycle = 'ongoing'"), t[0], name).unionByName(short.filter("lifecycle <> 'ongoing'"))
+    short = current.with_group_urls(short.filter("lifecycle = 'ongoing'"), {"before": states[0][0], "after": states[1][0]}).unionByName(short.filter("lifecycle <> 'ongoing'"))
     got = {(r.rule, r.url[-1]): (r.lifecycle, r.before, r.after) for r in short.collect()}
     urls = lambda names: "[" + ",".join(f'"https://e.com/{x}"' for x in names) + "]"
     head = r'{"actual":"A \"shared\" title","urls":'
